@@ -61,18 +61,38 @@ SEQ = "(cast(l_linenumber as bigint) * 400000000000000000 + l_partkey * 10000000
 
 
 def shapes(d) -> str:
-    """One shape per line item, one scene per order."""
+    """One shape per line item, one scene per order; coordinates are whole hundredths."""
+    w = "(6 + 4 * cast(round(l_discount * 100) as int))"
+    h = "(6 + 4 * cast(round(l_tax * 100) as int))"
+    x = "(l_partkey % 97 + 1)"
+    y = "((l_suppkey * 31 + l_linenumber * 17) % 89 + 5)"
     return f"""
     SELECT l_orderkey AS image_id, {SEQ} AS shape_idx, cast(l_linenumber as int) AS line_no,
            {d.nth(_list(d, dims.SHAPE_TYPES), 'l_partkey % 14')} AS type,
-           round((l_partkey % 97 + 0.5) / 97.0, 4) AS cx,
-           round(((l_suppkey * 31 + l_linenumber * 17) % 89) / 89.0, 4) AS cy,
-           round(0.05 + 4 * (l_discount + 0.0), 4) AS w,
-           round(0.05 + 5 * (l_tax + 0.0), 4) AS h,
-           cast(l_quantity as int) AS q
+           {x} / 100.0 + 0.0 AS cx, {y} / 100.0 + 0.0 AS cy,
+           ({x} - {w} / 2) / 100.0 + 0.0 AS min_x, ({y} + {h} / 2) / 100.0 + 0.0 AS max_y,
+           ({x} + {w} / 2) / 100.0 + 0.0 AS max_x, ({y} - {h} / 2) / 100.0 + 0.0 AS min_y,
+           {w} * {h} / 10000.0 + 0.0 AS area, greatest({w}, {h}) / 100.0 + 0.0 AS major_axis,
+           0.0 AS rotation, cast(l_quantity as int) AS q
     FROM {{lineitem}}"""
 
 
+RELATION_TEXTS = [
+    "tangent line", "parallel", "perpendicular", "circumscribed circle", "inscribed circle", "shared edge", "diagonal",
+    "major axis", "minor axis", "diameter", "concentric", "similar", "internal tangent circle", "symmetric",
+]
+
+
+def relations(d) -> str:
+    """An edge from every shape to the first shape of the next line number in its scene."""
+    rel = d.nth(_list(d, RELATION_TEXTS), "a.q % 14")
+    return f"""
+    SELECT a.image_id, a.shape_idx AS ord, a.shape_idx AS head, b.tail, {rel} AS relation
+    FROM ({shapes(d)}) a
+    JOIN (SELECT image_id, line_no, min(shape_idx) AS tail FROM ({shapes(d)}) s GROUP BY image_id, line_no) b
+      ON a.image_id = b.image_id AND a.line_no + 1 = b.line_no"""
+
+
 def replies(d) -> str:
     """Assistant turns as model replies to four-choice questions."""
     k = "concat_ws(':', cast(conv_id as varchar(20)), cast(turn as varchar(20))"
@@ -154,6 +174,7 @@ def yes_no(d) -> str:
 
 _TABLES = {
     "shapes": ("lineitem",),
+    "relations": ("lineitem",),
     "replies": ("conversations",),
     "ratings": ("lineitem", "part"),
     "levels": ("lineitem", "part"),
