@@ -450,7 +450,10 @@ def round_struct(col: Column, dtype: T.DataType, dp: int) -> Column:
     if isinstance(dtype, T.MapType):
         return F.transform_values(col, lambda k, v: round_struct(v, dtype.valueType, dp))
     if isinstance(dtype, T.StructType):
-        return F.when(
-            col.isNotNull(), F.struct(*[round_struct(col[f.name], f.dataType, dp).alias(f.name) for f in dtype.fields])
+        return let(
+            col,
+            lambda c: F.when(
+                c.isNotNull(), F.struct(*[round_struct(c[f.name], f.dataType, dp).alias(f.name) for f in dtype.fields])
+            ),
         )
     return col

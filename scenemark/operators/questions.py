@@ -27,6 +27,7 @@ from scenemark.functions.wording import (
     quadrant,
 )
 from scenemark.operators.sampling import hash_rank, top_k, weighted_key
+from scenemark.session import work_partitions
 
 QA = "array<struct<question:string,choices:array<string>,answer:string>>"
 
@@ -92,7 +93,10 @@ def profiles(shapes: DataFrame) -> DataFrame:
         (-F.col("rep.neg")).alias("idx"), F.col("rep.cx").alias("cx"), F.col("rep.cy").alias("cy"),
         F.col("rep.box").alias("box"), F.col("rep.area").alias("area"),
     )
-    p = st.groupBy("image_id").agg(F.sort_array(F.collect_list(entry)).alias("types"))
+    # at most one row per type and scene is left: spread the question work over all cores
+    p = st.repartition(work_partitions(shapes), "image_id").groupBy("image_id").agg(
+        F.sort_array(F.collect_list(entry)).alias("types")
+    )
     vocab = F.array(*[F.lit(t) for t in dims.SHAPE_TYPES])
     return (
         p.withColumn("present", F.transform("types", lambda t: t["type"]))
@@ -147,9 +151,36 @@ def qa(question: Column, choices: Column, answer: Column) -> Column:
     return F.struct(question.alias("question"), choices.alias("choices"), answer.alias("answer"))
 
 
-def _questions(df: DataFrame, perspective: str, arr: Column) -> DataFrame:
-    return df.select("image_id", F.posexplode(arr).alias("question_id", "q")).select(
-        F.lit(perspective).alias("perspective"), "image_id", F.col("question_id").cast("int").alias("question_id"), "q.*"
+def prepare(profile: DataFrame, seed: str = "vqa") -> DataFrame:
+    """Columns that several questions share: evaluated once per scene."""
+    df = profile.withColumn("single_types", F.transform("singles", lambda t: t["type"]))
+    pool = F.array(*[F.lit(k) for k in ("TT", "TF", "FT", "FF")])
+    df = df.withColumn("pair_kinds", F.slice(strings_by_hash(pool, f"{seed}:exkind"), 1, 2))
+    if "rels" in df.columns:
+        df = df.withColumn(
+            "usable",
+            F.filter(
+                "rels",
+                lambda r: F.array_contains(F.col("single_types"), r["t1"]) & F.array_contains(F.col("single_types"), r["t2"]),
+            ),
+        )
+    return df
+
+
+def _labelled(perspective: str, questions: Column) -> Column:
+    return F.transform(
+        questions,
+        lambda q, i: F.struct(F.lit(perspective).alias("perspective"), i.cast("int").alias("question_id"), q.alias("q")),
+    )
+
+
+def ask(profile: DataFrame, perspectives: list[str], seed: str = "vqa") -> DataFrame:
+    """Questions of the named perspectives in one pass over the profile."""
+    parts = [_labelled(p, PERSPECTIVE_PLANS[p](seed)) for p in perspectives]
+    return (
+        prepare(profile, seed)
+        .select("image_id", F.explode(F.concat(*parts)).alias("x"))
+        .select("x.perspective", "image_id", "x.question_id", "x.q.question", "x.q.choices", "x.q.answer")
     )
 
 
@@ -161,7 +192,7 @@ def _when_list(*items: Column) -> Column:
 # --- VQA-2 counting -----------------------------------------------------------------------
 
 
-def counting(profile: DataFrame, seed: str = "vqa") -> DataFrame:
+def counting(seed: str = "vqa") -> Column:
     n_sel = dims.MAX_QUESTIONS - 1
     weighted = F.transform(
         "types",
@@ -188,19 +219,14 @@ def counting(profile: DataFrame, seed: str = "vqa") -> DataFrame:
             s["n"].cast("string"),
         )
 
-    return _questions(profile, "counting", F.transform(F.concat(chosen, extra), ask))
+    return F.transform(F.concat(chosen, extra), ask)
 
 
 # --- VQA-3 relation -----------------------------------------------------------------------
 
 
-def relation(profile: DataFrame, seed: str = "vqa") -> DataFrame:
-    """``profile`` must carry ``rels`` (see with_relations)."""
-    singles = F.transform("singles", lambda t: t["type"])
-    usable = F.filter(
-        "rels",
-        lambda r: F.array_contains(F.col("single_types"), r["t1"]) & F.array_contains(F.col("single_types"), r["t2"]),
-    )
+def relation(seed: str = "vqa") -> Column:
+    """VQA-3; the profile must carry ``rels`` (see with_relations)."""
     picked = F.slice(by_hash(F.col("usable"), f"{seed}:rel", "t1", "t2"), 1, dims.MAX_QUESTIONS - 1)
 
     def oriented(r):
@@ -247,8 +273,7 @@ def relation(profile: DataFrame, seed: str = "vqa") -> DataFrame:
             p["rel"],
         )
 
-    df = profile.withColumn("single_types", singles).withColumn("usable", usable)
-    return _questions(df, "relation", F.transform(F.concat(F.transform(picked, oriented), none), ask))
+    return F.transform(F.concat(F.transform(picked, oriented), none), ask)
 
 
 # --- VQA-4 size ---------------------------------------------------------------------------
@@ -280,14 +305,14 @@ def size_choices(value: Column, u: Column) -> Column:
     return let(let(weights, place), text)
 
 
-def size(profile: DataFrame, seed: str = "vqa") -> DataFrame:
+def size(seed: str = "vqa") -> Column:
     clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     asked = []
     for dim in dims.DIMENSIONS:
         pool = F.filter("singles", lambda t: t["type"] != "line") if dim == "area" else F.col("singles")
         pick = F.get(by_hash(pool, f"{seed}:size:{dim}", "type"), 0)
         asked.append(_size_question(pick, dim, clip, seed))
-    return _questions(profile, "size", F.filter(F.array(*asked), lambda x: x.isNotNull()))
+    return F.filter(F.array(*asked), lambda x: x.isNotNull())
 
 
 def _size_question(pick: Column, dim: str, clip, seed: str) -> Column:
@@ -320,7 +345,7 @@ def _size_question(pick: Column, dim: str, clip, seed: str) -> Column:
 _POSITIONS = ["upper left", "upper right", "lower left", "lower right"]
 
 
-def location(profile: DataFrame, seed: str = "vqa") -> DataFrame:
+def location(seed: str = "vqa") -> Column:
     n_rel = dims.MAX_QUESTIONS // 2
     n_abs = dims.MAX_QUESTIONS - n_rel
     four = F.array(*[F.lit(p) for p in _POSITIONS])
@@ -360,7 +385,7 @@ def location(profile: DataFrame, seed: str = "vqa") -> DataFrame:
             s["pos"],
         )
 
-    return _questions(profile, "location", F.transform(F.concat(absolute, relative), ask))
+    return F.transform(F.concat(absolute, relative), ask)
 
 
 # --- VQA-7 reference ------------------------------------------------------------------------
@@ -576,22 +601,15 @@ def combine_reference(direction: Column, region: Column, sized: Column, freq: Co
     return F.transform(F.slice(keyed(every, "reffinal", "question"), 1, dims.MAX_QUESTIONS), lambda s: s["q"])
 
 
-def reference(profile: DataFrame, seed: str = "vqa") -> DataFrame:
-    """VQA-7; ``profile`` must carry ``rels``."""
-    df = (
-        profile.withColumn("_d", ref_direction(seed))
-        .withColumn("_r", ref_region(seed))
-        .withColumn("_s", ref_size(seed))
-        .withColumn("_f", ref_freq(seed))
-    )
-    return _questions(df, "reference", combine_reference(F.col("_d"), F.col("_r"), F.col("_s"), F.col("_f"), seed))
+def reference(seed: str = "vqa") -> Column:
+    """VQA-7; the profile must carry ``rels``."""
+    return combine_reference(ref_direction(seed), ref_region(seed), ref_size(seed), ref_freq(seed), seed)
 
 
 # --- VQA-8 existence ------------------------------------------------------------------------
 
 
-def existence(profile: DataFrame, seed: str = "vqa") -> DataFrame:
-    kinds = F.slice(strings_by_hash(F.array(*[F.lit(k) for k in ("TT", "TF", "FT", "FF")]), f"{seed}:exkind"), 1, 2)
+def existence(seed: str = "vqa") -> Column:
     present, absent = F.col("present"), F.col("absent")
     say = lambda t: clarify(t, F.col("present"))
     draw = lambda arr, name, k: F.slice(strings_by_hash(arr, f"{seed}:{name}"), 1, k)
@@ -611,7 +629,7 @@ def existence(profile: DataFrame, seed: str = "vqa") -> DataFrame:
     def two(arr, name, answer):
         return let(draw(arr, name, 2), lambda v: pair(say(F.get(v, 0)), say(F.get(v, 1)), F.lit(answer), name))
 
-    kind_has = lambda *ks: F.arrays_overlap(F.col("_kinds"), F.array(*[F.lit(k) for k in ks]))
+    kind_has = lambda *ks: F.arrays_overlap(F.col("pair_kinds"), F.array(*[F.lit(k) for k in ks]))
     tt = F.when(kind_has("TT") & (F.size(present) >= 2), two(present, "extt", "Yes, both exist."))
     ff = F.when(kind_has("FF") & (F.size(absent) >= 2), two(absent, "exff", "No, neither exists."))
 
@@ -646,8 +664,7 @@ def existence(profile: DataFrame, seed: str = "vqa") -> DataFrame:
         lambda c: qa(F.lit("Which of the following is present in the image?"), c["choices"], c["answer"]),
     )
     mc = F.when(can_a | can_p, F.when(ask_absent, mc_absent).otherwise(mc_present))
-    df = profile.withColumn("_kinds", kinds)
-    return _questions(df, "existence", _when_list(tt, ff, tf, mc))
+    return _when_list(tt, ff, tf, mc)
 
 
 # --- VQA-1 dispatch -------------------------------------------------------------------------
@@ -667,9 +684,10 @@ def gen_questions(
     shapes: DataFrame, relations: DataFrame, perspectives: list[str] = dims.PERSPECTIVES, seed: str = "vqa"
 ) -> DataFrame:
     """VQA-1: all perspectives; ``question_id`` is dense per (image, perspective)."""
-    profile = with_relations(profiles(shapes), relation_pairs(shapes, relations))
-    plans = [PERSPECTIVE_PLANS[p](profile, seed) for p in perspectives]
-    return reduce(DataFrame.unionByName, plans)
+    profile = profiles(shapes)
+    if {"relation", "reference"} & set(perspectives):
+        profile = with_relations(profile, relation_pairs(shapes, relations))
+    return ask(profile, perspectives, seed)
 
 
 # --- prompts and survey samples ----------------------------------------------------------------

@@ -55,6 +55,32 @@ def hash_rank(df: DataFrame, group: list[str], keys: list[str], seed: str, name:
     )
 
 
+def ordered_rank(
+    df: DataFrame, group: list[str], order: Column, ties: list[str], name: str = "seq", buckets: int = 1024
+) -> DataFrame:
+    """Dense 1-based rank in the order of a numeric column within each group.
+
+    The column's range is cut into buckets (one small aggregate finds it), so a series
+    holding a third of all rows is ranked by many tasks; offsets come from bucket sizes."""
+    tagged = df.withColumn("_o", order.cast("double"))
+    span = tagged.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    placed = tagged.crossJoin(F.broadcast(span)).withColumn(
+        "_b",
+        F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_o") - F.col("_lo")) / width))).otherwise(0).cast("int"),
+    )
+    sizes = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group, F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*group, "_b").orderBy("_o", *ties)
+    return (
+        placed.withColumn("_rn", F.row_number().over(inside))
+        .join(offsets, [*group, "_b"])
+        .withColumn(name, (F.col("_rn") + F.col("_off")).cast("bigint"))
+        .drop("_o", "_lo", "_hi", "_b", "_rn", "_off")
+    )
+
+
 def sample_k(df: DataFrame, group: list[str], k: int, seed: str, keys: list[str]) -> DataFrame:
     """RND-2: ``min(k, n)`` rows of each group without replacement."""
     if k <= MAP_SIDE_LIMIT:

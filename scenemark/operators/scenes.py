@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenemark import schemas
 from scenemark.functions import geometry as G
 
 PT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
@@ -150,12 +149,26 @@ def unique_x(points: DataFrame, key: str = "id") -> DataFrame:
     return first.unionByName(pads)
 
 
-def smooth(df: DataFrame, key: str, order: list[str], value: str, w: int = 3, name: str = "smoothed") -> DataFrame:
-    """GEO-22: centred moving average clipped at the ends; short series stay unchanged."""
-    s = Window.partitionBy(key).orderBy(*order)
-    mean = F.avg(value).over(s.rowsBetween(-(w // 2), w // 2))
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return df.withColumn(name, F.when(n < w, F.col(value)).otherwise(mean))
+def smooth(df: DataFrame, key: str, seq: str, value: str, w: int = 3, name: str = "smoothed") -> DataFrame:
+    """GEO-22: centred moving average clipped at the ends; short series stay unchanged.
+
+    ``seq`` is a dense position (see ordered_rank).  Each value is sent to the positions
+    it contributes to and averaged there with map-side combining, so no series has to fit
+    one task."""
+    half = w // 2
+    shares = df.select(
+        key,
+        F.col(value).alias("_v"),
+        F.explode(F.sequence(F.col(seq) - half, F.col(seq) + half)).alias(seq),
+    )
+    mean = shares.groupBy(key, seq).agg(F.avg("_v").alias("_m"))
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        df.join(mean, [key, seq])
+        .join(n, key)
+        .withColumn(name, F.when(F.col("_n") < w, F.col(value)).otherwise(F.col("_m")))
+        .drop("_n", "_m")
+    )
 
 
 def real_area(areas: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ COUNTING_SQL = dict(
 
 @query("vqa_02_counting", ctes("shapes", **SCENE, **COUNTING_SQL) + "SELECT * FROM qcount")
 def _(t):
-    return flat(Q.counting(profile(t)))
+    return flat(Q.ask(profile(t), ["counting"]))
 
 
 _CANON = "CASE WHEN contains(relation, 'tangent') THEN 'tangent' WHEN contains(relation, 'circumscribed') THEN 'circumscribed' WHEN contains(relation, 'inscribed') THEN 'inscribed' WHEN relation IN ('concentric', 'similar', 'symmetric') THEN NULL ELSE relation END"
@@ -159,7 +159,7 @@ RELATION_SQL = dict(
 
 @query("vqa_03_relation", ctes("shapes", "relations", **SCENE, **REL_BASE, **RELATION_SQL) + "SELECT * FROM qrel")
 def _(t):
-    return flat(Q.relation(full_profile(t)))
+    return flat(Q.ask(full_profile(t), ["relation"]))
 
 
 def _size_sql() -> dict[str, str]:
@@ -200,7 +200,7 @@ SIZE_SQL = _size_sql()
 
 @query("vqa_04_size", ctes("shapes", **SCENE, **SIZE_SQL) + "SELECT * FROM qsize")
 def _(t):
-    return flat(Q.size(profile(t)))
+    return flat(Q.ask(profile(t), ["size"]))
 
 
 def _quad(x, y, rx, ry):
@@ -228,7 +228,7 @@ LOCATION_SQL = dict(
 
 @query("vqa_05_06_location", ctes("shapes", **SCENE, **LOCATION_SQL) + "SELECT * FROM qloc")
 def _(t):
-    return flat(Q.location(profile(t)))
+    return flat(Q.ask(profile(t), ["location"]))
 
 
 def _plural(x, mark):
@@ -326,7 +326,7 @@ def _(t):
 
 @query("vqa_07e_reference", ctes("shapes", "relations", **SCENE, **REFERENCE_SQL) + "SELECT * FROM qref")
 def _(t):
-    return flat(Q.reference(full_profile(t)))
+    return flat(Q.ask(full_profile(t), ["reference"]))
 
 
 # existence: pair questions and one multiple choice with clarified choices
@@ -389,7 +389,7 @@ EXIST_SQL = _exist_sql()
 
 @query("vqa_08_existence", ctes("shapes", **SCENE, **EXIST_SQL) + "SELECT * FROM qex")
 def _(t):
-    return flat(Q.existence(profile(t)))
+    return flat(Q.ask(profile(t), ["existence"]))
 
 
 _ALL = {**SCENE, **COUNTING_SQL, **REFERENCE_SQL, **RELATION_SQL, **SIZE_SQL, **LOCATION_SQL, **EXIST_SQL}
@@ -431,7 +431,7 @@ def _(t):
     + f"SELECT image_id, answer, array_to_string(c, '|') AS choices FROM ec{len(dims.TYPE_CHILDREN)}",
 )
 def _(t):
-    q = Q.existence(profile(t)).filter(F.col("question").startswith("Which of the following is"))
+    q = Q.ask(profile(t), ["existence"]).filter(F.col("question").startswith("Which of the following is"))
     return q.select("image_id", "answer", F.array_join("choices", "|").alias("choices"))
 
 
@@ -456,7 +456,7 @@ def _(t):
     + "') AS prompt FROM qcount",
 )
 def _(t):
-    return Q.counting(profile(t)).select(
+    return Q.ask(profile(t), ["counting"]).select(
         "image_id", F.col("question_id").cast("bigint").alias("question_id"),
         F.md5(Q.mc_prompt(F.col("question"), F.col("choices"))).alias("prompt"),
     )

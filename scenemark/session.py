@@ -44,3 +44,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_partitions(df: DataFrame) -> int:
+    """Partitions for a CPU-heavy stage: never fewer than the cores at hand, and at scale
+    the session's shuffle setting.  An explicit number is not coalesced away by AQE."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a table scan that has fewer splits than cores before CPU-heavy
+    expressions; scans of large tables are left alone.  Only for plain scans."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
