@@ -35,32 +35,32 @@ QA = "array<struct<question:string,choices:array<string>,answer:string>>"
 # --- profile ---------------------------------------------------------------------------
 
 
-def _region_masks(b: Column) -> tuple[Column, Column, Column]:
-    """Bit r of the three masks: candidate in region r, mostly inside, mostly outside."""
-    eps = 0.0001
-    sb = G.box(b["min_x"] - eps, b["max_y"] + eps, b["max_x"] + eps, b["min_y"] - eps)
-    m2 = 2 * dims.REGION_MARGIN
-
-    def masks(s):
-        area = F.abs(G.box_area(s))
-        cand = near = far = F.lit(0)
-        for r, (_t, x0, y1, x1, y0) in enumerate(dims.REGIONS):
-            inner = G.overlap_area(G.box(x0, y1, x1, y0), s) / area
-            outer = G.overlap_area(G.box(x0 - m2, y1 + m2, x1 + m2, y0 - m2), s) / area
-            bit = F.lit(1 << r)
-            cand = cand + F.when((outer >= 0.9999) & (inner >= dims.REGION_INSIDE), bit).otherwise(0)
-            near = near + F.when(outer >= 0.5, bit).otherwise(0)
-            far = far + F.when(outer < 0.5, bit).otherwise(0)
-        return F.struct(cand.alias("cand"), near.alias("near"), far.alias("far"))
-
-    v = let(sb, masks)
-    return v["cand"], v["near"], v["far"]
+def _region_masks(b: str) -> tuple[Column, Column, Column]:
+    """Bit r of the three masks over a box column: candidate in region r, mostly inside,
+    mostly outside.  Plain arithmetic, so it stays inside generated code."""
+    e = "0.0001D"
+    x0, y1, x1, y0 = f"({b}.min_x - {e})", f"({b}.max_y + {e})", f"({b}.max_x + {e})", f"({b}.min_y - {e})"
+    area = f"abs(({x1} - {x0}) * ({y1} - {y0}))"
+
+    def share(r, grow):
+        a0, b1, a1, b0 = r
+        w = f"greatest(0.0D, least({a1 + grow!r}D, {x1}) - greatest({a0 - grow!r}D, {x0}))"
+        h = f"greatest(0.0D, least({b1 + grow!r}D, {y1}) - greatest({b0 - grow!r}D, {y0}))"
+        return f"({w} * {h} / {area})"
+
+    terms = {"cand": [], "near": [], "far": []}
+    for r, (_t, *corners) in enumerate(dims.REGIONS):
+        inner, outer, bit = share(corners, 0.0), share(corners, 2 * dims.REGION_MARGIN), 1 << r
+        terms["cand"].append(f"IF({outer} >= 0.9999D AND {inner} >= {dims.REGION_INSIDE}D, {bit}, 0)")
+        terms["near"].append(f"IF({outer} >= 0.5D, {bit}, 0)")
+        terms["far"].append(f"IF({outer} < 0.5D, {bit}, 0)")
+    return tuple(F.expr(" + ".join(terms[k])) for k in ("cand", "near", "far"))
 
 
 def type_stats(shapes: DataFrame) -> DataFrame:
     """(image_id, type) statistics from (image_id, shape_idx, type, cx, cy, box, area,
     major_axis, rotation)."""
-    cand, near, far = _region_masks(F.col("box"))
+    cand, near, far = _region_masks("box")
     spot = F.when(F.col("type") == "ellipse", F.struct("cx", "cy", F.coalesce("rotation", F.lit(0.0)).alias("r"))).otherwise(
         F.struct("cx", "cy", F.lit(0.0).alias("r"))
     )
@@ -151,9 +151,23 @@ def qa(question: Column, choices: Column, answer: Column) -> Column:
     return F.struct(question.alias("question"), choices.alias("choices"), answer.alias("answer"))
 
 
+def say(kind: Column, plural: bool = False) -> Column:
+    """Clarified wording of a type, looked up in the scene's prepared names."""
+    name = F.try_element_at(F.col("names")["many" if plural else "one"], kind)
+    return F.coalesce(name, F.concat(kind, F.lit("s")) if plural else kind)
+
+
+def with_names(profile: DataFrame) -> DataFrame:
+    """Adds the clarified names of all types, singular and plural (VQA-10)."""
+    vocab = F.array(*[F.lit(t) for t in dims.SHAPE_TYPES])
+    one = F.map_from_arrays(vocab, F.transform(vocab, lambda t: clarify(t, F.col("present"))))
+    many = F.map_from_arrays(vocab, F.transform(vocab, lambda t: clarify(t, F.col("present"), plural=True)))
+    return profile.withColumn("names", F.struct(one.alias("one"), many.alias("many")))
+
+
 def prepare(profile: DataFrame, seed: str = "vqa") -> DataFrame:
     """Columns that several questions share: evaluated once per scene."""
-    df = profile.withColumn("single_types", F.transform("singles", lambda t: t["type"]))
+    df = with_names(profile).withColumn("single_types", F.transform("singles", lambda t: t["type"]))
     pool = F.array(*[F.lit(k) for k in ("TT", "TF", "FT", "FF")])
     df = df.withColumn("pair_kinds", F.slice(strings_by_hash(pool, f"{seed}:exkind"), 1, 2))
     if "rels" in df.columns:
@@ -214,7 +228,7 @@ def counting(seed: str = "vqa") -> Column:
         )
         nums = let(around, lambda a: F.when(F.size(F.array_distinct(a)) < 4, four.cast("array<bigint>")).otherwise(a))
         return qa(
-            F.concat(F.lit("How many "), clarify(s["type"], F.col("present"), plural=True), F.lit(" are there in the image?")),
+            F.concat(F.lit("How many "), say(s["type"], plural=True), F.lit(" are there in the image?")),
             nums.cast("array<string>"),
             s["n"].cast("string"),
         )
@@ -266,8 +280,8 @@ def relation(seed: str = "vqa") -> Column:
         fake = F.slice(strings_by_hash(rels, f"{seed}:rdis", *key), 1, 3)
         return qa(
             F.concat(
-                F.lit("What is the relationship of the "), clarify(p["t1"], F.col("present")), F.lit(" to the "),
-                clarify(p["t2"], F.col("present")), F.lit(" in the image?"),
+                F.lit("What is the relationship of the "), say(p["t1"]), F.lit(" to the "),
+                say(p["t2"]), F.lit(" in the image?"),
             ),
             F.concat(F.when(p["rel"] == dims.NONE_CHOICE, fake).otherwise(real), F.array(F.lit(dims.NONE_CHOICE))),
             p["rel"],
@@ -326,7 +340,7 @@ def _size_question(pick: Column, dim: str, clip, seed: str) -> Column:
         built = let(value, lambda v: size_choices(v, u01(f"{seed}:spos", "image_id", F.lit(dim))))
         q = F.concat(
             F.lit(f"Suppose that the width and height of the image is 1, which of the following is closest to the {dim} of the "),
-            clarify(t["type"], F.col("present")),
+            say(t["type"]),
             F.lit("?"),
         )
         return let(
@@ -371,14 +385,14 @@ def location(seed: str = "vqa") -> Column:
     relative = F.slice(by_hash(F.filter(pairs, lambda s: s["pos"].isNotNull()), f"{seed}:locrel", "t1", "t2"), 1, n_rel)
 
     def ask(s):
-        a = clarify(s["t1"], F.col("present"))
+        a = say(s["t1"])
         return qa(
             F.when(
                 s["t2"] == "", F.concat(F.lit("Considering the centroid, where is the "), a, F.lit(" located in the image?"))
             ).otherwise(
                 F.concat(
                     F.lit("Considering the centroid, where is the "), a, F.lit(" located relative to the "),
-                    clarify(s["t2"], F.col("present")), F.lit("?"),
+                    say(s["t2"]), F.lit("?"),
                 )
             ),
             strings_by_hash(four, f"{seed}:locshuf", s["t1"], s["t2"]),
@@ -420,8 +434,8 @@ def ref_size(seed: str = "vqa") -> Column:
         others = F.slice(
             F.concat(F.transform(ranked, lambda s: s["t"]), F.filter("absent", lambda t: t != "line")), 1, 3
         )
-        words = F.transform(F.concat(others, F.array(a)), lambda t: clarify(t, F.col("present")))
-        text = clarify(b, F.col("present"))
+        words = F.transform(F.concat(others, F.array(a)), lambda t: say(t))
+        text = say(b)
         named = F.when(anchor["n"] == 1, F.concat(F.lit("the "), text)).otherwise(
             F.concat(F.lit("all the "), plural_mark(text, "s"))
         )
@@ -431,7 +445,7 @@ def ref_size(seed: str = "vqa") -> Column:
                 F.lit(" area than "), named, F.lit("?"),
             ),
             strings_by_hash(words, f"{seed}:sizeshuf"),
-            clarify(a, F.col("present")),
+            say(a),
         )
 
     return let(kinds, build)
@@ -460,15 +474,15 @@ def ref_freq(seed: str = "vqa") -> Column:
         names = F.transform(ts, lambda t: t["t"])
         after = F.slice(names, F.array_position(names, b).cast("int") + 1, F.size(names))
         words = F.transform(
-            F.concat(F.slice(F.concat(after, F.col("absent")), 1, 3), F.array(a)), lambda t: clarify(t, F.col("present"))
+            F.concat(F.slice(F.concat(after, F.col("absent")), 1, 3), F.array(a)), lambda t: say(t)
         )
         return qa(
             F.concat(
                 F.lit("Which of the following is presented in the image and appears "), F.when(more, "more").otherwise("less"),
-                F.lit(" frequently than "), plural_mark(clarify(b, F.col("present")), "(s)"), F.lit("?"),
+                F.lit(" frequently than "), plural_mark(say(b), "(s)"), F.lit("?"),
             ),
             strings_by_hash(words, f"{seed}:freqshuf"),
-            clarify(a, F.col("present")),
+            say(a),
         )
 
     return let(ordered, build)
@@ -498,7 +512,8 @@ def ref_direction(seed: str = "vqa") -> Column:
             lambda r: ((r["t1"] == a) & (r["t2"] == b)) | ((r["t1"] == b) & (r["t2"] == a)),
         )
 
-    def one(ts, text, vx, vy):
+    def one(ts, way):
+        text, vx, vy = way["text"], way["vx"], way["vy"]
         proj = F.transform(
             ts,
             lambda t, i: F.struct(
@@ -535,18 +550,20 @@ def ref_direction(seed: str = "vqa") -> Column:
         return let(F.array_sort(proj), find)
 
     def ask(ts, text, a, b):
-        say = lambda t: clarify(t, F.col("present"))
         pool = F.slice(F.concat(F.transform(ts, lambda t: t["type"]), F.col("absent")), 1, 5)
         others = F.slice(F.filter(pool, lambda t: (t != a) & (t != b)), 1, 3)
-        words = F.transform(F.concat(others, F.array(a)), say)
+        words = F.transform(F.concat(others, F.array(a)), lambda t: say(t))
         return qa(
-            F.concat(F.lit(f"Considering the centroid, which of the following is {text} the "), say(b), F.lit("?")),
-            strings_by_hash(words, f"{seed}:dirshuf", F.lit(text)),
+            F.concat(F.lit("Considering the centroid, which of the following is "), text, F.lit(" the "), say(b), F.lit("?")),
+            strings_by_hash(words, f"{seed}:dirshuf", text),
             say(a),
         )
 
     def build(ts):
-        qs = F.array(*[one(ts, t, vx, vy) for t, vx, vy in dims.DIRECTIONS])
+        ways = F.array(
+            *[F.struct(F.lit(t).alias("text"), F.lit(x).alias("vx"), F.lit(y).alias("vy")) for t, x, y in dims.DIRECTIONS]
+        )
+        qs = F.transform(ways, lambda way: one(ts, way))
         return F.when(F.size(ts) >= 3, F.filter(qs, lambda q: q.isNotNull())).otherwise(F.array().cast(QA))
 
     return let(listed, build)
@@ -554,25 +571,24 @@ def ref_direction(seed: str = "vqa") -> Column:
 
 def ref_region(seed: str = "vqa") -> Column:
     """VQA-7d: array of question structs, one per region with a candidate."""
-    qs = [_region_question(r, text, seed) for r, (text, *_b) in enumerate(dims.REGIONS)]
-    return F.filter(F.array(*qs), lambda q: q.isNotNull())
+    regions = F.array(
+        *[F.struct(F.lit(1 << r).alias("bit"), F.lit(text).alias("text")) for r, (text, *_b) in enumerate(dims.REGIONS)]
+    )
+    return F.filter(F.transform(regions, lambda g: _region_question(g["bit"], g["text"], seed)), lambda q: q.isNotNull())
 
 
-def _region_question(r: int, text: str, seed: str) -> Column:
-    bit = F.lit(1 << r)
+def _region_question(bit: Column, text: Column, seed: str) -> Column:
     has = lambda v: v.bitwiseAND(bit) > 0
     cand = F.transform(F.filter("types", lambda t: has(t["cand"]) & ~has(t["far"])), lambda t: t["type"])
-    answer = F.get(strings_by_hash(cand, f"{seed}:region", F.lit(text)), 0)
+    answer = F.get(strings_by_hash(cand, f"{seed}:region", text), 0)
 
     def ask(a):
         free = F.transform(F.filter("types", lambda t: ~has(t["near"]) & (t["ord"] > 0)), lambda t: t["type"])
-        words = F.transform(
-            F.concat(F.slice(F.concat(free, F.col("absent")), 1, 3), F.array(a)), lambda t: clarify(t, F.col("present"))
-        )
+        words = F.transform(F.concat(F.slice(F.concat(free, F.col("absent")), 1, 3), F.array(a)), lambda t: say(t))
         return qa(
-            F.lit(f"Considering the centroid, which of the following is {text}?"),
-            strings_by_hash(words, f"{seed}:regshuf", F.lit(text)),
-            clarify(a, F.col("present")),
+            F.concat(F.lit("Considering the centroid, which of the following is "), text, F.lit("?")),
+            strings_by_hash(words, f"{seed}:regshuf", text),
+            say(a),
         )
 
     return let(answer, lambda a: F.when(a.isNotNull(), ask(a)))
@@ -611,7 +627,6 @@ def reference(seed: str = "vqa") -> Column:
 
 def existence(seed: str = "vqa") -> Column:
     present, absent = F.col("present"), F.col("absent")
-    say = lambda t: clarify(t, F.col("present"))
     draw = lambda arr, name, k: F.slice(strings_by_hash(arr, f"{seed}:{name}"), 1, k)
 
     def pair(a, b, answer, name):
@@ -693,10 +708,18 @@ def gen_questions(
 # --- prompts and survey samples ----------------------------------------------------------------
 
 
-def questionnaire(questions: DataFrame, per: int = 10, perspectives: list[str] = dims.PERSPECTIVES, seed: str = "survey") -> DataFrame:
+def questionnaire(
+    questions: DataFrame,
+    per: int = 10,
+    perspectives: list[str] = dims.PERSPECTIVES,
+    seed: str = "survey",
+    images: DataFrame | None = None,
+) -> DataFrame:
     """VQA-13: images in random order, image k asks perspective k mod 6; at most ``per``
-    questions each, with the answer's letter."""
-    images = hash_rank(questions.select("image_id").distinct(), [], ["image_id"], seed, "k")
+    questions each, with the answer's letter.  ``images`` saves a pass over the questions
+    where the image list is known."""
+    images = questions if images is None else images
+    images = hash_rank(images.select("image_id").distinct(), [], ["image_id"], seed, "k")
     names = F.array(*[F.lit(p) for p in perspectives])
     turn = images.select(
         "image_id", "k", F.element_at(names, ((F.col("k") - 1) % len(perspectives) + 1).cast("int")).alias("perspective")

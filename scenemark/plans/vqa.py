@@ -302,25 +302,25 @@ _FLATQ = "SELECT image_id, question, array_to_string(choices, '|') AS choices, a
 
 @query("vqa_07a_ref_size", ctes("shapes", **SCENE, **REFSIZE_SQL) + _FLATQ + "qrs")
 def _(t):
-    q = profile(t).select("image_id", Q.ref_size().alias("q")).filter(F.col("q").isNotNull())
+    q = Q.with_names(profile(t)).select("image_id", Q.ref_size().alias("q")).filter(F.col("q").isNotNull())
     return q.select("image_id", "q.question", F.array_join("q.choices", "|").alias("choices"), "q.answer")
 
 
 @query("vqa_07b_ref_freq", ctes("shapes", **SCENE, **REFFREQ_SQL) + _FLATQ + "qrf")
 def _(t):
-    q = profile(t).select("image_id", Q.ref_freq().alias("q")).filter(F.col("q").isNotNull())
+    q = Q.with_names(profile(t)).select("image_id", Q.ref_freq().alias("q")).filter(F.col("q").isNotNull())
     return q.select("image_id", "q.question", F.array_join("q.choices", "|").alias("choices"), "q.answer")
 
 
 @query("vqa_07c_ref_direction", ctes("shapes", "relations", **SCENE, **REL_BASE, **REFDIR_SQL) + _FLATQ + "qrd")
 def _(t):
-    q = full_profile(t).select("image_id", F.explode(Q.ref_direction()).alias("q"))
+    q = Q.with_names(full_profile(t)).select("image_id", F.explode(Q.ref_direction()).alias("q"))
     return q.select("image_id", "q.question", F.array_join("q.choices", "|").alias("choices"), "q.answer")
 
 
 @query("vqa_07d_ref_region", ctes("shapes", **SCENE, **REFREG_SQL) + _FLATQ + "qrg")
 def _(t):
-    q = profile(t).select("image_id", F.explode(Q.ref_region()).alias("q"))
+    q = Q.with_names(profile(t)).select("image_id", F.explode(Q.ref_region()).alias("q"))
     return q.select("image_id", "q.question", F.array_join("q.choices", "|").alias("choices"), "q.answer")
 
 
@@ -444,7 +444,7 @@ def _(t):
     FROM allq JOIN tn USING (image_id, perspective) QUALIFY row_number() OVER (PARTITION BY perspective ORDER BY k, question_id) <= 10""",
 )
 def _(t):
-    q = Q.questionnaire(Q.gen_questions(shapes(t), frame(t, "relations")))
+    q = Q.questionnaire(Q.gen_questions(shapes(t), frame(t, "relations")), images=shapes(t))
     return q.select("perspective", "image_id", F.col("question_id").cast("bigint").alias("question_id"), "question", "answer", "key")
 
 
