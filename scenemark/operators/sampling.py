@@ -55,6 +55,34 @@ def hash_rank(df: DataFrame, group: list[str], keys: list[str], seed: str, name:
     )
 
 
+def _bucketed(df: DataFrame, order: Column, buckets: int) -> DataFrame:
+    """Adds ``_o`` (the order value) and ``_b`` (its bucket over the column's range)."""
+    tagged = df.withColumn("_o", order.cast("double"))
+    span = tagged.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo")) / buckets
+    bucket = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_o") - F.col("_lo")) / width))).otherwise(0)
+    return tagged.crossJoin(F.broadcast(span)).withColumn("_b", bucket.cast("int")).drop("_lo", "_hi")
+
+
+def forward_fill(
+    df: DataFrame, group: list[str], order: Column, value: str, ties: list[str], default, buckets: int = 1024
+) -> DataFrame:
+    """Last non-NULL value so far within a group; buckets as in ordered_rank, so a hot
+    group is filled by many tasks and only bucket ends travel."""
+    placed = _bucketed(df, order, buckets)
+    known = F.when(F.col(value).isNotNull(), F.struct("_o", *ties))
+    ends = placed.groupBy(*group, "_b").agg(F.max_by(value, known).alias("_end"))
+    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*group, "_b", F.last("_end", True).over(before).alias("_carry"))
+    inside = Window.partitionBy(*group, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.withColumn("_cur", F.last(value, True).over(inside))
+        .join(carry, [*group, "_b"])
+        .withColumn(value, F.coalesce("_cur", "_carry", F.lit(default)))
+        .drop("_o", "_b", "_cur", "_carry")
+    )
+
+
 def ordered_rank(
     df: DataFrame, group: list[str], order: Column, ties: list[str], name: str = "seq", buckets: int = 1024
 ) -> DataFrame:
@@ -62,13 +90,7 @@ def ordered_rank(
 
     The column's range is cut into buckets (one small aggregate finds it), so a series
     holding a third of all rows is ranked by many tasks; offsets come from bucket sizes."""
-    tagged = df.withColumn("_o", order.cast("double"))
-    span = tagged.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    placed = tagged.crossJoin(F.broadcast(span)).withColumn(
-        "_b",
-        F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_o") - F.col("_lo")) / width))).otherwise(0).cast("int"),
-    )
+    placed = _bucketed(df, order, buckets)
     sizes = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group, F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -77,7 +99,7 @@ def ordered_rank(
         placed.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, [*group, "_b"])
         .withColumn(name, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_o", "_lo", "_hi", "_b", "_rn", "_off")
+        .drop("_o", "_b", "_rn", "_off")
     )
 
 
