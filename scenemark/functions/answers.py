@@ -350,3 +350,115 @@ def decimals_instruction(answer) -> Column:
     return F.when(dec.isNull(), "* Your final answer must be an exact integer.").otherwise(
         F.concat(F.lit("* Your final answer must be a number with "), F.length(dec), F.lit(" decimal places."))
     )
+
+
+# --- EVA-24: final answer of a worked solution -------------------------------------------------
+
+# fixed values: phrases that introduce an answer, and LaTeX clean-up in order
+ANSWER_PHRASES = ["the final answer is", "the answer is", "the correct answer is", "the answer should be"]
+LATEX_FIRST = [
+    (" ", ""), ("\\,", ""), ("+\\infty", "\\infty"), ("\\\\", "\\"), ("\n", ""), ("\\text", ""), ("\\mbox", ""),
+    ("bmatrix", "pmatrix"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("{m}^3", ""), ("m^3", ""),
+    ("{units}", ""), ("units", ""), ("{km}", ""), ("km", ""),
+]
+LATEX_SECOND = [
+    ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""),
+    ("^\\circ", ""), ("\\$", ""), ("$", ""),
+]
+BRACKETED = [("(" + c + ")", c) for c in "abcde"] + [("{" + c + "}", c) for c in "abcde"]
+
+
+def replace_all(c: Column, table: list[tuple[str, str]]) -> Column:
+    for a, b in table:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _after_last(c: Column, mark: str) -> Column:
+    return F.substring_index(c, mark, -1)
+
+
+def _only_value(c: Column, mark: str) -> Column:
+    """What follows ``mark`` if it occurs exactly once."""
+    return F.when(F.size(F.split(c, F.lit(mark.replace("\\", "\\\\")))) == 2, _after_last(c, mark)).otherwise(c)
+
+
+def _trim_ws(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _announced(c: Column) -> Column:
+    """Sentence after the last answer phrase, for each phrase in turn."""
+    for phrase in ANSWER_PHRASES:
+        for p in (phrase, phrase.replace("the", "The")):
+            c = let(c, _phrase_step(p))
+    return c
+
+
+def _phrase_step(phrase: str):
+    def step(v):
+        tail = _trim_ws(_after_last(v, phrase))
+        first = F.substring_index(F.substring_index(tail, "\n", 1), ". ", 1)
+        return F.when(v.contains(phrase), first).otherwise(_trim_ws(v))
+
+    return step
+
+
+def clean_latex(col) -> Column:
+    """LaTeX answer in plain form: formatting dropped, the value after '=' or '\\approx'
+    taken, square roots and fractions braced, a/b and 0.5 as fractions."""
+    s = replace_all(_c(col), LATEX_SECOND)
+    s = F.substring_index(s, "\\text{ ", 1)
+    s = replace_all(s, [("\\%", ""), ("%", ""), (" .", " 0."), ("{.", "{0.")])
+    s = let(s, lambda v: F.when(v.startswith("."), F.concat(F.lit("0"), v)).otherwise(v))
+    s = let(s, lambda v: _only_value(v, "="))
+    s = let(s, lambda v: _only_value(v, "\\approx"))
+    s = F.regexp_replace(s, r"\\sqrt(?!\\sqrt)([^{])", r"\\sqrt{$1}")
+    s = F.replace(s, F.lit(" "), F.lit(""))
+
+    def fracs(v):
+        braced = F.regexp_replace(
+            F.regexp_replace(v, r"\\frac([^{])\{", r"\\frac{$1}{"), r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"
+        )
+        short = v.rlike(r"\\frac[^{]?(?=\\frac|$)")
+        return F.when(v.contains("sqrt") & ~short, braced).otherwise(v)
+
+    s = let(s, fracs)
+    s = let(s, lambda v: F.when(v == "0.5", "\\frac{1}{2}").otherwise(v))
+    return F.regexp_replace(s, r"^(-?[1-9]\d*|0)/(-?[1-9]\d*|0)$", r"\\frac{$1}{$2}")
+
+
+def _math_part(c: Column) -> Column:
+    s = F.replace(F.lower(c), F.lit("{}"), F.lit(""))
+    s = let(s, lambda v: F.coalesce(last_of(find_all(v, r"(?s)oxed\{(.*)\}")), v))
+
+    def closed(v):
+        a, b = F.instr(v, "{"), F.instr(v, "}")
+        return F.when((b > 0) & ((a == 0) | (b < a)), F.substring_index(v, "}", 1)).otherwise(v)
+
+    s = let(s, closed)
+    s = _after_last(_after_last(s, "="), "\\approx")
+    return clean_latex(replace_all(s, LATEX_FIRST))
+
+
+def final_answer(col) -> Column:
+    """EVA-24: letter A–E, number after 'is ', announced or boxed answer, cleaned."""
+    text = _trim_ws(_c(col))
+
+    def letter(v):
+        out = F.when(v.rlike(r"(?U)\bA\b"), "A")
+        for c in "BCDE":
+            out = out.when(v.rlike(rf"(?U)\b{c}\b"), c)
+        return out.otherwise(v)
+
+    def number(v):
+        tail = F.regexp_replace(_after_last(v, "is "), r"\.+$", "")
+        return let(tail, lambda t: F.when(t.try_cast("double").isNotNull(), t).otherwise(v))
+
+    def boxed(v):
+        n = F.size(F.split(v, r"oxed\{")) - 1
+        return F.when(n == 0, _announced(v)).when(n > 1, F.concat(F.lit("\\boxed{"), _after_last(v, "oxed{"))).otherwise(v)
+
+    s = let(let(let(text, letter), number), boxed)
+    s = replace_all(_math_part(s), BRACKETED)
+    return _trim_ws(F.regexp_replace(F.regexp_replace(s, r"\.+$", ""), r"^:+", ""))

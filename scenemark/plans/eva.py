@@ -566,6 +566,25 @@ def _(t):
     return merged.select(*key, "extraction")
 
 
+@query(
+    "eva_24_final_answer",
+    r"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_suppkey % 6 WHEN 0 THEN l_quantity::INT::VARCHAR WHEN 1 THEN '\frac{' || l_quantity::INT || '}{7}'
+    WHEN 2 THEN substr('abcde', (l_partkey % 5)::INT + 1, 1) WHEN 3 THEN '\sqrt{' || (l_partkey % 9 + 1) || '}+\frac{1}{2}' WHEN 4 THEN '\frac{1}{2}' ELSE l_quantity::INT::VARCHAR END AS answer FROM lineitem""",
+)
+def _(t):
+    q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey") % 6
+    letter = F.substring(F.lit("ABCDE"), (F.col("l_partkey") % 5 + 1).cast("int"), F.lit(1))
+    text = (
+        F.when(k == 0, F.concat(F.lit("First. The answer is "), q, F.lit(". Done")))
+        .when(k == 1, F.concat(F.lit("So x = "), q, F.lit(" and \\boxed{"), q, F.lit("/7}")))
+        .when(k == 2, F.concat(F.lit("we pick "), letter, F.lit(" here")))
+        .when(k == 3, F.concat(F.lit("\\boxed{1} then \\boxed{\\sqrt"), (F.col("l_partkey") % 9 + 1).cast("string"), F.lit("+\\frac12}")))
+        .when(k == 4, "it is .5")
+        .otherwise(F.concat(F.lit("value\\approx "), q, F.lit("\\text{ km}")))
+    )
+    return t.lineitem.select(*_LK.split(", "), A.final_answer(text).alias("answer"))
+
+
 @query(
     "eva_25_accuracy_cube",
     ctes("levels")

@@ -180,7 +180,7 @@ _ENRICH = f"""WITH r AS (SELECT l_orderkey AS image_id, {SEQ} AS shape_idx, (['p
 
 
 @query(
-    "geo_20_enrich",
+    "geo_01_05_09_20_enrich",
     _ENRICH + f"SELECT image_id, shape_idx, type, {R('cx', 4)} AS cx, {R('cy', 4)} AS cy, {R('area', 4)} AS area, {R('max_x', 4)} AS max_x FROM b",
 )
 def _(t):

@@ -135,6 +135,21 @@ def _(t):
     return Rd.read_json_map(t.spark, path, "struct<desc:string,scale:double>", "image")
 
 
+@query(
+    "src_04_read_any",
+    "SELECT p_partkey, p_name, 'json' AS kind FROM part UNION ALL SELECT p_partkey, p_name, 'jsonl' FROM part",
+)
+def _(t):
+    base, schema = scratch(t), "p_partkey long, p_name string"
+    arr = t.part.groupBy(F.floor(F.col("p_partkey") / 500).alias("g")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name"))).alias("value"))
+    arr.select("g", "value").write.partitionBy("g").text(f"{base}/a.json")
+    Wr.write_jsonl(t.part.select("p_partkey", "p_name"), f"{base}/a.jsonl")
+    parts = [
+        Rd.read_any(t.spark, f"{base}/a.{k}", schema).select("p_partkey", "p_name", F.lit(k).alias("kind")) for k in ("json", "jsonl")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query("src_05_csv", "SELECT conv_id, turn, md5(text) AS text FROM conversations")
 def _(t):
     path = scratch(t)
