@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenemark.functions import geometry as G
+from scenemark.functions.answers import let
 
 PT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("min_x", "max_y", "max_x", "min_y")])
@@ -46,21 +49,38 @@ def type_counts(shapes: DataFrame) -> DataFrame:
 # counted in the one cell that holds the lower left corner of its overlap.
 
 
+def scene_grid(items: DataFrame, per_cell: int = 16, most: int = 64) -> int:
+    """Cells per side so that the fullest scene has about ``per_cell`` items a cell; 1 (no
+    replication at all) where every scene is small.  One aggregate over the scene key."""
+    n = items.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(1, min(most, math.ceil(math.sqrt(n / per_cell))))
+
+
+def _cell_of(v: Column, grid: int) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(v * grid).cast("int")))
+
+
 def _cells(b: Column, grid: int) -> Column:
-    lo = lambda v: F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(v * grid).cast("int")))
-    rows = F.sequence(lo(b["min_y"]), lo(b["max_y"]))
+    if grid == 1:
+        return F.array(F.lit(0))
+    rows = F.sequence(_cell_of(b["min_y"], grid), _cell_of(b["max_y"], grid))
     return F.flatten(
-        F.transform(F.sequence(lo(b["min_x"]), lo(b["max_x"])), lambda i: F.transform(rows, lambda j: i * grid + j))
+        F.transform(
+            F.sequence(_cell_of(b["min_x"], grid), _cell_of(b["max_x"], grid)),
+            lambda i: F.transform(rows, lambda j: i * grid + j),
+        )
     )
 
 
 def _home_cell(a: Column, b: Column, grid: int) -> Column:
-    cell = lambda v: F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(v * grid).cast("int")))
-    return cell(F.greatest(a["min_x"], b["min_x"])) * grid + cell(F.greatest(a["min_y"], b["min_y"]))
+    return _cell_of(F.greatest(a["min_x"], b["min_x"]), grid) * grid + _cell_of(F.greatest(a["min_y"], b["min_y"]), grid)
 
 
-def box_meetings(items: DataFrame, key: list[str], box: str, grid: int, carry: list[str]) -> DataFrame:
-    """Pairs (a, b) of one scene whose boxes meet; columns are structs ``a`` and ``b``."""
+def box_meetings(items: DataFrame, key: list[str], box: str, carry: list[str], grid: int | None = None) -> DataFrame:
+    """Pairs (a, b) of one scene whose boxes meet, a before b; columns are structs.  A
+    crowded scene is cut into more cells, so its work is spread; only boxes that really
+    meet leave the join."""
+    grid = grid or scene_grid(items)
     payload = F.struct(*key, F.col(box).alias("box"), *carry)
     cells = items.select("image_id", payload.alias("p"), F.explode(_cells(F.col(box), grid)).alias("cell"))
     a = cells.select("image_id", "cell", F.col("p").alias("a"))
@@ -75,9 +95,9 @@ def box_meetings(items: DataFrame, key: list[str], box: str, grid: int, carry: l
     return a.join(b, ["image_id", "cell"]).filter(earlier & meet).drop("cell")
 
 
-def overlap_sums(shapes: DataFrame, grid: int = 8) -> DataFrame:
+def overlap_sums(shapes: DataFrame, grid: int | None = None) -> DataFrame:
     """GEO-11: per shape the sum of IoU with the earlier shapes of its scene."""
-    pairs = box_meetings(shapes, ["shape_idx"], "box", grid, [])
+    pairs = box_meetings(shapes, ["shape_idx"], "box", [], grid)
     hits = pairs.select(
         "image_id", F.col("b.shape_idx").alias("shape_idx"), G.iou(F.col("a.box"), F.col("b.box")).alias("iou")
     )
@@ -87,7 +107,7 @@ def overlap_sums(shapes: DataFrame, grid: int = 8) -> DataFrame:
     )
 
 
-def no_overlap(shapes: DataFrame, threshold: float = 0.2, grid: int = 8) -> DataFrame:
+def no_overlap(shapes: DataFrame, threshold: float = 0.2, grid: int | None = None) -> DataFrame:
     """GEO-11: shapes whose overlap with the earlier ones stays within the threshold."""
     ok = overlap_sums(shapes, grid).filter(F.col("iou_sum") <= threshold)
     return shapes.join(ok.select("image_id", "shape_idx"), ["image_id", "shape_idx"], "left_semi")
@@ -98,36 +118,44 @@ def in_canvas(shapes: DataFrame, threshold: float = 0.8) -> DataFrame:
     return shapes.filter(G.canvas_ratio(F.col("box")) >= threshold)
 
 
-def edges(shapes: DataFrame) -> DataFrame:
-    """Closed-ring edges of (image_id, shape_idx, points): p, q and the box of the edge
-    lengthened by the crossing tolerance."""
-    p = F.col("points")
-    ring = F.zip_with(p, G.rotate(p), lambda a, b: F.struct(a.alias("p"), b.alias("q")))
-    e = shapes.filter(F.size("points") >= 2).select("image_id", "shape_idx", F.posexplode(ring).alias("edge", "e"))
-    ax, ay, bx, by = F.col("e.p.x"), F.col("e.p.y"), F.col("e.q.x"), F.col("e.q.y")
-    px, py = F.abs(bx - ax) * 0.1 + 1e-6, F.abs(by - ay) * 0.1 + 1e-6
-    return e.select(
-        "image_id",
-        "shape_idx",
-        "edge",
-        F.col("e.p").alias("p"),
-        F.col("e.q").alias("q"),
-        G.box(F.least(ax, bx) - px, F.greatest(ay, by) + py, F.greatest(ax, bx) + px, F.least(ay, by) - py).alias("box"),
-    )
+def count_crossings(p: Column, q: Column) -> Column:
+    """Crossings between the edges of two closed rings."""
+    ring = lambda r: F.zip_with(r, G.rotate(r), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
 
+    def against(other):
+        def one(n, e):
+            hit = lambda m, f: m + G.segments_intersect(e["s"], e["e"], f["s"], f["e"]).cast("int")
+            return F.aggregate(other, n, hit)
 
-def crossings(shapes: DataFrame, grid: int = 8) -> DataFrame:
-    """GEO-14: per shape the number of edge crossings with earlier shapes of its scene."""
-    pairs = box_meetings(edges(shapes), ["shape_idx", "edge"], "box", grid, ["p", "q"])
-    hit = G.segments_intersect(F.col("a.p"), F.col("a.q"), F.col("b.p"), F.col("b.q"))
+        return F.aggregate(ring(p), F.lit(0), one)
+
+    return let(ring(q), against)
+
+
+def crossings(shapes: DataFrame, grid: int | None = None) -> DataFrame:
+    """GEO-14: per shape of (image_id, shape_idx, points) the number of edge crossings with
+    earlier shapes of its scene.
+
+    An edge lengthened by the 10 % tolerance stays within the shape's box grown by a tenth,
+    so only shapes whose grown boxes meet are compared, edge by edge inside the row."""
+    b = G.bbox("points")
+
+    def grow(v):
+        px, py = (v["max_x"] - v["min_x"]) * 0.1 + 1e-6, (v["max_y"] - v["min_y"]) * 0.1 + 1e-6
+        return G.box(v["min_x"] - px, v["max_y"] + py, v["max_x"] + px, v["min_y"] - py)
+
+    rings = shapes.filter(F.size("points") >= 2).select("image_id", "shape_idx", "points", let(b, grow).alias("box"))
+    pairs = box_meetings(rings, ["shape_idx"], "box", ["points"], grid)
     found = pairs.select(
-        "image_id", F.col("b.shape_idx").alias("shape_idx"), hit.cast("bigint").alias("n")
+        "image_id",
+        F.col("b.shape_idx").alias("shape_idx"),
+        count_crossings(F.col("a.points"), F.col("b.points")).cast("bigint").alias("n"),
     )
     none = shapes.select("image_id", "shape_idx", F.lit(0).cast("bigint").alias("n"))
     return none.unionByName(found).groupBy("image_id", "shape_idx").agg(F.sum("n").alias("crossings"))
 
 
-def valid_intersection(shapes: DataFrame, most: int = 1, grid: int = 8) -> DataFrame:
+def valid_intersection(shapes: DataFrame, most: int = 1, grid: int | None = None) -> DataFrame:
     """GEO-14: shapes that add at most ``most`` crossings."""
     ok = crossings(shapes, grid).filter(F.col("crossings") <= most)
     return shapes.join(ok.select("image_id", "shape_idx"), ["image_id", "shape_idx"], "left_semi")

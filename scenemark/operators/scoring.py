@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scenemark import dims
 from scenemark.functions import answers as A
+from scenemark.functions.ngrams import FIELDS, ngram_overlap
 from scenemark.functions.numeric import rnd
 from scenemark.functions.rnd import _c
 from scenemark.operators.sampling import hash_rank
@@ -410,55 +411,11 @@ def ensemble_requery(
     )
 
 
-def _ngrams(t: Column, k: int) -> Column:
-    """All k-grams as struct(n, g); reads elements in place, so linear in the text."""
-
-    def gram(i):
-        return F.struct(F.lit(k).alias("n"), F.concat_ws(" ", *[F.get(t, i + j) for j in range(k)]).alias("g"))
-
-    return F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(0), F.size(t) - k), gram)).otherwise(
-        F.array().cast("array<struct<n:int,g:string>>")
-    )
-
-
-def bleu4(df: DataFrame, key: str = "id") -> DataFrame:
-    """EVA-34: corpus BLEU-4 with brevity penalty; references is an array of texts.
-
-    n-grams are exploded and counted per (row, n-gram, text), clipped by the best
-    reference, then summed: two map-side combined aggregations, no pair of texts joined."""
-    toks = lambda c: A.find_all(F.lower(c), r"(?U)(\w+|[^\w\s])")
-    texts = F.concat(F.array("hypothesis"), "references")
-    tok = df.select(key, F.posexplode(texts).alias("side", "txt")).select(key, "side", toks(F.col("txt")).alias("t"))
-    n = F.size("t")
-    grams = F.flatten(F.array(*[_ngrams(F.col("t"), k) for k in range(1, 5)]))
-    clipped = (
-        tok.select(key, "side", F.explode(grams).alias("x"))
-        .groupBy(key, "x.n", "x.g", "side")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy(key, "n", "g")
-        .agg(
-            F.coalesce(F.max(F.when(F.col("side") == 0, F.col("c"))), F.lit(0)).alias("h"),
-            F.coalesce(F.max(F.when(F.col("side") > 0, F.col("c"))), F.lit(0)).alias("r"),
-        )
-        .agg(
-            *[F.coalesce(F.sum(F.when(F.col("n") == k, F.least("h", "r"))), F.lit(0)).alias(f"m{k}") for k in range(1, 5)],
-            *[F.coalesce(F.sum(F.when(F.col("n") == k, F.col("h"))), F.lit(0)).alias(f"t{k}") for k in range(1, 5)],
-        )
-    )
-    lens = (
-        tok.select(key, "side", n.alias("n"))
-        .groupBy(key)
-        .agg(
-            F.max(F.when(F.col("side") == 0, F.col("n"))).alias("hl"),
-            F.collect_list(F.when(F.col("side") > 0, F.col("n"))).alias("rl"),
-        )
-        .select(
-            "hl",
-            F.array_min(F.transform("rl", lambda r: F.struct(F.abs(r - F.col("hl")).alias("d"), r.alias("n"))))["n"].alias("rl"),
-        )
-        .agg(F.sum("hl").alias("hl"), F.sum("rl").alias("rl"))
-    )
-    sums = clipped.crossJoin(F.broadcast(lens))
+def bleu4(df: DataFrame) -> DataFrame:
+    """EVA-34: corpus BLEU-4 with brevity penalty; references is an array of texts.  Matches
+    are counted inside each row; only ten sums are aggregated."""
+    x = ngram_overlap("hypothesis", "references")
+    sums = df.select(x.alias("x")).agg(*[F.coalesce(F.sum(f"x.{f}"), F.lit(0)).alias(f) for f in FIELDS])
     logs = reduce(lambda a, b: a + b, [F.log(F.try_divide(F.col(f"m{k}"), F.col(f"t{k}"))) for k in range(1, 5)])
     dead = reduce(lambda a, b: a | b, [F.col(f"m{k}") == 0 for k in range(1, 5)])
     bp = F.when(F.col("hl") < F.col("rl"), F.exp(1 - F.try_divide(F.col("rl"), F.col("hl")))).otherwise(1.0)

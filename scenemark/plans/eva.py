@@ -156,7 +156,7 @@ def _score_sql(r: str, p: str) -> str:
     + f"SELECT image, {R('r[1]', 4)} AS lo, {R('r[len(r)]', 4)} AS hi, coalesce(len(r), 0) AS n FROM x",
 )
 def _(t):
-    m = frame(t, "measure_text").select("image", A.extract_range("ref_text").alias("r"))
+    m = frame(t, "measure_text", heavy=True).select("image", A.extract_range("ref_text").alias("r"))
     return m.select(
         "image",
         rnd(F.get("r", F.lit(0)), 4).alias("lo"),
@@ -171,7 +171,7 @@ def _(t):
     + f"SELECT image, {_score_sql('r', 'p')} AS score FROM x",
 )
 def _(t):
-    m = frame(t, "measure_text")
+    m = frame(t, "measure_text", heavy=True)
     return m.select("image", A.range_score(A.extract_range("ref_text"), A.extract_range("out_text")).alias("score"))
 
 
@@ -194,7 +194,7 @@ def _phrase_select(duck: bool) -> str:
 
 
 def phrases(t):
-    return t.sql(_phrase_select(False), "lineitem")
+    return t.sql(_phrase_select(False), "lineitem", heavy=True)
 
 
 def _case(word: str, table: dict) -> str:
@@ -275,7 +275,7 @@ _FEATS = ["length", "chomata", "axis_shape", "size"]
 
 
 def _features(t):
-    m, p = frame(t, "measure_text"), phrases(t)
+    m, p = frame(t, "measure_text", heavy=True), phrases(t)
     key = _LK.split(", ")
     j = m.join(p, key)
     long = lambda texts: j.select(
@@ -582,7 +582,7 @@ def _(t):
         .when(k == 4, "it is .5")
         .otherwise(F.concat(F.lit("value\\approx "), q, F.lit("\\text{ km}")))
     )
-    return t.lineitem.select(*_LK.split(", "), A.final_answer(text).alias("answer"))
+    return t.heavy("lineitem").select(*_LK.split(", "), A.final_answer(text).alias("answer"))
 
 
 @query(
@@ -774,6 +774,7 @@ def _soft(t):
     x = t.sql(
         f"SELECT {_LK}, element_at(array({', '.join(repr(a) for a in _ANS10)}), cast(l_suppkey % 10 as int) + 1) AS pred, {_gts(False)} AS gts FROM {{lineitem}}",
         "lineitem",
+        heavy=True,
     )
     return x.select(
         *_LK.split(", "), A.vqa_normalise("pred").alias("pred"), F.transform("gts", lambda g: A.vqa_normalise(g)).alias("gts")
@@ -800,7 +801,7 @@ _SOFT_SQL = (
     "WITH c AS (SELECT conv_id, turn, text AS txt FROM conversations) SELECT conv_id, turn, md5(" + _norm_sql("txt") + ") AS norm FROM c",
 )
 def _(t):
-    return t.conversations.select("conv_id", "turn", F.md5(A.vqa_normalise("text")).alias("norm"))
+    return t.heavy("conversations").select("conv_id", "turn", F.md5(A.vqa_normalise("text")).alias("norm"))
 
 
 @query(
@@ -842,7 +843,7 @@ _TOK = r"regexp_extract_all(lower({c}), '([\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{
     + f"""SELECT m1, m2, m3, m4, t1, t4, hl, rl, {R('CASE WHEN least(m1, m2, m3, m4) = 0 THEN 0.0 ELSE (CASE WHEN hl < rl THEN exp(1 - rl / hl) ELSE 1.0 END) * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) END', 4)} AS bleu4 FROM w, l""",
 )
 def _(t):
-    p = frame(t, "pairs_text").select("id", F.col("prediction").alias("hypothesis"), F.array("reference").alias("references"))
+    p = frame(t, "pairs_text").select(F.col("prediction").alias("hypothesis"), F.array("reference").alias("references"))
     out = S.bleu4(p)
     return out.select(*[F.col(c).cast("bigint") for c in ["m1", "m2", "m3", "m4", "t1", "t4", "hl", "rl"]], "bleu4")
 

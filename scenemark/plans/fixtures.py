@@ -185,10 +185,10 @@ _TABLES = {
 }
 
 
-def frame(t: Tables, name: str):
+def frame(t: Tables, name: str, heavy: bool = False):
     """The derived input as a Spark DataFrame."""
     text = globals()[name](Spark)
-    return t.sql(text.replace("varchar(20)", "string").replace("varchar(8)", "string").replace("varchar(4)", "string"), *_TABLES[name])
+    return t.sql(text.replace("varchar(20)", "string").replace("varchar(8)", "string").replace("varchar(4)", "string"), *_TABLES[name], heavy=heavy)
 
 
 def sql(name: str) -> str:

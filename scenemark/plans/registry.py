@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scenemark.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -39,6 +41,12 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sql(self, text: str, *names: str) -> DataFrame:
+    def heavy(self, name: str) -> DataFrame:
+        """The table for CPU-heavy expressions: a scan with fewer splits than cores is
+        spread first."""
+        return spread(getattr(self, name))
+
+    def sql(self, text: str, *names: str, heavy: bool = False) -> DataFrame:
         """Run a SELECT over the named tables (``{name}`` in the text)."""
-        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
+        get = self.heavy if heavy else self.__getattr__
+        return self.spark.sql(text, **{n: get(n) for n in names})

@@ -25,7 +25,7 @@ def tagged(t):
             F.get(tags, (i * 3 + F.col("doc_id")).cast("int") % 21), F.lit(">"),
         ),
     )
-    return t.documents.select("doc_id", F.array_join(body, " ").alias("text"))
+    return t.heavy("documents").select("doc_id", F.array_join(body, " ").alias("text"))
 
 
 _TAGGED = f"""WITH d AS (SELECT doc_id, string_split(translate(text, '<>', ''), '. ') AS s FROM documents),
@@ -62,7 +62,7 @@ def _json_replies(t):
     """Replies that hold an array, an object, or brackets that do not match."""
     k = F.col("event_id") % 5
     arr = F.concat(F.lit("note ["), "props", F.lit(", "), "props", F.lit("] end"))
-    return t.events.select(
+    return t.heavy("events").select(
         "event_id", "props",
         F.when(k == 0, arr)
         .when(k == 1, F.concat(F.lit("note "), "props", F.lit(" end")))

@@ -13,7 +13,7 @@ from scenemark.plans.registry import query
 
 
 def shapes(t):
-    s = frame(t, "shapes")
+    s = frame(t, "shapes", heavy=True)
     cols = ["image_id", "shape_idx", "type", "cx", "cy", "area", "major_axis", "rotation"]
     dbl = ["cx", "cy", "area", "major_axis", "rotation", "min_x", "max_y", "max_x", "min_y"]
     s = s.select("image_id", "shape_idx", "type", *[F.col(c).cast("double").alias(c) for c in dbl])
