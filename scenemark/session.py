@@ -20,6 +20,8 @@ def local_session(cores: str | None = None, partitions: int | None = None) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SCENEMARK_DRIVER_MEMORY", "12g"))
+        # small local inputs still use all cores in CPU-heavy stages
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
