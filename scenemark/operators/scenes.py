@@ -138,6 +138,7 @@ def crossings(shapes: DataFrame, grid: int | None = None) -> DataFrame:
 
     An edge lengthened by the 10 % tolerance stays within the shape's box grown by a tenth,
     so only shapes whose grown boxes meet are compared, edge by edge inside the row."""
+    grid = grid or scene_grid(shapes)
     b = G.bbox("points")
 
     def grow(v):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scenemark import schemas
@@ -16,6 +17,9 @@ def append_new(batch: DataFrame, sink: str, key: list[str], part: str | None = N
     fresh = batch.dropDuplicates(key)
     try:
         done = spark.read.parquet(sink).select(*key)
+        if part:
+            # few values; lets the reader prune the other partitions
+            done = done.join(F.broadcast(fresh.select(part).distinct()), part, "left_semi")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
