@@ -29,6 +29,7 @@ from scenemark.functions.wording import (
 from scenemark.operators.sampling import hash_rank, top_k, weighted_key
 from scenemark.session import work_partitions
 
+BOX = ("min_x", "max_y", "max_x", "min_y")
 QA = "array<struct<question:string,choices:array<string>,answer:string>>"
 
 
@@ -61,23 +62,26 @@ def type_stats(shapes: DataFrame) -> DataFrame:
     """(image_id, type) statistics from (image_id, shape_idx, type, cx, cy, box, area,
     major_axis, rotation)."""
     cand, near, far = _region_masks("box")
-    spot = F.when(F.col("type") == "ellipse", F.struct("cx", "cy", F.coalesce("rotation", F.lit(0.0)).alias("r"))).otherwise(
-        F.struct("cx", "cy", F.lit(0.0).alias("r"))
-    )
+    # Order by major axis (6 decimals), the earlier shape first on ties, as one number: with
+    # plain number buffers the aggregate hashes instead of sorting its input.
+    axis = F.bround(F.col("major_axis") * 1000000, 0).cast("decimal(18,0)")
+    rank = axis * F.lit("10000000000000000000").cast("decimal(20,0)") - F.col("shape_idx").cast("decimal(19,0)")
     s = shapes.select(
-        "image_id", "type", "shape_idx", "cx", "cy", "box", "area", "major_axis",
-        spot.alias("spot"), F.struct(cand.alias("c"), near.alias("n"), far.alias("f")).alias("m"),
+        "image_id", "type", "shape_idx", "cx", "cy", "area",
+        F.coalesce("rotation", F.lit(0.0)).alias("rot"),
+        *[F.col(f"box.{k}").alias(k) for k in BOX],
+        cand.alias("c"), near.alias("m"), far.alias("f"), rank.cast("decimal(38,0)").alias("rank"),
     )
-    rep = F.max(F.struct(F.col("major_axis"), (-F.col("shape_idx")).alias("neg"), "cx", "cy", "box", "area")).alias("rep")
+    one = [F.min(k) == F.max(k) for k in ("cx", "cy")]
     return s.groupBy("image_id", "type").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("area").alias("min_area"),
         F.max("area").alias("max_area"),
-        rep,
-        (F.min("spot") == F.max("spot")).alias("one_spot"),
-        F.bit_or("m.c").alias("cand"),
-        F.bit_or("m.n").alias("near"),
-        F.bit_or("m.f").alias("far"),
+        *[F.max_by(k, "rank").alias(k) for k in ("shape_idx", "cx", "cy", "area", *BOX)],
+        (one[0] & one[1] & ((F.col("type") != "ellipse") | (F.min("rot") == F.max("rot")))).alias("one_spot"),
+        F.bit_or("c").alias("cand"),
+        F.bit_or("m").alias("near"),
+        F.bit_or("f").alias("far"),
     )
 
 
@@ -90,8 +94,7 @@ def profiles(shapes: DataFrame) -> DataFrame:
     st = type_stats(shapes).withColumn("ord", _type_ord(F.col("type")))
     entry = F.struct(
         "ord", "type", "n", "min_area", "max_area", "one_spot", "cand", "near", "far",
-        (-F.col("rep.neg")).alias("idx"), F.col("rep.cx").alias("cx"), F.col("rep.cy").alias("cy"),
-        F.col("rep.box").alias("box"), F.col("rep.area").alias("area"),
+        F.col("shape_idx").alias("idx"), "cx", "cy", F.struct(*BOX).alias("box"), "area",
     )
     # at most one row per type and scene is left: spread the question work over all cores
     p = st.repartition(work_partitions(shapes), "image_id").groupBy("image_id").agg(
