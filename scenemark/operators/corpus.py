@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenemark.functions.answers import let, words_of
-from scenemark.functions.rnd import _c, hash_key
+from scenemark.functions.answers import words_of
+from scenemark.functions.rnd import _c
 from scenemark.functions.text import py_list, strip
 from scenemark.operators.sampling import hash_rank, sample_k
 

@@ -27,7 +27,6 @@ SELECT *, substr('ABCD', list_position(choices, answer), 1) AS truth,
          THEN substr('ABCD', [i for i in range(1, 5) if contains(response, choices[i])][1]::INT, 1) END, '-') AS pred
 FROM replies"""
 MODELS = ["m0", "m1", "m2", "m3"]
-_LISTED = ", ".join(f"'{f}'" for f in dims.PERSPECTIVES)
 
 
 def scored(t):
@@ -277,7 +276,8 @@ _FEATS = ["length", "chomata", "axis_shape", "size"]
 def _features(t):
     m, p = frame(t, "measure_text", heavy=True), phrases(t)
     key = _LK.split(", ")
-    j = m.join(p, key)
+    # line items may repeat a key: one image per key
+    j = m.join(p, key).groupBy("image").agg(*[F.min(c).alias(c) for c in ("out_text", "ref_text", "o", "r", "l_suppkey")])
     long = lambda texts: j.select(
         "image",
         F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).alias("text")) for f, c in zip(_FEATS, texts)])).alias("x"),
@@ -297,7 +297,7 @@ def _long_sql(texts):
 
 
 _FEATURE_CTES = (
-    ctes("measure_text", p=_phrase_select(True), j=f"SELECT * FROM measure_text JOIN p USING ({_LK})")
+    ctes("measure_text", p=_phrase_select(True), j=f"SELECT image, min(out_text) AS out_text, min(ref_text) AS ref_text, min(o) AS o, min(r) AS r, min(l_suppkey) AS l_suppkey FROM measure_text JOIN p USING ({_LK}) GROUP BY 1")
     + ", out AS ("
     + _long_sql(["out_text", "o", "o", "o"])
     + "), ref AS ("
@@ -628,9 +628,6 @@ def _(t):
     return S.binary_metrics(y, ["category"])
 
 
-_SCI = "regexp_extract_all(t, 'The answer is ([A-Z]).', 1)"
-
-
 def _sci_preds(t, salt: int, drop: int):
     r = frame(t, "replies").filter((F.col("image_id") + salt) % drop != 0)
     letter = A.letter_of((F.col("truth_idx") + F.when((F.col("image_id") + salt) % 3 == 0, 1).otherwise(0)).cast("int"))
@@ -848,9 +845,6 @@ def _(t):
     return out.select(*[F.col(c).cast("bigint") for c in ["m1", "m2", "m3", "m4", "t1", "t4", "hl", "rl"]], "bleu4")
 
 
-_Q35 = "CONCAT('Which Part is ', p_name, '?')"
-
-
 @query(
     "eva_35_join_annotations",
     f"""SELECT p_partkey AS question_id, p_type AS answer FROM part WHERE p_size % 5 <> 4""",
@@ -870,9 +864,6 @@ def _(t):
     return S.join_annotations(res, ann).select("question_id", "answer")
 
 
-_PAIR = (
-    "SELECT *, CASE WHEN len(string_split(replace(review, ',', ' '), ' ')) = 2 THEN coalesce(try_cast(string_split(replace(review, ',', ' '), ' ')[{i}] AS DOUBLE), -1.0) ELSE -1.0 END"
-)
 _PAIRS = ctes(
     "reviews",
     r="SELECT question_id, category, string_split(replace(review, ',', ' '), ' ') AS s FROM reviews",

@@ -10,7 +10,7 @@ from scenemark.functions import geometry as G
 from scenemark.functions.numeric import rnd
 from scenemark.operators import scenes as Sc
 from scenemark.operators.sampling import ordered_rank
-from scenemark.plans.fixtures import SEQ, ctes, frame
+from scenemark.plans.fixtures import SEQ, ctes
 from scenemark.plans.registry import query
 from scenemark.plans.vqa import shapes as scene_shapes
 from scenemark.session import spread

@@ -6,14 +6,11 @@ from pyspark.sql import functions as F
 
 from scenemark import dims
 from scenemark.functions import rnd as Rn
-from scenemark.functions.numeric import rnd
 from scenemark.operators import sampling as Sm
 from scenemark.plans.fixtures import ctes, frame
 from scenemark.plans.registry import query
 from scenemark.plans.vqa import H, U, pos_case, shuf
 
-_DOC = "SELECT doc_id, source, lang, n_chars FROM documents"
-
 
 @query("rnd_01_u01", f"SELECT event_id, {U('seed', 'event_id', 'event_type')} AS u FROM events")
 def _(t):
