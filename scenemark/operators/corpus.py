@@ -36,12 +36,12 @@ def image_name(prefix: str, idx) -> Column:
 def to_conversation(captions: DataFrame, style: str, prefix: str = "fig") -> DataFrame:
     """TRN-1: caption rows (id, input, output[, image]) to conversations.
 
-    'llava': numeric id, image named by id, image token first; 'internvl': the row's own
+    'numbered': numeric id, image named by id, image token first; 'named': the row's own
     image; 'pretrain': text id and image folder, image token last."""
     first = F.concat(F.lit(IMAGE + "\n"), "input")
-    if style == "llava":
+    if style == "numbered":
         return captions.select("id", image_name(prefix, "id").alias("image"), pair(first, F.col("output")).alias("conversations"))
-    if style == "internvl":
+    if style == "named":
         return captions.select("id", "image", pair(first, F.col("output")).alias("conversations"))
     if style == "pretrain":
         name = F.format_string(f"{prefix}_%08d", "id")

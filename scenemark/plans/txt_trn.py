@@ -210,11 +210,11 @@ def _flat_conv(df):
 
 
 @query(
-    "trn_01_to_conversation_llava",
+    "trn_01_to_conversation_numbered",
     "SELECT doc_id AS id, 'fig_' || lpad(doc_id::VARCHAR, 8, '0') || '.jpg' AS image, md5('<image>\nDescribe ' || lang) AS human, md5(text) AS gpt FROM documents",
 )
 def _(t):
-    return _flat_conv(C.to_conversation(captions(t), "llava"))
+    return _flat_conv(C.to_conversation(captions(t), "numbered"))
 
 
 @query(
@@ -226,11 +226,11 @@ def _(t):
 
 
 @query(
-    "trn_01_to_conversation_internvl",
+    "trn_01_to_conversation_named",
     "SELECT doc_id AS id, source || '.png' AS image, md5('<image>\nDescribe ' || lang) AS human, md5(text) AS gpt FROM documents",
 )
 def _(t):
-    return _flat_conv(C.to_conversation(captions(t), "internvl"))
+    return _flat_conv(C.to_conversation(captions(t), "named"))
 
 
 @query(
