@@ -15,15 +15,13 @@ def append_new(batch: DataFrame, sink: str, key: list[str], part: str | None = N
     The sink is partitioned by ``part``; only the partitions of the batch are read back."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(key)
-    try:
-        done = spark.read.parquet(sink).select(*key)
+    done = None
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        done = spark.read.schema(batch.schema).parquet(sink).select(*key)
         if part:
             # few values; lets the reader prune the other partitions
             done = done.join(F.broadcast(fresh.select(part).distinct()), part, "left_semi")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        done = None
     if done is not None:
         fresh = fresh.join(done, key, "left_anti")
     writer = fresh.write.mode("append")
