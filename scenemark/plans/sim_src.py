@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from scenemark import session
 from scenemark.functions import geometry as G
 from scenemark.functions.numeric import rnd
 from scenemark.operators import similarity as Si
@@ -14,14 +13,13 @@ from scenemark.plans.fixtures import ctes, frame
 from scenemark.plans.geo import R, polygons
 from scenemark.plans.registry import query
 from scenemark.plans.vqa import shapes as scene_shapes
-from scenemark.session import shared_dir
 from scenemark.sources import readers as Rd
 from scenemark.sources import writers as Wr
 from scenemark.streaming.predictions import stream_predictions
 
 
 def scratch(t) -> str:
-    return f"{shared_dir(t.spark)}/scenemark-{uuid.uuid4().hex}"
+    return session.scratch(t.spark)
 
 
 # --- similarity -------------------------------------------------------------------------

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[str] = []
+
 
 def local_session(cores: str | None = None, partitions: int | None = None) -> SparkSession:
     """Session for tests and the local bench; on a cluster the caller passes its own."""
@@ -28,19 +31,53 @@ def local_session(cores: str | None = None, partitions: int | None = None) -> Sp
     )
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a temporary one where none is named."""
+    """The cluster's shared checkpoint folder.  A temporary folder stands in for it only
+    where driver and executors are one process; elsewhere a missing setting is an error."""
     sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = sc.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not _is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="scenemark-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A new path in the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/scenemark-{uuid.uuid4().hex}-{name}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _SCRATCH.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete scratch tables made after the first ``keep``; returns how many are left.  For
+    callers that have written their result and need no table behind it any more."""
+    jvm = spark._jvm
+    while len(_SCRATCH) > keep:
+        where = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(_SCRATCH)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here,
+    lost executors cost no recomputation, and the planner knows the table's size."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that it is computed once and
     survives the loss of executors."""
