@@ -59,14 +59,17 @@ def scratch(spark: SparkSession, name: str = "scratch") -> str:
     return path
 
 
-def release(spark: SparkSession, keep: int = 0) -> int:
-    """Delete scratch tables made after the first ``keep``; returns how many are left.  For
-    callers that have written their result and need no table behind it any more."""
-    jvm = spark._jvm
-    while len(_SCRATCH) > keep:
-        where = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+def scratch_paths() -> list[str]:
+    """Scratch paths handed out so far and not released, oldest first."""
+    return list(_SCRATCH)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables early, for callers that need no result built on them any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return len(_SCRATCH)
+        _SCRATCH.remove(path)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
