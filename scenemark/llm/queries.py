@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scenemark.llm import simhash
+from scenemark.llm import exact, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query(
+    "op6_exact_dedup",
+    """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+    WINDOW w AS (PARTITION BY t)""",
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Group, kept row and digest of every document."""
+    return exact.duplicates(table(spark, folder, "documents"))
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
