@@ -6,9 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scenemark.llm import exact, simhash
+from scenemark.llm import exact, pieces, simhash, tokens
+from scenemark.llm.rollup import Rollup, inserts, revisions
+from scenemark.session import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +32,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version after two batches, each sent
+    twice: every document is inserted with its byte-level count, then the documents of every
+    language but English are recounted with the piece tokenizer."""
+    docs = table(spark, folder, "documents")
+    byte, piece = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    named = lambda counts, version: stored(counts.withColumn("version", F.lit(version)), "counts")
+    first = named(tokens.count(docs, byte, ["source", "lang"]), "byte_bpe_50k")
+    moved = "lang <> 'en'"
+    again = named(tokens.count(docs.filter(moved), piece, ["source", "lang"], pieces.counts), "piece_bpe_32k")
+    store = Rollup(spark, scratch(spark, "rollup"))
+    for _ in range(2):
+        store.commit(1, inserts(first))
+        store.commit(2, revisions(first.filter(moved), again))
+    return store.totals()
+
+
+@query("op2_token_files")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Start, count and checksum of every document's ids, read back from the files."""
+    path = scratch(spark, "token-files")
+    tokens.write(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.checksums(spark, path)
+
+
 @query(
     "op6_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -43,3 +73,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids, decoded text and projected byte spans of every document, as digests."""
+    return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
