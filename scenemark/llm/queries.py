@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenemark.llm import exact, pieces, simhash, tokens
+from scenemark.llm import exact, language, mix_query, mixing, pieces, simhash, tokens
 from scenemark.llm.rollup import Rollup, inserts, revisions
 from scenemark.session import scratch, stored
 
@@ -58,6 +58,19 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.checksums(spark, path)
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(table(spark, folder, "documents"))
+
+
+@query("op5_source_mix", mix_query.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every use of a document in the mix."""
+    m = mix_query
+    return mixing.mix(table(spark, folder, "documents"), m.LEVELS, m.WEIGHTS, m.SHARE, m.EPOCHS, m.SEED)
+
+
 @query(
     "op6_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256

@@ -284,6 +284,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> Data
     names = docs.columns
     own = f"c{names.index(key)}"
     printed = stored(with_fingerprint(docs, names), "printed")
-    shared = classes(printed.select("fp", own), own, radius).filter("n > 1 OR NOT first <=> keep")
-    out = printed.join(stored(shared.select("fp", "keep"), "shared"), "fp", "left")
-    return out.filter(F.col("keep").isNull() | F.col(own).eqNullSafe(F.col("keep"))).select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    found = classes(printed.select("fp", own), own, radius).filter("n > 1 OR NOT first <=> keep")
+    copies = printed.select("fp", own).join(found.select("fp", "keep"), "fp").filter(~F.col(own).eqNullSafe(F.col("keep")))
+    gone = stored(copies.select(F.col("fp").alias("_fp"), F.col(own).alias("_key")), "gone").hint("merge")
+    out = printed.join(gone, (printed["fp"] == gone["_fp"]) & printed[own].eqNullSafe(gone["_key"]), "left_anti")
+    return out.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
