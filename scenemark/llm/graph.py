@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scenemark.session import stored
 
 
+def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after linking i and j (positions); every label is the least of its group."""
+    while len(i):
+        a, b = labels[i], labels[j]
+        low = np.minimum(a, b)
+        np.minimum.at(labels, a, low)
+        np.minimum.at(labels, b, low)
+        while (labels != (up := labels[labels])).any():
+            labels = up
+        open_ = labels[i] != labels[j]
+        i, j = i[open_], j[open_]
+    return labels
+
+
 def _stars(links: DataFrame) -> DataFrame:
     """One round over links (hi > lo).  Large star: every higher neighbour of a node moves to
     the node's smallest neighbour.  Small star: the same among lower neighbours.  Minima are

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenemark.llm import exact, language, mix_query, mixing, pieces, simhash, tokens
+from scenemark.llm import exact, language, mix_query, mixing, pieces, simhash, tokens, vectors
 from scenemark.llm.rollup import Rollup, inserts, revisions
 from scenemark.session import scratch, stored
 
@@ -58,6 +58,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.checksums(spark, path)
 
 
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenemark.llm.graph import components
+from scenemark.llm.graph import components, merge_labels
 from scenemark.session import stored, work_partitions
 
 WORDS = 4
@@ -148,20 +148,6 @@ def thresholds(sample: np.ndarray, total: int, groups: list[list[int]], radius:
 # --- probing --------------------------------------------------------------------------------
 
 
-def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after linking i and j (positions); every label is the least of its group."""
-    while len(i):
-        a, b = labels[i], labels[j]
-        low = np.minimum(a, b)
-        np.minimum.at(labels, a, low)
-        np.minimum.at(labels, b, low)
-        while (labels != (up := labels[labels])).any():
-            labels = up
-        open_ = labels[i] != labels[j]
-        i, j = i[open_], j[open_]
-    return labels
-
-
 def _linked(key: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int):
     """A spanning forest of the links inside runs of equal keys: (print, print) pairs."""
     labels = np.arange(len(key))
@@ -173,7 +159,7 @@ def _linked(key: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int):
         near = at[(home[at] | home[at + step]) & (np.bitwise_count(prints[at] ^ prints[at + step]) <= radius)]
         near = near[labels[near] != labels[near + step]]
         if len(near):
-            labels = _merge(labels, near, near + step)
+            labels = merge_labels(labels, near, near + step)
     moved = np.flatnonzero(labels != np.arange(len(key)))
     return prints[moved], prints[labels[moved]]
 
