@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenemark.llm import exact, language, mix_query, mixing, pieces, simhash, tokens, vectors
+from scenemark.llm import exact, language, mix_query, mixing, pieces, secrets, simhash, tokens, vectors
 from scenemark.llm.rollup import Rollup, inserts, revisions
 from scenemark.session import scratch, stored
 
@@ -88,6 +88,12 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicates(table(spark, folder, "documents"))
 
 
+@query("op7_secret_scan")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 @query("op8_simhash_near_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
