@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenemark.llm import exact, language, mix_query, mixing, pieces, secrets, simhash, tokens, vectors
+from scenemark.llm import exact, language, lm, mix_query, mixing, pieces, secrets, simhash, tokens, vectors
 from scenemark.llm.rollup import Rollup, inserts, revisions
 from scenemark.session import scratch, stored
 
@@ -104,3 +104,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Ids, decoded text and projected byte spans of every document, as digests."""
     return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_lm_scores")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and model score of every document."""
+    return lm.score(table(spark, folder, "documents"))
