@@ -91,6 +91,13 @@ def screened(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.unionByName(fresh).unionByName(false_hit)
 
 
+def _on_rows(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Texts joined with (key, digest) rows.  Always a shuffle of both sides: the row table grows
+    with the input, so it is never broadcast."""
+    named = rows.select(F.col("key").alias("_key"), F.col("digest").alias("_digest")).hint("merge")
+    return texts.join(named, texts["key"].eqNullSafe(named["_key"]) & (texts["digest"] == named["_digest"]), how)
+
+
 class Resolved:
     """Rows of ``docs`` and the groups of equal texts they fall into.
 
@@ -103,8 +110,9 @@ class Resolved:
         self.rows = rows = stored(digested(docs, key, digits), "rows")
         late = F.pmod(F.xxhash64("key"), F.lit(2)) == 1  # the rows that come as a new batch
         groups = stored(screened(rows.filter(~late), rows.filter(late)), "groups")
-        several = stored(groups.filter("n > 1").select("digest"), "several")
-        texts = self.texts(docs, key).join(several, "digest", "left_semi")
+        # by key, which no group of copies makes hot; copies then collapse before the next shuffle
+        several = stored(rows.join(groups.filter("n > 1"), "digest").select("key", "digest"), "several")
+        texts = _on_rows(self.texts(docs, key), several, "left_semi")
         exact = texts.groupBy("digest", "words").agg(F.max(F.struct("key")).alias("top"), F.count(F.lit(1)).alias("m"))
         kinds = stored(exact.groupBy("digest").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "odd")
         self.has_odd = kinds.head(1) != []
@@ -148,21 +156,20 @@ def keep_last(docs: DataFrame, key: str = "doc_id", digits: int = FULL) -> DataF
     """``docs`` with one row of every group of equal texts, that of largest ``key``; columns as
     given, with the rules of ``duplicates`` (repeated rows count as one)."""
     names = docs.columns
-    text, own = f"c{names.index('text')}", f"c{names.index(key)}"
+    columns = [f"c{i}" for i in range(len(names))]
+    words = normal(F.col(f"c{names.index('text')}"))
     found = Resolved(docs, key, digits)
-    tops = found.even.filter("n > 1").select("digest", F.col("best.key").alias("keep"), F.lit(None).cast("string").alias("words"))
+    rows = found.rows.join(found.even.filter("n > 1"), "digest").select("key", "digest", F.col("best.key").eqNullSafe(F.col("key")).alias("stays"))
+    rows = stored(rows, "copies")
+    marked = docs.toDF(*columns).withColumn("key", F.col(f"c{names.index(key)}")).withColumn("digest", F.substring(F.sha2(words, 256), 1, digits))
+    out = _on_rows(marked, rows.filter("NOT stays"), "left_anti")
+    again = stored(rows.filter("stays").groupBy("key", "digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "again")
+    if again.head(1):  # one key repeated with the same text: one of its rows stays
+        one = _on_rows(out, again, "left_semi").groupBy("key", "digest").agg(F.min(F.struct(*columns)).alias("s")).select("s.*")
+        out = _on_rows(out, again, "left_anti").select(*columns).unionByName(one)
     if found.has_odd:
-        tops = tops.unionByName(found.odd.select("digest", "keep", "words"))
-    tops = stored(tops, "tops")
-    renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    marked = renamed.withColumn("digest", F.substring(F.sha2(normal(F.col(text)), 256), 1, digits))
-    fits = (F.col("t.digest") == marked.digest) & (F.col("words").isNull() | (F.col("words") == normal(F.col(text))))
-    out = marked.join(tops.alias("t"), fits, "left").filter(F.col("t.digest").isNull() | F.col(own).eqNullSafe(F.col("keep")))
-    kept = tops.join(found.rows.alias("r"), (F.col("r.digest") == tops.digest) & F.col("r.key").eqNullSafe(F.col("keep")))
-    again = stored(kept.groupBy(tops.digest).agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("digest"), "again")
-    columns = [f"c{i}" for i in range(len(names))]
-    if again.head(1):  # repeated rows of one key
-        twice = out.drop("digest", "keep", "words").withColumn("d", F.substring(F.sha2(normal(F.col(text)), 256), 1, digits))
-        one = twice.join(again, twice.d == again.digest, "left_semi").groupBy(own, "d").agg(F.min(F.struct(*columns)).alias("s")).select("s.*")
-        out = twice.join(again, twice.d == again.digest, "left_anti").select(*columns).unionByName(one)
+        odd = found.odd.withColumnRenamed("digest", "_d")
+        fits = (F.col("digest") == odd["_d"]) & (words == odd["words"])
+        ready = out if "digest" in out.columns else out.withColumn("key", F.col(f"c{names.index(key)}")).withColumn("digest", F.substring(F.sha2(words, 256), 1, digits))
+        out = ready.join(odd, fits, "left").filter(F.col("_d").isNull() | F.col("key").eqNullSafe(F.col("keep")))
     return out.select([F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
