@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from scenemark.llm import exact, language, lm, mix_query, mixing, pieces, secrets, simhash, tokens, vectors
 from scenemark.llm.rollup import Rollup, inserts, revisions
 from scenemark.session import scratch, stored
@@ -110,3 +111,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Base and model score of every document."""
     return lm.score(table(spark, folder, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
