@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Domains stand behind the sources' numbers; the tree is domain / language / source.
-LEVELS = {
-    "domain": F.when(F.col("source").rlike("[0-9]$"), F.element_at(F.array(*map(F.lit, ("web", "books", "code"))), (F.regexp_extract("source", "([0-9])$", 1).cast("int") % 3 + 1).cast("int"))).otherwise("other"),
-    "lang": F.col("lang"),
-    "source": F.col("source"),
-}
+
+def levels() -> dict[str, Column]:
+    """Domain / language / source; domains stand behind the last digit of the sources' names."""
+    number = F.regexp_extract("source", "([0-9])$", 1).cast("int")
+    domain = F.element_at(F.array(*map(F.lit, ("web", "books", "code"))), (number % 3 + 1).cast("int"))
+    return {"domain": F.when(F.col("source").rlike("[0-9]$"), domain).otherwise("other"), "lang": F.col("lang"), "source": F.col("source")}
+
+
 WEIGHTS = {"web": 5, "books": 3, "code": 2, "other": 1, "web/en": 3, "web/de": 2, "books/es": 4, "code/fr": 0.5, "web/en/src0": 6}
 SHARE = 0.6
 EPOCHS = 2

@@ -19,8 +19,10 @@ from scenemark.session import stored
 BUCKET_ROWS = 20_000
 NULL = "(null)"
 
-#: Words of a text: runs of anything but space and \x09-\x0D.
-WORDS = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+
+def words() -> Column:
+    """Words of ``text``: runs of anything but space and \\x09-\\x0D."""
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
 def _weight(path: Column, weights: dict[str, float]) -> Column:
@@ -96,7 +98,7 @@ def select(rows: DataFrame, levels: list[str], leaves: DataFrame, seed: str, key
 
 def mix(
     docs: DataFrame, levels: dict[str, Column], weights: dict[str, float], share: float, epochs: int = 1,
-    seed: str = "mix", key: str = "doc_id", tokens: Column = WORDS,
+    seed: str = "mix", key: str = "doc_id", tokens: Column | None = None,
 ) -> DataFrame:
     """Uses of documents (see ``select``) so that token sums follow ``weights``.
 
@@ -105,7 +107,7 @@ def mix(
     repeated rows are used each for itself; an empty table gives no rows.  Of other columns
     only those that the expressions name are read."""
     names = list(levels)
-    given = docs.select(F.col(key), *[F.coalesce(c.cast("string"), F.lit(NULL)).alias(n) for n, c in levels.items()], tokens.alias("tokens"))
+    given = docs.select(F.col(key), *[F.coalesce(c.cast("string"), F.lit(NULL)).alias(n) for n, c in levels.items()], (words() if tokens is None else tokens).alias("tokens"))
     rows = stored(given, "rows")
     leaves = stored(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "leaves")
     return select(rows, names, stored(budgets(leaves, names, weights, share, epochs), "budgets"), seed, key)

@@ -75,7 +75,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Every use of a document in the mix."""
     m = mix_query
-    return mixing.mix(table(spark, folder, "documents"), m.LEVELS, m.WEIGHTS, m.SHARE, m.EPOCHS, m.SEED)
+    return mixing.mix(table(spark, folder, "documents"), m.levels(), m.WEIGHTS, m.SHARE, m.EPOCHS, m.SEED)
 
 
 @query(

@@ -9,29 +9,34 @@ not split cleanly take the library's whole-text path."""
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
-
-#: Cached segments per worker; a full cache is emptied, which costs time only.
-CACHE = 500_000
+#: Cached segments per worker and generation; what goes out of use costs time only.
+CACHE = 300_000
 _DOUBLE = re.compile(r"\s\s")
 
 
 def pack(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    """Ids as little-endian unsigned 32-bit integers."""
+    return array("I", ids).tobytes()
 
 
 class Cache(dict):
-    """Segment -> ids as little-endian unsigned 32-bit integers."""
+    """Segment -> packed ids, in two generations: a full one becomes the old one, and what is
+    still in use comes back from there."""
 
     def __init__(self, encode, most: int = CACHE):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, segment: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        found = self[segment] = self.encode(segment)
+        found = self.old.get(segment)
+        if found is None:
+            found = self.encode(segment)
+        self[segment] = found
         return found
 
 

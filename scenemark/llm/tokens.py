@@ -8,6 +8,7 @@ Ids are dictionary or delta encoded."""
 from __future__ import annotations
 
 import json
+import string
 import zlib
 
 import numpy as np
@@ -23,6 +24,11 @@ from scenemark.session import work_partitions
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space and what follows it; the separators \x1c-\x1f are not white space to the split.
 RUN = regex.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: Byte -> character of a byte-level model: printable Latin-1 stands for itself, the other bytes
+#: in order for the characters from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHER = [b for b in range(256) if b not in _PLAIN]
+BYTE_CHARS = [chr(b) if b in _PLAIN else chr(256 + _OTHER.index(b)) for b in range(256)]
 ROW_GROUP = 64 << 20
 PAGE_ROWS = 1000
 
@@ -47,17 +53,41 @@ class ByteTokens:
             and before.get("use_regex", True)
         )
         self.split = regex.compile(SPLIT).findall
-        self.words = Cache(self.whole)
-        self.runs = Cache(self._run)
-        self.after = Cache(lambda part: self._run(part if part[:1] == "\n" else " " + part))
+        self.model = self.library.model
+        self.tokens = Cache(self._token, 100_000)
+        self.runs = Cache(self._run, 50_000)
+        self.words = Cache(self._word, 200_000)
+        self.after = Cache(self._part, 200_000)
 
     def whole(self, text: str) -> bytes:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _ids(self, mapped: str) -> bytes:
+        return pack([t.id for t in self.model.tokenize(mapped)])
+
+    def _token(self, token: str) -> bytes:
+        """Ids of one pre-token: its bytes as the model's characters, straight to the model."""
+        return self._ids("".join(map(BYTE_CHARS.__getitem__, token.encode())))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a word of letters."""
+        if word.isascii():
+            return self._ids(BYTE_CHARS[32] + word)
+        return self._token(" " + word) if max(word) < "ɐ" else self.whole(" " + word)
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what follows a cut.  A word of letters is one pre-token, and so are the marks
+        after it, if any; they are most of all parts."""
+        word = part.rstrip(string.punctuation)
+        if word.isalpha():
+            marks = part[len(word) :]
+            return self.words[word] + self.tokens[marks] if marks else self.words[word]
+        return self._run(part if part[:1] == "\n" else " " + part)
+
     def _run(self, run: str) -> bytes:
         """A run by its pre-tokens; letters beyond Latin are left to the library's own tables."""
         if run.isascii() or max(run) < "ɐ":
-            return b"".join(map(self.words.__getitem__, self.split(run)))
+            return b"".join(map(self.tokens.__getitem__, self.split(run)))
         return self.whole(run)
 
     def encode(self, text: str) -> bytes:
