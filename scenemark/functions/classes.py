@@ -28,11 +28,11 @@ def range_class_open(col, table: dict[str, list[float]]) -> Column:
 
 
 def range_class_join(df, col: str, table, name: str = "label"):
-    """CAP-10 for class tables that are user data: (label, lo, hi, ord), a small dimension."""
-    hit = F.broadcast(table).select("label", "lo", "hi", "ord")
-    keys = [c for c in df.columns]
-    joined = df.join(hit, (F.col(col) >= F.col("lo")) & (F.col(col) <= F.col("hi")), "left")
-    return joined.groupBy(*keys).agg(F.coalesce(F.min_by("label", "ord"), F.lit("")).alias(name))
+    """CAP-10 for class tables that are user data: (label, lo, hi, ord), a dimension.  It becomes
+    one row with the classes in order, in which each row of ``df`` finds its first fit."""
+    one = table.agg(F.sort_array(F.collect_list(F.struct("ord", "label", "lo", "hi"))).alias("_classes"))
+    fits = F.filter("_classes", lambda c: (F.col(col) >= c["lo"]) & (F.col(col) <= c["hi"]))
+    return df.crossJoin(one).withColumn(name, F.coalesce(F.get(fits, 0)["label"], F.lit(""))).drop("_classes")
 
 
 def by_priority(labels: Column, order: list[str]) -> Column:

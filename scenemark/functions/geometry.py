@@ -261,29 +261,28 @@ def curve_box(kind, x_start, x_end, y_mid, height, vertices) -> Column:
 # --- segments and polygons ---------------------------------------------------------------
 
 
-def segments_intersect(p1: Column, p2: Column, p3: Column, p4: Column) -> Column:
-    """GEO-13: crossing with 10 % tolerance at the ends; collinear segments must overlap."""
-    d = F.struct(
-        (p2["x"] - p1["x"]).alias("ax"),
-        (p2["y"] - p1["y"]).alias("ay"),
-        (p4["x"] - p3["x"]).alias("bx"),
-        (p4["y"] - p3["y"]).alias("by"),
-        (p3["x"] - p1["x"]).alias("cx"),
-        (p3["y"] - p1["y"]).alias("cy"),
-    )
-
-    def test(v):
-        ax, ay, bx, by, cx, cy = (v[k] for k in ("ax", "ay", "bx", "by", "cx", "cy"))
-        det, len2 = ax * by - ay * bx, ax * ax + ay * ay
-        t0 = F.when(len2 > 0, (cx * ax + cy * ay) / len2).otherwise(0.0)
-        t1 = F.when(len2 > 0, t0 + (bx * ax + by * ay) / len2).otherwise(0.0)
-        overlap = F.greatest(F.lit(0.0), F.least(t0, t1)) <= F.least(F.lit(1.0), F.greatest(t0, t1))
-        same = F.when((ax == 0) & (ay == 0), (cx == 0) & (cy == 0)).otherwise(overlap)
-        flat = F.when(F.abs(cy * ax - cx * ay) < 1e-9, same).otherwise(F.lit(False))
-        u, t = F.try_divide(cx * ay - cy * ax, det), F.try_divide(cx * by - cy * bx, det)
-        return F.when(F.abs(det) < 1e-9, flat).otherwise(u.between(-0.1, 1.1) & t.between(-0.1, 1.1))
-
-    return let(d, test)
+def segments_intersect(p1: Column, p2: Column, p3: Column, p4: Column, slack: float = 0.1) -> Column:
+    """GEO-13: whether two segments cross, each reaching ``slack`` of its length beyond its ends.
+
+    Twice the signed areas of the triangles over a segment tell on which side of it the other's
+    ends lie, and their ratio where the crossing is.  Collinear segments must overlap, without
+    slack; a first segment without length must be where the second begins."""
+    area = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    sides = F.struct(area(p3, p4, p1).alias("s1"), area(p3, p4, p2).alias("s2"), area(p1, p2, p3).alias("s3"), area(p1, p2, p4).alias("s4"))
+
+    def meet(axis):
+        low = F.greatest(F.least(p1[axis], p2[axis]), F.least(p3[axis], p4[axis]))
+        return low <= F.least(F.greatest(p1[axis], p2[axis]), F.greatest(p3[axis], p4[axis]))
+
+    def test(s):
+        turn = s["s1"] - s["s2"]
+        here, there = F.try_divide(s["s1"], turn), F.try_divide(s["s3"], s["s3"] - s["s4"])
+        crossing = here.between(-slack, 1 + slack) & there.between(-slack, 1 + slack)
+        point = (p1["x"] == p2["x"]) & (p1["y"] == p2["y"])
+        along = F.when(point, (p1["x"] == p3["x"]) & (p1["y"] == p3["y"])).otherwise(meet("x") & meet("y"))
+        return F.when(F.abs(turn) >= 1e-9, F.coalesce(crossing, F.lit(False))).otherwise((F.abs(s["s3"]) < 1e-9) & along)
+
+    return let(sides, test)
 
 
 def polygon_valid(points, special_info) -> Column:

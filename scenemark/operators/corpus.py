@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from functools import reduce
 
 import numpy as np
@@ -157,21 +159,20 @@ def greedy_batches(df: DataFrame, batch: int, world: int, seed: str, key: str =
     m = _megabatches(df.select(key, length), [], batch * world, seed, key)
     kind = m.schema[key].dataType.simpleString()
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([length, key], ascending=[False, True]).reset_index(drop=True)
-        n = len(pdf)
-        if n % world:
-            chunk = np.arange(n) % world
-        else:
-            total, filled, chunk = np.zeros(world), np.zeros(world, int), np.zeros(n, int)
-            for i, ln in enumerate(pdf[length]):
-                c = int(np.argmin(total))
-                chunk[i] = c
-                filled[c] += 1
-                total[c] = np.inf if filled[c] == n // world else total[c] + ln
-        return pd.DataFrame({key: pdf[key], "mega": pdf["mega"], "chunk": chunk})
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([length, key], ascending=[False, True], ignore_index=True)
+        room = len(rows) // world
+        if room * world != len(rows):  # an incomplete megabatch is dealt in turn
+            return rows.assign(chunk=np.arange(len(rows)) % world)[[key, "mega", "chunk"]]
+        chunks, heap = [], [(0, c, room) for c in range(world)]  # (total length, chunk, free places)
+        for more in rows[length].tolist():
+            total, chunk, free = heapq.heappop(heap)
+            chunks.append(chunk)
+            if free > 1:
+                heapq.heappush(heap, (total + more, chunk, free - 1))
+        return rows.assign(chunk=chunks)[[key, "mega", "chunk"]]
 
-    return m.groupBy("mega").applyInPandas(fill, f"{key} {kind}, mega long, chunk int")
+    return m.groupBy("mega").applyInPandas(deal, f"{key} {kind}, mega long, chunk int")
 
 
 # --- turns ------------------------------------------------------------------------------
@@ -202,45 +203,42 @@ def alternates(turns: Column) -> Column:
     return F.forall(ok, lambda x: x)
 
 
+#: Per style what stands before and after a message of the user and of the bot, what stands for
+#: an empty message, and what opens the text.
+FRAMES = {
+    "single": {"user": ("{role}: ", "{sep}"), "bot": ("{role}: ", "{sep}"), "bare": "{role}:", "head": "{system}{sep}"},
+    "two": {"user": ("{role}: ", "{sep}"), "bot": ("{role}: ", "{sep2}"), "bare": "{role}:", "head": "{system}{sep}"},
+    "mpt": {"user": ("{role}", "{sep}"), "bot": ("{role}", "{sep}"), "bare": "{role}", "head": "{system}{sep}"},
+    "plain": {"user": ("", "{sep}"), "bot": ("", "{sep2}"), "bare": "", "head": "{system}"},
+    "llama2": {"user": ("{sep}[INST] ", " [/INST]"), "bot": (" ", " {sep2}"), "bare": "", "head": ""},
+}
+
+
 def render(turns, template: dict) -> Column:
     """TRN-10: text of a conversation; template = style, system, roles, sep, sep2.
 
-    Styles: single, two, mpt, plain, llama2, signal.  Empty messages leave the bare role."""
-    style, system = template["style"], template.get("system", "")
+    Styles: those of ``FRAMES`` and signal, which names the speaker of every turn."""
+    style, system, sep = template["style"], template.get("system", ""), template.get("sep", "")
     user, bot = template.get("roles", ("USER", "ASSISTANT"))
-    sep, sep2 = template.get("sep", ""), template.get("sep2") or ""
-    t = human_first(_c(turns))
-    role = lambda i: F.when(i % 2 == 0, user).otherwise(bot)
-    alt = lambda i: F.when(i % 2 == 0, sep).otherwise(sep2)
-
-    def part(m, i):
-        v = m["value"]
-        said = F.length(v) > 0
-        if style == "single":
-            return F.when(said, F.concat(role(i), F.lit(": "), v, F.lit(sep))).otherwise(F.concat(role(i), F.lit(":")))
-        if style == "two":
-            return F.when(said, F.concat(role(i), F.lit(": "), v, alt(i))).otherwise(F.concat(role(i), F.lit(":")))
-        if style == "mpt":
-            return F.when(said, F.concat(role(i), v, F.lit(sep))).otherwise(role(i))
-        if style == "plain":
-            return F.when(said, F.concat(v, alt(i))).otherwise("")
-        if style == "llama2":
-            sys = f"<<SYS>>\n{system}\n<</SYS>>\n\n" if system else ""
-            msg = F.when(i == 0, F.concat(F.lit(sys), v)).otherwise(v)
-            asked = F.concat(F.lit(sep + "[INST] "), msg, F.lit(" [/INST]"))
-            return F.when(~said, "").when(i % 2 == 0, asked).otherwise(F.concat(F.lit(" "), v, F.lit(" " + sep2)))
-        if style == "signal":
-            name = F.when(F.lower(m["from"]) == "human", user).when(F.lower(m["from"]) == "gpt", bot).otherwise("unknown")
-            return F.concat(F.lit("### "), name, F.lit(": "), v, F.lit("\n"))
+    if style == "signal":
+        names = F.create_map(F.lit("human"), F.lit(user), F.lit("gpt"), F.lit(bot))
+        said = lambda m: F.concat(F.lit("### "), F.coalesce(F.try_element_at(names, F.lower(m["from"])), F.lit("unknown")), F.lit(": "), m["value"], F.lit("\n"))
+        return F.concat(F.lit(system), F.array_join(F.transform(_c(turns), said), ""), F.lit("### "))
+    if style not in FRAMES:
         raise ValueError(f"unknown style: {style}")
+    frame = FRAMES[style]
+    fill = lambda text, role: F.lit(text.format(role=role, sep=sep, sep2=template.get("sep2") or "", system=system))
+    lead = F.lit(f"<<SYS>>\n{system}\n<</SYS>>\n\n" if style == "llama2" and system else "")
 
-    source = _c(turns) if style == "signal" else t
-    body = F.array_join(F.transform(source, part), "")
-    if style == "llama2":
-        # leading separator characters are stripped from the result
-        return F.ltrim(body, F.lit(sep)) if sep else body
-    head = {"single": system + sep, "two": system + sep, "mpt": system + sep, "plain": system, "signal": system}[style]
-    return F.concat(F.lit(head), body, F.lit("### " if style == "signal" else ""))
+    def part(m, i):
+        by_turn = lambda text: F.when(i % 2 == 0, text("user", user)).otherwise(text("bot", bot))
+        before = by_turn(lambda side, role: fill(frame[side][0], role))
+        after = by_turn(lambda side, role: fill(frame[side][1], role))
+        bare = by_turn(lambda _, role: fill(frame["bare"], role))
+        return F.when(F.length(m["value"]) > 0, F.concat(before, F.when(i == 0, lead).otherwise(""), m["value"], after)).otherwise(bare)
+
+    text = F.concat(fill(frame["head"], ""), F.array_join(F.transform(human_first(_c(turns)), part), ""))
+    return F.ltrim(text, F.lit(sep)) if style == "llama2" and sep else text
 
 
 def render_plain_pair(turns, sep: str) -> Column:

@@ -109,7 +109,8 @@ def profiles(shapes: DataFrame) -> DataFrame:
 
 
 def relation_pairs(shapes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Per scene the related type pairs (head type, tail type, last canonical relation).
+    """Per scene the related type pairs (head type, tail type, last canonical relation); the
+    relation is NULL where a pair has only relations that no question names.
 
     ``relations(image_id, ord, head, tail, relation)``; at most types² pairs per scene."""
     kind = shapes.select("image_id", "shape_idx", "type")
@@ -117,11 +118,10 @@ def relation_pairs(shapes: DataFrame, relations: DataFrame) -> DataFrame:
     tail = kind.select("image_id", F.col("shape_idx").alias("tail"), F.col("type").alias("t2"))
     typed = (
         relations.withColumn("rel", canonical_relation("relation"))
-        .filter(F.col("rel").isNotNull())
         .join(head, ["image_id", "head"])
         .join(tail, ["image_id", "tail"])
     )
-    last = typed.groupBy("image_id", "t1", "t2").agg(F.max_by("rel", "ord").alias("rel"))
+    last = typed.groupBy("image_id", "t1", "t2").agg(F.max_by("rel", F.when(F.col("rel").isNotNull(), F.col("ord"))).alias("rel"))
     return last.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("t1", "t2", "rel"))).alias("rels"))
 
 
@@ -178,7 +178,9 @@ def prepare(profile: DataFrame, seed: str = "vqa") -> DataFrame:
             "usable",
             F.filter(
                 "rels",
-                lambda r: F.array_contains(F.col("single_types"), r["t1"]) & F.array_contains(F.col("single_types"), r["t2"]),
+                lambda r: r["rel"].isNotNull()
+                & F.array_contains(F.col("single_types"), r["t1"])
+                & F.array_contains(F.col("single_types"), r["t2"]),
             ),
         )
     return df
@@ -267,7 +269,7 @@ def relation(seed: str = "vqa") -> Column:
         all_pairs,
         lambda p: (p["t1"] != p["t2"])
         & ~F.exists(
-            F.col("usable"),
+            F.col("rels"),
             lambda r: ((r["t1"] == p["t1"]) & (r["t2"] == p["t2"])) | ((r["t1"] == p["t2"]) & (r["t2"] == p["t1"])),
         ),
     )

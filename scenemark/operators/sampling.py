@@ -11,20 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenemark.functions.rnd import _c, hash_key, u01
-from scenemark.session import cut_lineage
+from scenemark.session import cut_lineage, stored, work_partitions
 
-# Up to this k the planner limits every group map-side before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-MAP_SIDE_LIMIT = 1000
-BUCKET_CHARS = 3
+BUCKET_CHARS = 4
+SALTS = 64
 
 
 def top_k(df: DataFrame, group: list, order: list[Column], k: int) -> DataFrame:
-    """First ``k`` rows of each group; ``row_number <= k`` is limited before the shuffle."""
-    if k > MAP_SIDE_LIMIT:
-        raise ValueError("use sample_k / hash_rank for large k")
-    w = Window.partitionBy(*[_c(g) for g in group]).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
+    """First ``k`` rows of each group, in two steps: the first ``k`` of every salted part of a
+    group, then of what is left, so that a hot group is cut down by many tasks."""
+    salted = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    near = Window.partitionBy(*[_c(g) for g in group], "_part").orderBy(*order)
+    whole = Window.partitionBy(*[_c(g) for g in group]).orderBy(*order)
+    first = salted.withColumn("_rn", F.row_number().over(near)).filter(F.col("_rn") <= k)
+    return first.withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= k).drop("_rn", "_part")
 
 
 def hash_rank(df: DataFrame, group: list[str], keys: list[str], seed: str, name: str = "rank") -> DataFrame:
@@ -55,59 +55,53 @@ def hash_rank(df: DataFrame, group: list[str], keys: list[str], seed: str, name:
     )
 
 
-def _bucketed(df: DataFrame, order: Column, buckets: int) -> DataFrame:
-    """Adds ``_o`` (the order value) and ``_b`` (its bucket over the column's range)."""
-    tagged = df.withColumn("_o", order.cast("double"))
-    span = tagged.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    bucket = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("_o") - F.col("_lo")) / width))).otherwise(0)
-    return tagged.crossJoin(F.broadcast(span)).withColumn("_b", bucket.cast("int")).drop("_lo", "_hi")
+def _sorted_runs(df: DataFrame, group: list[str], order: Column, ties: list[str]) -> DataFrame:
+    """The table in the order of (group, order, ties), range-partitioned and written once to the
+    shared folder, with ``_mid`` (increases within a partition) and ``_p`` (the partition).
 
+    Ranges are cut by the values themselves, ties included, so neither an outlier nor one very
+    common value fills a partition.  The order column keeps its type; NULLs come first."""
+    keys = [*group, "_o", *ties]
+    parts = work_partitions(df)
+    placed = df.withColumn("_o", order).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return stored(placed.withColumn("_mid", F.monotonically_increasing_id()), "sorted").withColumn("_p", F.shiftright("_mid", 33))
 
-def forward_fill(
-    df: DataFrame, group: list[str], order: Column, value: str, ties: list[str], default, buckets: int = 1024
-) -> DataFrame:
-    """Last non-NULL value so far within a group; buckets as in ordered_rank, so a hot
-    group is filled by many tasks and only bucket ends travel."""
-    placed = _bucketed(df, order, buckets)
-    known = F.when(F.col(value).isNotNull(), F.struct("_o", *ties))
-    ends = placed.groupBy(*group, "_b").agg(F.max_by(value, known).alias("_end"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*group, "_b", F.last("_end", True).over(before).alias("_carry"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_o", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("_cur", F.last(value, True).over(inside))
-        .join(carry, [*group, "_b"])
-        .withColumn(value, F.coalesce("_cur", "_carry", F.lit(default)))
-        .drop("_o", "_b", "_cur", "_carry")
-    )
 
+def _with_runs(placed: DataFrame, runs: DataFrame, group: list[str]) -> DataFrame:
+    """Join facts about (group, partition) runs, a few per partition, to their rows."""
+    named = runs.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_p").alias("_rp"), *[c for c in runs.columns if c not in (*group, "_p")])
+    cond = F.col("_p") == F.col("_rp")
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return placed.join(named, cond).drop("_rp", *[f"_g{i}" for i in range(len(group))])
 
-def ordered_rank(
-    df: DataFrame, group: list[str], order: Column, ties: list[str], name: str = "seq", buckets: int = 1024
-) -> DataFrame:
-    """Dense 1-based rank in the order of a numeric column within each group.
 
-    The column's range is cut into buckets (one small aggregate finds it), so a series
-    holding a third of all rows is ranked by many tasks; offsets come from bucket sizes."""
-    placed = _bucketed(df, order, buckets)
-    sizes = placed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group, F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*group, "_b").orderBy("_o", *ties)
-    return (
-        placed.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*group, "_b"])
-        .withColumn(name, (F.col("_rn") + F.col("_off")).cast("bigint"))
-        .drop("_o", "_b", "_rn", "_off")
-    )
+def forward_fill(df: DataFrame, group: list[str], order: Column, value: str, ties: list[str], default) -> DataFrame:
+    """Last non-NULL value so far within a group; a group is filled by as many tasks as it has
+    partitions, and only the ends of its runs travel."""
+    placed = _sorted_runs(df, group, order, ties)
+    ends = placed.groupBy(*group, "_p").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_mid"))).alias("_end"))
+    before = Window.partitionBy(*group, F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*group, "_p", F.last("_end", True).over(before).alias("_carry"))
+    inside = Window.partitionBy(*group, "_p").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    filled = placed.withColumn("_cur", F.last(value, True).over(inside))
+    return _with_runs(filled, carry, group).withColumn(value, F.coalesce("_cur", "_carry", F.lit(default))).drop("_o", "_mid", "_p", "_cur", "_carry")
+
+
+def ordered_rank(df: DataFrame, group: list[str], order: Column, ties: list[str], name: str = "seq") -> DataFrame:
+    """Dense 1-based rank in the order of a column within each group, NULLs first: the place in
+    the sorted run plus the sizes of the group's earlier runs."""
+    placed = _sorted_runs(df, group, order, ties)
+    runs = placed.groupBy(*group, "_p").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group, F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(*group, "_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.col("_mid") - F.col("_first") + F.col("_off") + 1
+    return _with_runs(placed, offsets, group).withColumn(name, rank.cast("bigint")).drop("_o", "_mid", "_p", "_first", "_off")
 
 
 def sample_k(df: DataFrame, group: list[str], k: int, seed: str, keys: list[str]) -> DataFrame:
     """RND-2: ``min(k, n)`` rows of each group without replacement."""
-    if k <= MAP_SIDE_LIMIT:
-        return top_k(df, group, [hash_key(seed, *keys), *[F.col(c) for c in keys]], k)
-    return hash_rank(df, group, keys, seed, "_rank").filter(F.col("_rank") <= k).drop("_rank")
+    return top_k(df, group, [hash_key(seed, *keys), *[F.col(c) for c in keys]], k)
 
 
 def sample_global(df: DataFrame, k: int, seed: str, keys: list[str]) -> DataFrame:

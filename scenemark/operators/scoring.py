@@ -473,13 +473,6 @@ def pairwise_prompt(
     )
 
 
-def renumber(qid: Column) -> Column:
-    """EVA-39: the display order of review pages (three successive id shifts)."""
-    a = F.when(qid <= 20, qid + 60).otherwise(qid - 20)
-    b = F.when(a <= 50, a + 10).when(a <= 60, a - 50).otherwise(a)
-    return F.when(b == 7, 1).when(b < 7, b + 1).otherwise(b)
-
-
 def review_page(questions: DataFrame, ans1: DataFrame, ans2: DataFrame, reviews: DataFrame) -> DataFrame:
     """EVA-39: one row per question with answers and the review without its score line."""
     text = F.trim(F.col("content"))
@@ -490,7 +483,7 @@ def review_page(questions: DataFrame, ans1: DataFrame, ans2: DataFrame, reviews:
         .join(ans2.select("question_id", F.col("text").alias("answer2")), "question_id")
         .join(reviews.select("question_id", "content", "s1", "s2"), "question_id")
         .select(
-            renumber(F.col("question_id")).alias("id"), "category", F.col("text").alias("question"),
+            F.col("question_id").alias("id"), "category", F.col("text").alias("question"),
             "answer1", "answer2", body.alias("evaluation"), "s1", "s2",
         )
         .orderBy("id")

@@ -101,7 +101,7 @@ def _levels(depth: int) -> dict[str, str]:
     return out
 
 
-_LV = _levels(4)
+_LV = _levels(8)
 _RING = "SELECT image_id, shape_idx, row_number() OVER (PARTITION BY image_id, cx, cy ORDER BY weight, shape_idx) - 1 AS ring, count(*) OVER (PARTITION BY image_id, cx, cy) AS m FROM p"
 
 
@@ -110,7 +110,7 @@ _RING = "SELECT image_id, shape_idx, row_number() OVER (PARTITION BY image_id, c
     ctes("shapes", **_P, **_LV) + "SELECT image_id, cx, cy, path FROM d4",
 )
 def _(t):
-    return C.disambiguate(placed(t), 4)
+    return C.disambiguate(placed(t))
 
 
 @query("cap_04_concentric_groups", ctes("shapes", **_P, r=_RING) + "SELECT image_id, shape_idx, ring::INT AS ring FROM r WHERE m > 1")
@@ -127,7 +127,7 @@ _ORD = "[" + ", ".join(f"'{w}'" for w in dims.ORDINALS) + "]"
     + f"SELECT p.image_id, p.shape_idx, d4.path || CASE WHEN m > 1 THEN '::concentric::the ' || ({_ORD})[ring + 1] || ' shape from the inside, counting outward' ELSE '' END || '::' || name AS selector FROM p JOIN r USING (image_id, shape_idx) JOIN d4 ON p.image_id = d4.image_id AND p.cx = d4.cx AND p.cy = d4.cy",
 )
 def _(t):
-    return C.shape_paths(placed(t), 4).select(*KEY, "selector")
+    return C.shape_paths(placed(t)).select(*KEY, "selector")
 
 
 @query(

@@ -937,13 +937,11 @@ def _(t):
 
 @query(
     "eva_39_review_page",
-    """WITH x AS (SELECT o_orderkey AS q, *, (o_orderkey % 10)::VARCHAR || ' ' || (o_custkey % 10)::VARCHAR AS s FROM orders),
-    i AS (SELECT *, CASE WHEN q <= 20 THEN q + 60 ELSE q - 20 END AS a FROM x),
-    j AS (SELECT *, CASE WHEN a <= 50 THEN a + 10 WHEN a <= 60 THEN a - 50 ELSE a END AS b FROM i)
-    SELECT CASE WHEN b = 7 THEN 1 WHEN b < 7 THEN b + 1 ELSE b END AS id, o_orderpriority AS category,
+    """WITH x AS (SELECT o_orderkey AS q, *, (o_orderkey % 10)::VARCHAR || ' ' || (o_custkey % 10)::VARCHAR AS s FROM orders)
+    SELECT q AS id, o_orderpriority AS category,
      'What is order ' || o_orderkey::VARCHAR || '?' AS question, 'status ' || o_orderstatus AS answer1, 'year ' || year(o_orderdate)::VARCHAR AS answer2,
      CASE WHEN o_custkey % 3 = 0 THEN '**Assistant 1** wins' ELSE 'Good: **Assistant 2** and **Assistant 1**' END AS evaluation,
-     (o_orderkey % 10)::DOUBLE AS s1, (o_custkey % 10)::DOUBLE AS s2 FROM j""",
+     (o_orderkey % 10)::DOUBLE AS s1, (o_custkey % 10)::DOUBLE AS s2 FROM x""",
 )
 def _(t):
     q, _c, a1, a2 = _orders_qa(t)

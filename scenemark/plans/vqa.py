@@ -133,18 +133,18 @@ _CANON = "CASE WHEN contains(relation, 'tangent') THEN 'tangent' WHEN contains(r
 _INV = "CASE rel " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.RELATION_INVERSE.items()) + " END"
 _RELS = "[" + ", ".join(f"'{r}'" for r in dims.RELATIONS) + "]"
 REL_BASE = dict(
-    rt=f"""SELECT r.image_id, h.type AS t1, k.type AS t2, arg_max({_CANON}, ord) AS rel FROM relations r
+    rt=f"""SELECT r.image_id, h.type AS t1, k.type AS t2, arg_max({_CANON}, ord) FILTER ({_CANON} IS NOT NULL) AS rel FROM relations r
       JOIN s h ON r.image_id = h.image_id AND r.head = h.shape_idx JOIN s k ON r.image_id = k.image_id AND r.tail = k.shape_idx
-      WHERE {_CANON} IS NOT NULL GROUP BY 1, 2, 3""",
+      GROUP BY 1, 2, 3""",
 )
 RELATION_SQL = dict(
     si="SELECT image_id, type FROM ty WHERE n = 1",
-    ru="SELECT rt.* FROM rt JOIN si a ON rt.image_id = a.image_id AND t1 = a.type JOIN si b ON rt.image_id = b.image_id AND t2 = b.type",
+    ru="SELECT rt.* FROM rt JOIN si a ON rt.image_id = a.image_id AND t1 = a.type JOIN si b ON rt.image_id = b.image_id AND t2 = b.type WHERE rel IS NOT NULL",
     rp=f"SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {H('vqa:rel', 'image_id', 't1', 't2')}) AS slot FROM ru QUALIFY slot <= 2",
     ro=f"""SELECT image_id, slot, CASE WHEN f THEN t2 ELSE t1 END AS t1, CASE WHEN f THEN t1 ELSE t2 END AS t2, CASE WHEN f THEN {_INV} ELSE rel END AS rel
       FROM (SELECT *, {U('vqa:flip', 'image_id', 't1', 't2')} < 0.5 AND {_INV} IS NOT NULL AS f FROM rp)""",
     rn=f"""SELECT a.image_id, 9 AS slot, a.type AS t1, b.type AS t2, 'none of the above' AS rel FROM si a JOIN si b ON a.image_id = b.image_id AND a.type <> b.type
-      WHERE {U('vqa:none', 'a.image_id')} < 0.3 AND NOT EXISTS (FROM ru WHERE ru.image_id = a.image_id AND ((t1 = a.type AND t2 = b.type) OR (t1 = b.type AND t2 = a.type)))
+      WHERE {U('vqa:none', 'a.image_id')} < 0.3 AND NOT EXISTS (FROM rt WHERE rt.image_id = a.image_id AND ((t1 = a.type AND t2 = b.type) OR (t1 = b.type AND t2 = a.type)))
       QUALIFY row_number() OVER (PARTITION BY a.image_id ORDER BY {H('vqa:nonepair', 'a.image_id', 'a.type', 'b.type')}) = 1""",
     ra="SELECT x.*, present FROM (FROM ro UNION ALL SELECT image_id, slot, t1, t2, rel FROM rn) x JOIN im USING (image_id)",
     qrel=numbered(
