@@ -201,13 +201,10 @@ def spiral_box(center, r0, growth, params, max_theta, samples: int = 1000) -> Co
     c, step = _c(center), _c(max_theta) / float(samples - 1)
 
     def at(i):
-        return let(
-            i * step,
-            lambda th: let(
-                spiral_radius(th, r0, growth, params),
-                lambda r: pt(c["x"] + r * F.cos(th), c["y"] + r * F.sin(th)),
-            ),
-        )
+        # written out twice: two sines cost less than binding the radius of every sample
+        th = i * step
+        r = spiral_radius(th, r0, growth, params)
+        return pt(c["x"] + r * F.cos(th), c["y"] + r * F.sin(th))
 
     return let(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), at), bbox)
 
@@ -220,7 +217,7 @@ def spiral_area(r0, growth, params, max_theta, intervals: int = 200) -> Column:
 
     def term(i):
         w = F.when((i == 0) | (i == intervals), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        return w * let(spiral_radius(start + i * h, r0, growth, params), lambda r: 0.5 * r * r)
+        return w * 0.5 * F.pow(spiral_radius(start + i * h, r0, growth, params), F.lit(2.0))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(intervals)), F.lit(0.0), lambda acc, i: acc + term(i)) * h / 3.0
 

@@ -1,40 +1,21 @@
-"""n-gram overlap of two texts of one row.
-
-A multiset intersection is linear only with a hash table per row, which SQL arrays do not
-have; exploding the n-grams would shuffle every word four times.  So this is an Arrow UDF
-over (hypothesis, references): one row in, nine numbers out, no shuffle.
-"""
+"""Tokens and n-grams of a text as column expressions."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
-FIELDS = [f"{k}{n}" for k in "mt" for n in (1, 2, 3, 4)] + ["hl", "rl"]
-COUNTS = T.StructType([T.StructField(f, T.LongType()) for f in FIELDS])
 
+def tokens(text: Column) -> Column:
+    """Runs of word characters and single marks, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
 
-def overlap_of(hypothesis: str, references: list[str]) -> list[int]:
-    """Clipped matches and totals per n, hypothesis length, closest reference length."""
-    h = TOKEN.findall(hypothesis.lower())
-    rs = [TOKEN.findall(r.lower()) for r in references]
-    hits, totals = [], []
-    for n in (1, 2, 3, 4):
-        grams = Counter(zip(*[h[i:] for i in range(n)]))
-        best = Counter()
-        for r in rs:
-            best |= Counter(zip(*[r[i:] for i in range(n)]))
-        hits.append(sum(min(c, best[g]) for g, c in grams.items() if g in best))
-        totals.append(max(len(h) - n + 1, 0))
-    closest = min((len(r) for r in rs), key=lambda k: (abs(k - len(h)), k))
-    return [*hits, *totals, len(h), closest]
 
+def ngrams(words: Column, most: int = 4) -> Column:
+    """Array of struct(n, gram) of all runs of one to ``most`` words."""
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        run = lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram"))
+        return F.when(F.size(words) >= n, F.transform(starts, run)).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
 
-@F.pandas_udf(COUNTS)
-def ngram_overlap(hypothesis: pd.Series, references: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([overlap_of(h, list(r)) for h, r in zip(hypothesis, references)], columns=FIELDS)
+    return F.concat(*[runs(n) for n in range(1, most + 1)])

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from scenemark import dims
 from scenemark.functions import answers as A
-from scenemark.functions.ngrams import FIELDS, ngram_overlap
+from scenemark.functions.ngrams import ngrams, tokens
 from scenemark.functions.numeric import rnd
 from scenemark.functions.rnd import _c
 from scenemark.operators.sampling import hash_rank
+from scenemark.session import work_partitions
 
 QKEY = ["perspective", "image_id", "question_id"]
 DP = 4
@@ -412,10 +413,23 @@ def ensemble_requery(
 
 
 def bleu4(df: DataFrame) -> DataFrame:
-    """EVA-34: corpus BLEU-4 with brevity penalty; references is an array of texts.  Matches
-    are counted inside each row; only ten sums are aggregated."""
-    x = ngram_overlap("hypothesis", "references")
-    sums = df.select(x.alias("x")).agg(*[F.coalesce(F.sum(f"x.{f}"), F.lit(0)).alias(f) for f in FIELDS])
+    """EVA-34: corpus BLEU-4 with brevity penalty; references is an array of texts.
+
+    Texts move once, by row number; the n-grams of a row are then counted where they are, and
+    only sums leave the tasks."""
+    texts = F.concat(F.array(tokens(F.col("hypothesis"))), F.transform("references", tokens))
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), texts.alias("_t")).repartition(work_partitions(df), "_row")
+    grams = rows.select("_row", F.posexplode("_t").alias("src", "words")).select("_row", "src", F.explode(ngrams(F.col("words"))).alias("g"))
+    counts = grams.groupBy("_row", "g.n", "g.gram", "src").agg(F.count(F.lit(1)).alias("c"))
+    side = lambda own: F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(0))
+    met = counts.groupBy("_row", "n", "gram").agg(side(F.col("src") == 0).alias("h"), side(F.col("src") > 0).alias("r"))
+    total = lambda n, x: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0))
+    sums = met.agg(*[total(n, F.least("h", "r")).alias(f"m{n}") for n in range(1, 5)], *[total(n, F.col("h")).alias(f"t{n}") for n in range(1, 5)])
+    sizes = F.transform("_t", lambda t: F.size(t))
+    own = F.get(sizes, 0)
+    near = F.array_min(F.transform(F.slice(sizes, F.lit(2), F.size(sizes)), lambda k: F.struct(F.abs(k - own).alias("gap"), k.alias("size"))))
+    lengths = rows.select(own.alias("hl"), near["size"].alias("rl")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hl", "rl")])
+    sums = sums.crossJoin(lengths)
     logs = reduce(lambda a, b: a + b, [F.log(F.try_divide(F.col(f"m{k}"), F.col(f"t{k}"))) for k in range(1, 5)])
     dead = reduce(lambda a, b: a | b, [F.col(f"m{k}") == 0 for k in range(1, 5)])
     bp = F.when(F.col("hl") < F.col("rl"), F.exp(1 - F.try_divide(F.col("rl"), F.col("hl")))).otherwise(1.0)

@@ -22,24 +22,24 @@ def R(x: str, n: int) -> str:
     return f"cast(round(cast({x} as decimal(38,12)), {n}) as double)"
 
 
-# polygons: six points per embedding, ordered by angle
+# polygons: every vector's components in pairs, ordered by angle
 
 
 def polygons(t):
     p = F.transform(
-        F.sequence(F.lit(0), F.lit(5)),
+        F.sequence(F.lit(0), (F.size("embedding") / 2).cast("int") - 1),
         lambda i: G.pt(F.get("embedding", 2 * i).cast("double") + 0.5, F.get("embedding", 2 * i + 1).cast("double") + 0.5),
     )
     return t.embeddings.select("vec_id", "label", G.simple_polygon(p).alias("points"))
 
 
-_POLY = """WITH e AS (SELECT vec_id, label, [embedding[i]::DOUBLE + 0.5::DOUBLE for i in range(1, 13)] AS v FROM embeddings),
- q AS (SELECT vec_id, label, unnest(range(0, 6)) AS i, unnest([v[2 * k + 1] for k in range(0, 6)]) AS x, unnest([v[2 * k + 2] for k in range(0, 6)]) AS y FROM e),
- c AS (SELECT vec_id, (list_sum(list(x ORDER BY i))) / 6 AS mx, (list_sum(list(y ORDER BY i))) / 6 AS my FROM q GROUP BY 1),
+_POLY = """WITH e AS (SELECT vec_id, label, [embedding[i]::DOUBLE + 0.5::DOUBLE for i in range(1, 65)] AS v FROM embeddings),
+ q AS (SELECT vec_id, label, unnest(range(0, 32)) AS i, unnest([v[2 * k + 1] for k in range(0, 32)]) AS x, unnest([v[2 * k + 2] for k in range(0, 32)]) AS y FROM e),
+ c AS (SELECT vec_id, (list_sum(list(x ORDER BY i))) / 32 AS mx, (list_sum(list(y ORDER BY i))) / 32 AS my FROM q GROUP BY 1),
  a AS (SELECT q.*, CASE WHEN atan2(y - my, x - mx) < 0 THEN atan2(y - my, x - mx) + 2 * pi() ELSE atan2(y - my, x - mx) END AS ang,
         -sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) AS d FROM q JOIN c USING (vec_id)),
  p AS (SELECT vec_id, label, x, y, row_number() OVER (PARTITION BY vec_id ORDER BY ang, d) - 1 AS k FROM a),
- n AS (SELECT p.*, q.x AS nx, q.y AS ny, r.x AS px, r.y AS py FROM p JOIN p q ON p.vec_id = q.vec_id AND q.k = (p.k + 1) % 6 JOIN p r ON p.vec_id = r.vec_id AND r.k = (p.k + 5) % 6)
+ n AS (SELECT p.*, q.x AS nx, q.y AS ny, r.x AS px, r.y AS py FROM p JOIN p q ON p.vec_id = q.vec_id AND q.k = (p.k + 1) % 32 JOIN p r ON p.vec_id = r.vec_id AND r.k = (p.k + 31) % 32)
 """
 
 
@@ -80,7 +80,7 @@ def _(t):
     _POLY
     + """, g AS (SELECT *, (x - px) * (ny - py) - (y - py) * (nx - px) AS turn,
       acos(((x - px) * (x - nx) + (y - py) * (y - ny)) / (sqrt((x - px) * (x - px) + (y - py) * (y - py)) * sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny)) + 1e-9)) AS ang,
-      CASE WHEN k < 5 THEN sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) END AS step FROM n)
+      CASE WHEN k < 31 THEN sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) END AS step FROM n)
     SELECT vec_id, NOT (max(turn) > 0 AND min(turn) < 0) AS convex, min(ang) >= 0.15 * pi() AND max(ang) <= 0.85 * pi() AS angles, min(step) >= 0.01 AS apart,
       NOT (max(turn) > 0 AND min(turn) < 0) AND min(ang) >= 0.15 * pi() AND max(ang) <= 0.85 * pi() AND min(step) >= 0.01 AS valid FROM g GROUP BY 1""",
 )
@@ -97,7 +97,7 @@ def _(t):
 )
 def _(t):
     p = polygons(t).withColumn("n", G.rotate(F.col("points"))).withColumn(
-        "q", F.concat(F.slice("points", -1, 1), F.slice("points", 1, 5))
+        "q", F.concat(F.slice("points", -1, 1), F.slice("points", F.lit(1), F.size("points") - 1))
     )
     z = p.select("vec_id", F.posexplode(F.arrays_zip("points", "n", "q")).alias("k", "z"))
     a, b, c = F.col("z.points"), F.col("z.n"), F.col("z.q")
@@ -209,28 +209,35 @@ def _(t):
     return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("area").alias("n_area"), F.count("box").alias("n_box"))
 
 
+_GON = "((w / 10 + h / 20 * (th1 - 2 * pi() + ({i}) * (2 * pi() / 360))) * {f}(th1 - 2 * pi() + ({i}) * (2 * pi() / 360)))"
+_GON_LENGTH = "list_sum([sqrt(" + " + ".join(
+    f"pow({_GON.format(i='(i + 1) % 360', f=f)} - {_GON.format(i='i', f=f)}, 2)" for f in ("cos", "sin")
+) + ") for i in range(0, 360)])"
+
+
 @query(
     "geo_18_perimeter",
     _ENRICH
-    + f""", k AS (SELECT *, 2 * pi() / 4000 AS d FROM u WHERE kind IN ('ray', 'segment', 'polygon', 'ellipse'))
+    + f""", k AS (SELECT *, 2 * pi() / 4000 AS d FROM u)
     SELECT image_id, shape_idx, {R('''CASE kind WHEN 'ray' THEN sqrt(w * w + h * h) WHEN 'segment' THEN 2 * sqrt(w * w + h * h)
       WHEN 'polygon' THEN list_sum([sqrt(pow(w * cos(2 * pi() * (i + 1) / n + 0.1) - w * cos(2 * pi() * i / n + 0.1), 2) + pow(h * sin(2 * pi() * (i + 1) / n + 0.1) - h * sin(2 * pi() * i / n + 0.1), 2)) for i in range(0, n)])
-      ELSE list_sum([sqrt(pow(w * sin((i + 0.5) * 2 * pi() / 64), 2) + pow(h * cos((i + 0.5) * 2 * pi() / 64), 2)) for i in range(0, 64)]) * 2 * pi() / 64 END''', 3)} AS weight FROM k""",
+      WHEN 'spiral' THEN GON_LENGTH
+      WHEN 'sector' THEN 0.0 WHEN 'star' THEN 0.0
+      ELSE list_sum([sqrt(pow(w * sin((i + 0.5) * 2 * pi() / 64), 2) + pow(h * cos((i + 0.5) * 2 * pi() / 64), 2)) for i in range(0, 64)]) * 2 * pi() / 64 END'''.replace('GON_LENGTH', _GON_LENGTH), 3)} AS weight FROM k""",
 )
 def _(t):
-    p = raw_shapes(t).filter(F.col("shape.type").isin("ray", "segment", "polygon", "ellipse"))
-    return p.select(*KEY, rnd(G.perimeter(F.col("shape")), 3).alias("weight"))
+    return raw_shapes(t).select(*KEY, rnd(G.perimeter(F.col("shape")), 3).alias("weight"))
 
 
 @query(
     "geo_17_round_struct",
-    "SELECT vec_id, round_even(embedding[1]::DOUBLE + 0.5::DOUBLE, 2) AS x, array_to_string([(round_even(e::DOUBLE, 2) + 0.0)::VARCHAR for e in embedding[1:8]], '|') AS v FROM embeddings",
+    "SELECT vec_id, round_even(embedding[1]::DOUBLE + 0.5::DOUBLE, 2) AS x, array_to_string([(round_even(e::DOUBLE, 2) + 0.0)::VARCHAR for e in embedding], '|') AS v FROM embeddings",
 )
 def _(t):
     from pyspark.sql import types as T
 
     nested = F.struct(
-        (F.get("embedding", 0).cast("double") + 0.5).alias("x"), F.transform(F.slice("embedding", 1, 8), lambda e: e.cast("double")).alias("v")
+        (F.get("embedding", 0).cast("double") + 0.5).alias("x"), F.transform("embedding", lambda e: e.cast("double")).alias("v")
     )
     dt = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
     r = t.embeddings.select("vec_id", G.round_struct(nested, dt, 2).alias("r"))

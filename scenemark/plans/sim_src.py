@@ -41,7 +41,7 @@ def _(t):
     return near.groupBy("id").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("distance"), 6).alias("total"), rnd(F.max("distance"), 6).alias("worst"))
 
 
-_EMB = "WITH e AS (SELECT vec_id AS id, [embedding[i]::DOUBLE + 0.5::DOUBLE for i in range(1, 13)] AS v FROM embeddings), s AS (SELECT id, k, v[2 * k + 1] AS x, v[2 * k + 2] AS y FROM (SELECT *, unnest(range(0, 6)) AS k FROM e))"
+_EMB = "WITH e AS (SELECT vec_id AS id, [embedding[i]::DOUBLE + 0.5::DOUBLE for i in range(1, 65)] AS v FROM embeddings), s AS (SELECT id, k, v[2 * k + 1] AS x, v[2 * k + 2] AS y FROM (SELECT *, unnest(range(0, 32)) AS k FROM e))"
 
 
 @query(
@@ -114,6 +114,18 @@ def _(t):
     return Rd.read_jsonl(t.spark, path, _EV)
 
 
+@query("src_01_rejects", "SELECT event_id, event_id % 7 = 0 AS rejected FROM events")
+def _(t):
+    """Lines of which every seventh is cut off: good rows and rejects together."""
+    path = scratch(t)
+    line = F.to_json(F.struct("event_id", "event_type", "value"))
+    cut_off = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))
+    t.events.select(F.when(F.col("event_id") % 7 == 0, cut_off).otherwise(line).alias("value")).write.text(path)
+    rows, rejects = Rd.read_jsonl_checked(t.spark, path, _EV)
+    cut = F.regexp_extract("line", r"(\d+)$", 1).cast("long").alias("event_id")
+    return rows.select("event_id", F.lit(False).alias("rejected")).unionByName(rejects.select(cut, F.lit(True).alias("rejected")))
+
+
 @query("src_02_json_array", "SELECT p_partkey, p_name FROM part")
 def _(t):
     path = scratch(t)
@@ -152,7 +164,7 @@ def _(t):
 def _(t):
     path = scratch(t)
     t.conversations.select("conv_id", "turn", "text").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    return Rd.read_csv(t.spark, path, "conv_id long, turn long, text string").withColumn("text", F.md5("text"))
+    return Rd.read_csv(t.spark, path, "conv_id long, turn long, text string", multiline=True).withColumn("text", F.md5("text"))
 
 
 @query(
@@ -177,11 +189,11 @@ def _(t):
 
 @query(
     "src_08_ordered_files",
-    "SELECT event_id, row_number() OVER (ORDER BY CASE event_type WHEN 'click' THEN 0 ELSE 1 END, event_id) - 1 AS id FROM events WHERE event_type IN ('click', 'view')",
+    "SELECT event_id, row_number() OVER (ORDER BY list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type), event_id) - 1 AS id FROM events",
 )
 def _(t):
     paths = []
-    for kind in ("click", "view"):
+    for kind in ("view", "click", "signup", "purchase", "error"):
         paths.append(scratch(t))
         Wr.write_jsonl(_events(t).filter(F.col("event_type") == kind), paths[-1])
     return Rd.read_ordered(t.spark, paths, _EV, "event_id").select("event_id", "id")

@@ -379,6 +379,7 @@ _R10 = {
     "two": ("'Sys. '", "(CASE WHEN j % 2 = 0 THEN 'USER' ELSE 'ASSISTANT' END) || ': ' || v || (CASE WHEN j % 2 = 0 THEN ' ' ELSE '</s>' END)", "''"),
     "mpt": ("'<|s|>Sys.<|e|>'", "(CASE WHEN j % 2 = 0 THEN '<|u|>' ELSE '<|a|>' END) || v || '<|e|>'", "''"),
     "plain": ("''", "v || (CASE WHEN j % 2 = 0 THEN chr(10) ELSE chr(10) || chr(10) END)", "''"),
+    "llama2": ("''", "CASE WHEN v = '' THEN '' WHEN j % 2 = 0 THEN '<s>[INST] ' || (CASE WHEN j = 0 THEN '<<SYS>>' || chr(10) || 'Sys.' || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END) || v || ' [/INST]' ELSE ' ' || v || ' </s>' END", "''"),
     "signal": ("'Sys.'", "'### ' || (CASE WHEN fr = 'human' THEN 'Human' ELSE 'Assistant' END) || ': ' || v || chr(10)", "'### '"),
 }
 
@@ -388,12 +389,12 @@ _R10 = {
     _TURNS
     + ", h AS (SELECT *, CASE WHEN first_value(fr) OVER (PARTITION BY id ORDER BY i) = 'human' THEN i ELSE i - 1 END AS j FROM tn) "
     + " UNION ALL ".join(
-        f"SELECT id, '{k}' AS style, md5({a} || string_agg({b}, '' ORDER BY i) || {c}) AS txt FROM h {'WHERE j >= 0' if k != 'signal' else ''} GROUP BY 1" for k, (a, b, c) in _R10.items()
+        f"SELECT id, '{k}' AS style, md5({'ltrim' if k == 'llama2' else 'concat'}({a} || string_agg({b}, '' ORDER BY i) || {c}, '{'<s>' if k == 'llama2' else ''}')) AS txt FROM h {'WHERE j >= 0' if k != 'signal' else ''} GROUP BY 1" for k, (a, b, c) in _R10.items()
     ),
 )
 def _(t):
     df = turns_of(t)
-    arr = F.array(*[F.struct(F.lit(k).alias("style"), F.md5(C.render("conversations", v)).alias("txt")) for k, v in TEMPLATES.items() if k != "llama2"])
+    arr = F.array(*[F.struct(F.lit(k).alias("style"), F.md5(C.render("conversations", v)).alias("txt")) for k, v in TEMPLATES.items()])
     return df.select("id", F.explode(arr).alias("x")).select("id", "x.style", "x.txt")
 
 

@@ -10,10 +10,20 @@ from scenemark.operators.sampling import with_seq_id
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """SRC-1: one record per line; malformed lines are dropped by the schema as NULL rows."""
+    """SRC-1: one record per line; malformed lines become NULL rows (see read_jsonl_checked)."""
     return spark.read.schema(schema).json(path)
 
 
+def read_jsonl_checked(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """SRC-1 / RES-3: (rows, rejects); a line that is no record of the schema is a reject
+    (line, file).  Empty lines are skipped."""
+    given = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("line"), F.input_file_name().alias("file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = given.withColumn("_r", F.from_json("line", f"{schema}, _bad string", options))
+    good = F.col("_r").isNotNull() & F.col("_r._bad").isNull()
+    return parsed.filter(good).select("_r.*").drop("_bad"), parsed.filter(~good).select("line", "file")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-2: one JSON array per file.  A file is one split: convert large ones once with
     ``to_parquet``."""
@@ -40,9 +50,10 @@ def read_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raise ValueError(f"unsupported file type: {path}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """SRC-5: with a header line; quoted fields may hold line breaks and quotes."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str, multiline: bool = False) -> DataFrame:
+    """SRC-5: with a header line; quoted fields may hold quotes, and with ``multiline`` line
+    breaks too, at the price of one task per file."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multiline).csv(path)
 
 
 def blank_none(col: str) -> Column:
