@@ -15,6 +15,7 @@ from scenemark.functions.answers import words_of
 from scenemark.functions.rnd import _c
 from scenemark.functions.text import py_list, strip
 from scenemark.operators.sampling import hash_rank, sample_k
+from scenemark.session import stored
 
 IMAGE = "<image>"
 IMAGE_TOKENS = 128
@@ -128,29 +129,42 @@ def length_batches(df: DataFrame, batch: int, world: int, seed: str, key: str =
     dealt to the ``world`` chunks in snake order, which evens out the chunk lengths."""
     m = _megabatches(df.select(key, length), [], batch * world, seed, key)
     w = Window.partitionBy("mega").orderBy(F.col(length).desc(), key)
-    row = F.floor(F.col("rank") / world)
-    col = (F.col("rank") % world).cast("int")
     return (
         m.withColumn("rank", F.row_number().over(w) - 1)
-        .withColumn("chunk", F.when(row % 2 == 0, col).otherwise(world - 1 - col))
-        .withColumn("slot", row.cast("int"))
+        .withColumn("chunk", _snake(F.col("rank"), world))
+        .withColumn("slot", F.floor(F.col("rank") / world).cast("int"))
     )
 
 
+def _snake(rank: Column, world: int) -> Column:
+    """Chunk of a rank: rows of ``world`` are dealt forwards and backwards in turn."""
+    at = (rank % world).cast("int")
+    return F.when(F.floor(rank / world) % 2 == 0, at).otherwise(world - 1 - at)
+
+
 def modality_batches(df: DataFrame, batch: int, world: int, seed: str, key: str = "id") -> DataFrame:
-    """TRN-8 with images and text: megabatches per modality; the full ones come in random
-    order, the two incomplete (or last) ones together at the end.  Adds ``position``, the
-    order of the megabatch."""
+    """TRN-8 with images and text: megabatches per modality, each dealt to chunks by length as
+    in length_batches.  Full ones come in random order; the last ones of both modalities come
+    together at the end, in the order of the key and without chunks.  A corpus of one modality
+    has no such end.  Adds ``position``, the order of the megabatch."""
     size = batch * world
     side = df.select(key, (F.col("modality_length") > 0).alias("mm"), F.abs("modality_length").alias("length"))
     m = _megabatches(side, ["mm"], size, seed, key)
     last = m.groupBy("mm").agg(F.max("mega").alias("_last"))
-    m = m.join(F.broadcast(last), "mm").withColumn("tail", F.col("mega") == F.col("_last")).drop("_last")
+    kinds = last.agg(F.count(F.lit(1)).alias("_kinds"))
+    tail = (F.col("mega") == F.col("_last")) & (F.col("_kinds") > 1)
+    m = stored(m.join(last, "mm").crossJoin(kinds).withColumn("tail", tail).drop("_last", "_kinds"), "megabatches")
     full = m.filter(~F.col("tail")).select("mm", "mega").distinct()
     order = hash_rank(full, [], ["mm", "mega"], seed + ":order", "position")
     n_full = order.agg(F.count(F.lit(1)).alias("_n"))
-    placed = m.join(order, ["mm", "mega"], "left").crossJoin(F.broadcast(n_full))
-    return placed.withColumn("position", F.coalesce("position", F.col("_n") + 1)).drop("_n")
+    placed = m.join(order, ["mm", "mega"], "left").crossJoin(n_full)
+    placed = placed.withColumn("position", F.coalesce("position", F.col("_n") + 1)).drop("_n")
+    # the end is one position of at most two megabatches
+    by_length = Window.partitionBy("position").orderBy(F.when(F.col("tail"), 0).otherwise(-F.col("length")), key)
+    ranked = placed.withColumn("rank", F.row_number().over(by_length) - 1)
+    return ranked.withColumn("chunk", F.when(~F.col("tail"), _snake(F.col("rank"), world))).withColumn(
+        "slot", F.when(~F.col("tail"), F.floor(F.col("rank") / world).cast("int"))
+    )
 
 
 def greedy_batches(df: DataFrame, batch: int, world: int, seed: str, key: str = "id", length: str = "length") -> DataFrame:

@@ -108,6 +108,16 @@ def whorl_heights(points: DataFrame, chamber: DataFrame | None = None) -> DataFr
     return j.groupBy("image", F.abs("idx").alias("whorl")).agg(F.avg(F.abs(F.col("y") - F.col("inner_y"))).alias("height"))
 
 
+def whorl_height_rejects(points: DataFrame, chamber: DataFrame | None = None) -> DataFrame:
+    """RES-3 beside whorl_heights: (image, idx) of the whorl sides without an inner neighbour."""
+    sides = points.select("image", "idx").distinct()
+    inner = sides.select("image", (F.col("idx") + F.signum("idx").cast("int")).alias("idx"))
+    if chamber is not None:
+        first = chamber.select("image", F.explode(F.array(F.lit(1), F.lit(-1))).alias("idx"))
+        inner = inner.unionByName(first)
+    return sides.join(inner, ["image", "idx"], "left_anti")
+
+
 def whorl_thickness(df: DataFrame) -> DataFrame:
     """MEA-7: (image, whorl, thickness, mean_thickness) from relative thickness × height."""
     t = F.col("thickness") * F.col("img_height")
@@ -282,7 +292,7 @@ def kde(df: DataFrame, label: str, x: str, grid: int = 200) -> DataFrame:
     per = df.groupBy(label).agg(F.stddev_samp(x).alias("_s"), F.count(x).alias("_n"))
     per = per.withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).filter(F.col("_h") > 0)
     step = (F.col("_hi") - F.col("_lo")) / (grid - 1)
-    w = df.groupBy(label, x).agg(F.count(F.lit(1)).alias("_w")).join(F.broadcast(per), label).crossJoin(F.broadcast(ends))
+    w = df.groupBy(label, x).agg(F.count(F.lit(1)).alias("_w")).join(per, label).crossJoin(ends)
     pts = w.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("at", F.col("_lo") + F.col("g") * step)
     z = (F.col("at") - F.col(x)) / F.col("_h")
     k = F.col("_w") * F.exp(-0.5 * z * z) / (F.col("_h") * F.sqrt(F.lit(2 * G.PI)) * F.col("_all"))

@@ -464,16 +464,36 @@ def pairwise_summary(reviews: DataFrame, ignore: list[int] = ()) -> DataFrame:
     )
 
 
+def missing_parts(questions: DataFrame, parts: dict[str, tuple[DataFrame, str]], key: str = "question_id") -> DataFrame:
+    """RES-3 beside the joins of review tables: (``key``, missing) of every question that lacks
+    some part; ``parts`` names each part's table and the column it is joined on."""
+    marked = questions
+    for i, (table, on) in enumerate(parts.values()):
+        marked = marked.join(table.select(on).distinct().withColumn(f"_has{i}", F.lit(True)), on, "left")
+    lacks = F.array_compact(F.array(*[F.when(F.col(f"_has{i}").isNull(), name) for i, name in enumerate(parts)]))
+    return marked.select(key, F.array_join(lacks, ", ").alias("missing")).filter("missing <> ''")
+
+
+def pairwise_rejects(questions: DataFrame, context: DataFrame, ans1: DataFrame, ans2: DataFrame, rules: DataFrame) -> DataFrame:
+    """Questions that pairwise_prompt leaves out, with the reason."""
+    answers = {"answer 1": (ans1, "question_id"), "answer 2": (ans2, "question_id")}
+    return missing_parts(questions, {"context": (context, "image"), **answers, "rule": (rules, "category")})
+
+
+def review_rejects(questions: DataFrame, ans1: DataFrame, ans2: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Questions that review_page leaves out, with the reason."""
+    return missing_parts(questions, {n: (t, "question_id") for n, t in (("answer 1", ans1), ("answer 2", ans2), ("review", reviews))})
+
+
 def pairwise_prompt(
     questions: DataFrame, context: DataFrame, ans1: DataFrame, ans2: DataFrame, rules: DataFrame, boxes: bool = False
 ) -> DataFrame:
-    """EVA-38: judge prompt of every question; ``rules`` is a small dimension, the rest join
-    on their keys.  With ``boxes`` the context carries a ``boxes`` text."""
+    """EVA-38: judge prompt of every question that has all parts (see pairwise_rejects).  With ``boxes`` the context carries a ``boxes`` text."""
     q = (
         questions.join(context, "image")
         .join(ans1.select("question_id", F.col("text").alias("a1")), "question_id")
         .join(ans2.select("question_id", F.col("text").alias("a2")), "question_id")
-        .join(F.broadcast(rules), "category")
+        .join(rules, "category")
     )
     ctx = F.concat_ws("\n\n", "caption", "boxes") if boxes else F.col("caption")
     return q.select(
@@ -488,7 +508,8 @@ def pairwise_prompt(
 
 
 def review_page(questions: DataFrame, ans1: DataFrame, ans2: DataFrame, reviews: DataFrame) -> DataFrame:
-    """EVA-39: one row per question with answers and the review without its score line."""
+    """EVA-39: one row per question with answers and the review without its score line, in the
+    order of the question ids; questions without a part are in review_rejects."""
     text = F.trim(F.col("content"))
     body = F.regexp_replace(text, r"^\d+[, ]+\d+[^\n]*(\n|$)", "")
     body = F.regexp_replace(body, r"(Assistant [12])", "**$1**")
@@ -591,7 +612,7 @@ def template_question(df: DataFrame, templates: DataFrame) -> DataFrame:
     text = F.when(F.col("qid").isin(18, 19), F.col("template")).otherwise(
         F.replace(F.col("template"), F.lit("{}"), prefix)
     )
-    return df.join(F.broadcast(templates), "qid").withColumn("question", text).drop("template")
+    return df.join(templates, "qid").withColumn("question", text).drop("template")
 
 
 def batch_extract(df: DataFrame, n: int, key: str, seed: str = "extract") -> DataFrame:

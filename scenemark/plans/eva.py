@@ -935,6 +935,19 @@ def _(t):
     return _pairwise(t, True)
 
 
+@query(
+    "eva_38_rejects",
+    """SELECT o_orderkey AS question_id, concat_ws(', ', CASE WHEN o_custkey % 7 = 0 THEN 'context' END, CASE WHEN o_orderkey % 5 = 0 THEN 'answer 1' END, CASE WHEN o_orderkey % 3 = 0 THEN 'answer 2' END,
+      CASE WHEN o_orderpriority = '1-URGENT' THEN 'rule' END) AS missing FROM orders WHERE o_custkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 OR o_orderpriority = '1-URGENT'""",
+)
+def _(t):
+    """Contexts, answers and rules with gaps: what no prompt is made for, and why."""
+    q, ctx, a1, a2 = _orders_qa(t)
+    rules = q.select("category").distinct().filter("category <> '1-URGENT'")
+    ctx = q.select("image").distinct().filter("image % 7 <> 0")
+    return S.pairwise_rejects(q, ctx, a1.filter("question_id % 5 <> 0"), a2.filter("question_id % 3 <> 0"), rules)
+
+
 @query(
     "eva_39_review_page",
     """WITH x AS (SELECT o_orderkey AS q, *, (o_orderkey % 10)::VARCHAR || ' ' || (o_custkey % 10)::VARCHAR AS s FROM orders)

@@ -326,9 +326,11 @@ def _(t):
     "trn_08_modality_batches",
     _LEN
     + """, r AS (SELECT id, modality_length > 0 AS mm, abs(modality_length) AS length, (row_number() OVER (PARTITION BY modality_length > 0 ORDER BY md5('t8m:' || id), id) - 1) // 32 AS mega FROM le),
-    l AS (SELECT *, mega = max(mega) OVER (PARTITION BY mm) AS tail FROM r),
-    f AS (SELECT mm, mega, row_number() OVER (ORDER BY md5('t8m:order:' || mm::VARCHAR || ':' || mega)) AS position FROM (SELECT DISTINCT mm, mega FROM l WHERE NOT tail))
-    SELECT id, mm, length, mega, tail, coalesce(position, (SELECT count(*) FROM f) + 1) AS position FROM l LEFT JOIN f USING (mm, mega)""",
+    l AS (SELECT *, mega = max(mega) OVER (PARTITION BY mm) AND (SELECT count(DISTINCT mm) > 1 FROM r) AS tail FROM r),
+    f AS (SELECT mm, mega, row_number() OVER (ORDER BY md5('t8m:order:' || mm::VARCHAR || ':' || mega)) AS position FROM (SELECT DISTINCT mm, mega FROM l WHERE NOT tail)),
+    p AS (SELECT id, mm, length, mega, tail, coalesce(position, (SELECT count(*) FROM f) + 1) AS position FROM l LEFT JOIN f USING (mm, mega)),
+    k AS (SELECT *, (CASE WHEN tail THEN row_number() OVER (PARTITION BY tail ORDER BY id) ELSE row_number() OVER (PARTITION BY tail, mm, mega ORDER BY length DESC, id) END - 1)::INT AS rank FROM p)
+    SELECT *, CASE WHEN NOT tail THEN CASE WHEN (rank // 4) % 2 = 0 THEN rank % 4 ELSE 3 - rank % 4 END END AS chunk, CASE WHEN NOT tail THEN rank // 4 END AS slot FROM k""",
 )
 def _(t):
     return C.modality_batches(C.lengths(turns_of(t)), 8, 4, "t8m")

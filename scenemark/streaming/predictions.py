@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from scenemark import schemas
 
 
-def append_new(batch: DataFrame, sink: str, key: list[str], part: str | None = None) -> None:
-    """Append the rows of a batch whose key is not in the sink yet.
-
-    The sink is partitioned by ``part``; only the partitions of the batch are read back."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(key)
-    done = None
-    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        done = spark.read.schema(batch.schema).parquet(sink).select(*key)
-        if part:
-            # few values; lets the reader prune the other partitions
-            done = done.join(F.broadcast(fresh.select(part).distinct()), part, "left_semi")
-    if done is not None:
-        fresh = fresh.join(done, key, "left_anti")
-    writer = fresh.write.mode("append")
-    (writer.partitionBy(part) if part else writer).parquet(sink)
-
-
 def stream_predictions(
     spark: SparkSession,
     path: str,
@@ -37,12 +17,19 @@ def stream_predictions(
     key: tuple[str, ...] = ("model", "perspective", "image_id", "question_id"),
     files_per_batch: int = 100,
 ) -> StreamingQuery:
-    """File-source stream over JSON lines into a parquet sink; stops when all files are in.
+    """File-source stream over JSON lines into a parquet sink partitioned by the first key
+    column; stops when all files are in.
 
-    A batch that is replayed after a failure finds its keys in the sink and adds nothing."""
+    Keys seen so far are the stream's state, split by key over the shuffle partitions, so a batch
+    costs what it brings and never reads the sink.  The sink's log makes a replayed batch add
+    nothing.  On a cluster the keys are best kept in the RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass)."""
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
     return (
-        source.writeStream.foreachBatch(lambda df, _id: append_new(df, sink, list(key), key[0]))
+        source.dropDuplicates(list(key))
+        .writeStream.format("parquet")
+        .partitionBy(key[0])
+        .option("path", sink)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
