@@ -26,20 +26,24 @@ def _descriptions(parent: str, around: Column) -> Column:
     )
 
 
+def parent_name(parent: str, present: Column, plural: bool = False) -> Column:
+    """Wording of one type that can have children: 'ellipse (not circle)' or 'ellipses
+    (excluding circles)' where a child occurs."""
+    d = _descriptions(parent, present)
+    if plural:
+        named = F.concat(
+            F.lit(f"{parent}s (excluding "), F.array_join(F.transform(d, lambda x: F.concat(x, F.lit("s"))), ", "), F.lit(")")
+        )
+    else:
+        named = F.concat(F.lit(f"{parent} (not "), F.array_join(d, ", "), F.lit(")"))
+    return F.when(F.size(d) > 0, named).otherwise(parent + "s" if plural else parent)
+
+
 def clarify(kind: Column, present: Column, plural: bool = False) -> Column:
-    """VQA-10: 'ellipse (not circle)' or 'ellipses (excluding circles)' where a child occurs."""
+    """VQA-10: the wording of any type; types without children keep their name."""
     out = None
     for parent in dims.TYPE_CHILDREN:
-        d = _descriptions(parent, present)
-        if plural:
-            named = F.concat(
-                F.lit(f"{parent}s (excluding "), F.array_join(F.transform(d, lambda x: F.concat(x, F.lit("s"))), ", "), F.lit(")")
-            )
-            plain = F.lit(parent + "s")
-        else:
-            named = F.concat(F.lit(f"{parent} (not "), F.array_join(d, ", "), F.lit(")"))
-            plain = F.lit(parent)
-        val = F.when(F.size(d) > 0, named).otherwise(plain)
+        val = parent_name(parent, present, plural)
         out = F.when(kind == parent, val) if out is None else out.when(kind == parent, val)
     return out.otherwise(F.concat(kind, F.lit("s")) if plural else kind)
 

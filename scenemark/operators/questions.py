@@ -20,9 +20,9 @@ from scenemark.functions.answers import let
 from scenemark.functions.rnd import hash_key, pick_weighted, shuffle_by_hash, u01
 from scenemark.functions.wording import (
     canonical_relation,
-    clarify,
     clarify_choices,
     inverse_relation,
+    parent_name,
     plural_mark,
     quadrant,
 )
@@ -161,11 +161,11 @@ def say(kind: Column, plural: bool = False) -> Column:
 
 
 def with_names(profile: DataFrame) -> DataFrame:
-    """Adds the clarified names of all types, singular and plural (VQA-10)."""
-    vocab = F.array(*[F.lit(t) for t in dims.SHAPE_TYPES])
-    one = F.map_from_arrays(vocab, F.transform(vocab, lambda t: clarify(t, F.col("present"))))
-    many = F.map_from_arrays(vocab, F.transform(vocab, lambda t: clarify(t, F.col("present"), plural=True)))
-    return profile.withColumn("names", F.struct(one.alias("one"), many.alias("many")))
+    """Adds the clarified names, singular and plural, of the types that can have children
+    (VQA-10); all others keep their name in ``say``."""
+    parents = F.array(*[F.lit(t) for t in dims.TYPE_CHILDREN])
+    names = lambda plural: F.map_from_arrays(parents, F.array(*[parent_name(t, F.col("present"), plural) for t in dims.TYPE_CHILDREN]))
+    return profile.withColumn("names", F.struct(names(False).alias("one"), names(True).alias("many")))
 
 
 def prepare(profile: DataFrame, seed: str = "vqa") -> DataFrame:
