@@ -261,23 +261,28 @@ def curve_box(kind, x_start, x_end, y_mid, height, vertices) -> Column:
 def segments_intersect(p1: Column, p2: Column, p3: Column, p4: Column, slack: float = 0.1) -> Column:
     """GEO-13: whether two segments cross, each reaching ``slack`` of its length beyond its ends.
 
-    Twice the signed areas of the triangles over a segment tell on which side of it the other's
-    ends lie, and their ratio where the crossing is.  Collinear segments must overlap, without
-    slack; a first segment without length must be where the second begins."""
-    area = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-    sides = F.struct(area(p3, p4, p1).alias("s1"), area(p3, p4, p2).alias("s2"), area(p1, p2, p3).alias("s3"), area(p1, p2, p4).alias("s4"))
+    The cross product of the directions is how far the lines turn; twice the signed area of the
+    triangle over a segment and the other's first end, over that turn, is where on the other the
+    lines meet.  Collinear segments must overlap, without slack; a first segment without length
+    must be where the second begins."""
+
+    def cross(a, b, c, d):
+        """Of the vectors a to b and c to d."""
+        return (b["x"] - a["x"]) * (d["y"] - c["y"]) - (b["y"] - a["y"]) * (d["x"] - c["x"])
+
+    sides = F.struct(cross(p1, p2, p3, p4).alias("turn"), cross(p3, p4, p3, p1).alias("first"), cross(p1, p2, p1, p3).alias("second"))
 
     def meet(axis):
         low = F.greatest(F.least(p1[axis], p2[axis]), F.least(p3[axis], p4[axis]))
-        return low <= F.least(F.greatest(p1[axis], p2[axis]), F.greatest(p3[axis], p4[axis]))
+        high = F.least(F.greatest(p1[axis], p2[axis]), F.greatest(p3[axis], p4[axis]))
+        return low <= high + 1e-12  # ends that touch may differ by rounding
 
     def test(s):
-        turn = s["s1"] - s["s2"]
-        here, there = F.try_divide(s["s1"], turn), F.try_divide(s["s3"], s["s3"] - s["s4"])
-        crossing = here.between(-slack, 1 + slack) & there.between(-slack, 1 + slack)
+        inside = lambda at: at.between(-slack, 1 + slack)
+        crossing = inside(F.try_divide(s["first"], s["turn"])) & inside(F.try_divide(-s["second"], s["turn"]))
         point = (p1["x"] == p2["x"]) & (p1["y"] == p2["y"])
         along = F.when(point, (p1["x"] == p3["x"]) & (p1["y"] == p3["y"])).otherwise(meet("x") & meet("y"))
-        return F.when(F.abs(turn) >= 1e-9, F.coalesce(crossing, F.lit(False))).otherwise((F.abs(s["s3"]) < 1e-9) & along)
+        return F.when(F.abs(s["turn"]) >= 1e-9, crossing).otherwise((F.abs(s["second"]) < 1e-9) & along)
 
     return let(sides, test)
 

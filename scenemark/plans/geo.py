@@ -202,11 +202,17 @@ def _(t):
     return Sc.type_counts(typed)
 
 
-@query("geo_20_enrich_rounded")
+_EV = lambda x: f"(round_even({x}, 2) + 0.0)"
+
+
+@query(
+    "geo_20_enrich_rounded",
+    _ENRICH + f"SELECT image_id, shape_idx, type, {_EV('cx')} AS cx, {_EV('cy')} AS cy, {_EV('area')} AS area, {_EV('max_x')} AS max_x FROM b",
+)
 def _(t):
-    """The enrichment as written out, rounded to two places (no SQL twin: half-even ties)."""
+    """The enrichment as written out, rounded half-even to two places."""
     e = Sc.enrich(raw_shapes(t))
-    return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("area").alias("n_area"), F.count("box").alias("n_box"))
+    return e.select(*KEY, "type", *[(F.col(c) + 0.0).alias(n) for c, n in (("center.x", "cx"), ("center.y", "cy"), ("area", "area"), ("box.max_x", "max_x"))])
 
 
 _GON = "((w / 10 + h / 20 * (th1 - 2 * pi() + ({i}) * (2 * pi() / 360))) * {f}(th1 - 2 * pi() + ({i}) * (2 * pi() / 360)))"
