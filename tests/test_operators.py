@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenemark import schemas
+from scenemark.functions import classes as Cl
 from scenemark.functions import geometry as G
 from scenemark.operators import captions as C
 from scenemark.operators import corpus as Co
@@ -62,7 +63,7 @@ def test_dedup_polylines_equals_nested_loops(spark):
 def test_chain_of_duplicates_is_one_cluster(spark):
     n = 60
     pairs = spark.createDataFrame([(1, i, i + 1, 3, 3) for i in range(n)], "image_id long, i long, j long, len_i int, len_j int")
-    comp = Si._components(pairs, rounds=3)
+    comp = Si._components(pairs)
     assert {r["comp"] for r in comp.collect()} == {0} and comp.count() == n + 1
 
 
@@ -235,3 +236,31 @@ def test_scene_records(spark):
     assert e["triangle"]["area"] == 0.08 and e["line"]["area"] == 0 and e["circle"]["area"] == 0.13
     assert e["circle"]["box"]["max_x"] == 0.7 and e["line"]["center"]["y"] == 0.4
     assert Sc.explode_relations(df).first()["relation"] == "tangent line"
+
+
+def test_ordered_rank_keeps_types_and_nulls_first(spark):
+    big = 2**60
+    rows = [("a", big + i, i) for i in (5, 3, 0, 7, 1, 6, 2, 4)] + [("a", None, 99)] + [("b", 1, i) for i in range(200)] + [("b", big * 4, 500), (None, 2, 1)]
+    df = spark.createDataFrame(rows, "g string, v bigint, id int").repartition(7)
+    got = {(r.g, r.v, r.id): r.seq for r in Sm.ordered_rank(df, ["g"], F.col("v"), ["id"]).collect()}
+    for g in ("a", "b", None):
+        mine = sorted([r for r in rows if r[0] == g], key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        assert [got[r] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_any_k(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 2).alias("g"), (F.col("id") % 10 + 1.0).alias("w"))
+    assert Sm.sample_weighted(df, ["g"], "w", 2000, "s", ["id"]).groupBy("g").count().filter("count <> 2000").count() == 0
+
+
+def test_range_class_join_keeps_equal_rows(spark):
+    table = spark.createDataFrame([("low", 0.0, 5.0, 1), ("mid", 5.0, 9.0, 2)], "label string, lo double, hi double, ord int")
+    df = spark.createDataFrame([(5.0,), (5.0,), (7.0,), (50.0,)], "v double")
+    assert sorted(r.label for r in Cl.range_class_join(df, "v", table).collect()) == ["", "low", "low", "mid"]
+
+
+def test_one_modality_is_plain_grouping(spark):
+    df = spark.createDataFrame([(i, 10 + i * 7 % 13, 10 + i * 7 % 13) for i in range(70)], "id int, length int, modality_length int")
+    plain = {r.id: (r.mega, r["rank"], r.chunk) for r in Co.length_batches(df, 4, 4, "s").collect()}
+    mixed = {r.id: (r["rank"], r.chunk, r.tail) for r in Co.modality_batches(df, 4, 4, "s").collect()}
+    assert {k: (v[1], v[2], False) for k, v in plain.items()} == mixed
