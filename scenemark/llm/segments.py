@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Cached segments per worker and generation; what goes out of use costs time only.
-CACHE = 300_000
+CACHE = 100_000
 _DOUBLE = re.compile(r"\s\s")
 
 
