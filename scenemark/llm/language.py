@@ -154,12 +154,12 @@ def fit(labelled: DataFrame, centroids: int = CENTROIDS, fit_docs: int = FIT_DOC
     return Model(idf, [r.lang for r in rows], centres, np.array([r.reach for r in rows]))
 
 
-def _predict(model):
+def _predict(model, at: int, columns: int):
     def run(batches):
         for batch in batches:
-            found = [model.value.predict(t) for t in batch.column(0).to_pylist()]
+            found = [model.value.predict(t.as_py()) for t in batch.column(at)]
             made = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*made, *batch.columns[1:]], names=["lang_pred", "score", "accepted", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[:columns]], names=["lang_pred", "score", "accepted", *batch.schema.names[:columns]])
 
     return run
 
@@ -172,9 +172,10 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """``columns`` as c0, c1, ... with (lang_pred, score, accepted) of every whole text."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 64 KB per centroid, a few per language
-    given = docs.select("text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    sent = columns if "text" in columns else [*columns, "text"]  # texts travel once
+    given = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)])
     fields = ["lang_pred string", "score double", "accepted boolean", *(f"c{i} {kinds[c]}" for i, c in enumerate(columns))]
-    return given.mapInArrow(_predict(shared), ", ".join(fields))
+    return given.mapInArrow(_predict(shared, sent.index("text"), len(columns)), ", ".join(fields))
 
 
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:

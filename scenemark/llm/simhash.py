@@ -55,19 +55,23 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprint_batches(batches):
-    for batch in batches:
-        texts = batch.column(0).cast(pa.binary())
-        prints = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
+def _fingerprint_batches(at: int, columns: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            prints = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), *batch.columns[:columns]], names=["fp", *batch.schema.names[:columns]])
+
+    return run
 
 
 def with_fingerprint(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns as c0, c1, ... and ``fp`` (bits of the fingerprint as a long)."""
     types = {f.name: f.dataType for f in docs.schema}
     schema = T.StructType([T.StructField("fp", T.LongType()), *[T.StructField(f"c{i}", types[c]) for i, c in enumerate(columns)]])
-    given = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    return given.mapInArrow(_fingerprint_batches, schema)
+    sent = columns if "text" in columns else [*columns, "text"]  # texts travel once
+    given = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)])
+    return given.mapInArrow(_fingerprint_batches(sent.index("text"), len(columns)), schema)
 
 
 # --- partitions and thresholds --------------------------------------------------------------
