@@ -26,6 +26,8 @@ PROBES = 4
 #: Vectors of a bucket that one run compares; fuller buckets are cut into blocks, and every
 #: pair of blocks is a run of its own.
 BLOCK = 1024
+#: Rows of a run that meet all later ones at a time.
+STEP = 64
 COSINE = 0.98
 
 
@@ -117,16 +119,14 @@ def _compare(run: dict, cosine: float):
         if len(rows) < 2:
             continue
         x = _unit(run["values"][run["at"][rows][:, None] + np.arange(width)])
-        for start in range(0, len(rows), BLOCK):
-            part = rows[start : start + BLOCK]
-            near = x[start : start + BLOCK] @ x.T >= cosine
-            i, j = np.nonzero(near)
-            i, j = part[i], rows[j]
+        for start in range(0, len(rows), STEP):
+            i, j = np.nonzero(x[start : start + STEP] @ x[start:].T >= cosine)
+            i, j = rows[start + i], rows[start + j]
             ok = (i < j) & (run["label"][i] == run["label"][j]) & (run["code"][i] == run["code"][j])
             ok &= ~run["cross"][i] | (run["side"][i] != run["side"][j])
             i, j = i[ok], j[ok]
-            for at in range(0, len(i), 100_000):
-                a, b = i[at : at + 100_000], j[at : at + 100_000]
+            for at in range(0, len(i), 20_000):
+                a, b = i[at : at + 20_000], j[at : at + 20_000]
                 own = _first_shared(run["codes"][a], run["codes"][b]) == run["code"][a]
                 a, b = a[own], b[own]
                 np.add.at(counts, a, run["m"][b])
