@@ -36,18 +36,21 @@ ESTIMATE = 2000
 # --- fingerprints -------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """SimHash of one UTF-8 text; zero where it has no word."""
-    found = text.lower().split()  # bytes: A-Z only, split at \x20 and \x09-\x0D
+def shingle_hashes(found: list[bytes], words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the runs of ``words`` words, in order; of all words where there are fewer."""
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     last = max(0, len(found) - words)
     stops = (ends[min(words, len(found)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: last + 1], stops)), np.uint64, last + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: last + 1], stops)), np.uint64, last + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -55,6 +58,11 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    """SimHash of one UTF-8 text; zero where it has no word."""
+    return majority(shingle_hashes(text.lower().split(), words, seed))  # bytes: A-Z only, split at \x20 and \x09-\x0D
+
+
 def _fingerprint_batches(at: int, columns: int):
     def run(batches):
         for batch in batches:
@@ -152,8 +160,8 @@ def thresholds(sample: np.ndarray, total: int, groups: list[list[int]], radius:
 # --- probing --------------------------------------------------------------------------------
 
 
-def _linked(key: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int):
-    """A spanning forest of the links inside runs of equal keys: (print, print) pairs."""
+def joined(key: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int):
+    """A spanning forest of the links inside runs of equal keys, as two arrays of positions."""
     labels = np.arange(len(key))
     at, step = np.arange(len(key)), 0
     while len(at):
@@ -165,7 +173,13 @@ def _linked(key: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int):
         if len(near):
             labels = merge_labels(labels, near, near + step)
     moved = np.flatnonzero(labels != np.arange(len(key)))
-    return prints[moved], prints[labels[moved]]
+    return moved, labels[moved]
+
+
+def _linked(key: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int):
+    """A spanning forest of the links inside runs of equal keys: (print, print) pairs."""
+    a, b = joined(key, prints, home, radius)
+    return prints[a], prints[b]
 
 
 def _link_batches(radius: int):
