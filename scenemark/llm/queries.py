@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scenemark.llm import exact, language, lm, mix_query, mixing, pieces, secrets, simhash, tokens, vectors
+from scenemark.llm import exact, language, lines, lm, mix_query, mixing, phrases, pieces, resample, secrets, simhash, tokens, vectors
 from scenemark.llm.rollup import Rollup, inserts, revisions
 from scenemark.session import scratch, stored
 
@@ -113,6 +113,70 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"))
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_phrases",
+    rf"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+    s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+    g1 AS (SELECT lang, w[i] AS x, count(*)::HUGEINT AS f FROM s GROUP BY ALL),
+    g2 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*)::HUGEINT AS f FROM s WHERE i < len(w) GROUP BY ALL HAVING count(*) >= 10),
+    g3 AS (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*)::HUGEINT AS f FROM s WHERE i + 1 < len(w) GROUP BY ALL HAVING count(*) >= 10),
+    c2 AS (SELECT g2.lang, g2.x || ' ' || g2.y AS phrase, g2.f AS a, a.f AS l, b.f AS r, 1 AS k FROM g2 JOIN g1 a ON g2.lang = a.lang AND g2.x = a.x JOIN g1 b ON g2.lang = b.lang AND g2.y = b.x
+        WHERE NOT EXISTS (SELECT 1 FROM g3 WHERE g3.lang = g2.lang AND (g3.x = g2.x AND g3.y = g2.y OR g3.y = g2.x AND g3.z = g2.y) AND 100 * g3.f >= 50 * g2.f)),
+    c3 AS (SELECT g3.lang, g3.x || ' ' || g3.y || ' ' || g3.z AS phrase, g3.f AS a, g1.f AS l, g2.f AS r, 1 AS k FROM g3 JOIN g1 ON g3.lang = g1.lang AND g3.x = g1.x JOIN g2 ON g3.lang = g2.lang AND g3.y = g2.x AND g3.z = g2.y
+        UNION ALL SELECT g3.lang, g3.x || ' ' || g3.y || ' ' || g3.z, g3.f, g2.f, g1.f, 2 FROM g3 JOIN g2 ON g3.lang = g2.lang AND g3.x = g2.x AND g3.y = g2.y JOIN g1 ON g3.lang = g1.lang AND g3.z = g1.x),
+    c AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM (FROM c2 UNION ALL FROM c3) QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c QUALIFY rank <= 2000)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM r JOIN (SELECT lang, sum(f)::BIGINT AS n FROM g1 GROUP BY 1) USING (lang)""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Best collocations of every language."""
+    return phrases.collocations(table(spark, folder, "documents")).drop("before", "after")
+
+
+_CRC = "list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b))"
+_BYTES = "list_transform(range(0, len(hex(w)) // 2), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT)"
+
+
+@query(
+    "op12_resample",
+    rf"""WITH t AS (SELECT {_CRC} AS crc),
+    f AS (SELECT true AS raw, doc_id AS id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+        UNION ALL SELECT false, item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+    v AS (SELECT w, xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT w FROM f), t),
+    u AS (SELECT raw, id, bucket, count(*) AS k FROM f JOIN v USING (w) GROUP BY ALL),
+    b AS (SELECT bucket, coalesce(sum(k) FILTER (raw), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (NOT raw), 0)::DOUBLE AS t FROM u GROUP BY 1),
+    a AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM b),
+    g AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM b, a),
+    d AS (SELECT id AS doc_id, sum(k)::BIGINT AS n_features, sum(k * gain)::BIGINT AS total FROM u JOIN g USING (bucket) WHERE raw GROUP BY 1),
+    w AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+        ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN d USING (doc_id)),
+    c AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM c WHERE n_features >= 20)
+    SELECT c.*, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document towards the benchmark."""
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op13_line_dedup",
+    f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM s)),
+    k AS (SELECT *, {_LOW.replace("coalesce(text, '')", "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+    g AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+    m AS (SELECT k.*, coalesce(k.doc_id <> g.last, false) AS gone FROM k LEFT JOIN g USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines before and dropped, and the digest of what stays, of every document."""
+    return lines.digests(table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
