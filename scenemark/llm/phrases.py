@@ -31,6 +31,8 @@ DEPTH = 3
 #: Words and separators at which a shard is closed.  With up to a third more it stays whole, and ids
 #: fit in 21 bits, three of them in 63; only a text longer than that is cut.
 SHARD = 1_500_000
+#: Words and separators per bucket in which the pairs of all shards meet.
+BUCKET = 3_000_000
 #: Bytes of a text that are cut into words at a time.
 WINDOW = 1 << 20
 
@@ -205,54 +207,107 @@ def indexed(docs: DataFrame, path: str, name: str, shard: int = SHARD) -> DataFr
 # --- lengths ----------------------------------------------------------------------------------
 
 
-def _ids(shard: pd.Series) -> np.ndarray:
-    return np.asarray(shard["counts"], np.int64)
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Equally long integer columns in one string, byte by byte of equal weight, compressed."""
+    planes = np.stack(columns).astype("<i8").view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-_PAIRS = "shard bigint, pair bigint, count bigint, signed bigint, onwards int, backwards int"
+def _columns(packed: bytes, k: int, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 8 * k * n, codec="zstd", asbytes=True), np.uint8).reshape(k, 8, n)
+    return np.array(planes.transpose(0, 2, 1), order="C").view("<i8").reshape(k, n)
 
 
-def _pairs(index: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-    """Extensions of the frequent words by frequent words."""
-    columns = [c.split()[0] for c in _PAIRS.split(", ")]
-    if not len(index) or not len(kept):
-        return pd.DataFrame({c: pd.Series([], dtype="int64") for c in columns})
-    s = index.iloc[0]
-    at = Index(_ids(s), _unpack(s["ahead"], s["n"]))
-    number = np.full(len(s["counts"]), -1, np.int64)
-    number[kept["local"].to_numpy()] = kept["number"].to_numpy()
-    frequent = np.flatnonzero(number >= 0)
-    which, word, onwards, backwards, size = at.extend(*[x[frequent] for x in at.words()])
-    use = number[word] >= 0
-    pair = number[frequent[which[use]]] << 32 | number[word[use]]
-    size = size[use]
-    return pd.DataFrame(dict(zip(columns, (np.full(len(pair), s["shard"]), pair, size, size * s["sign"], onwards[use], backwards[use]))))
+def _frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+
+
+_PAIRS = "bucket bigint, shard bigint, sign int, n int, packed binary"
+
+
+def _pairs(buckets: int):
+    """Extensions of a shard's frequent words by frequent words, by bucket of the pair."""
+
+    def run(index: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        if not len(index) or not len(kept):
+            return _frame(_PAIRS, [])
+        s = index.iloc[0]
+        at = Index(np.asarray(s["counts"], np.int64), _unpack(s["ahead"], s["n"]), _unpack(s["behind"], s["n"]))
+        number = np.full(len(s["counts"]), -1, np.int64)
+        number[kept["local"].to_numpy()] = kept["number"].to_numpy()
+        frequent = np.flatnonzero(number >= 0)
+        which, word, *place = at.extend(*[x[frequent] for x in at.words()])
+        use = np.flatnonzero(number[word] >= 0)
+        pair = number[frequent[which[use]]] << 32 | number[word[use]]
+        bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
+        order = np.lexsort((pair, bucket))
+        onwards, backwards, size = [x[use][order] for x in place]
+        before, after = at.sides(onwards, backwards, size)
+        pair, bucket = pair[order], bucket[order]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        columns = (size, onwards, backwards, size - before, size - after)
+        rows = [
+            (bucket[a], s["shard"], s["sign"], b - a, _squeeze(np.diff(pair[a:b], prepend=0), *[c[a:b] for c in columns]))
+            for a, b in zip(cuts[:-1], cuts[1:])
+        ]
+        return _frame(_PAIRS, rows)
+
+    return run
+
+
+_KEPT = "shard bigint, n int, packed binary, totals array<struct<pair:bigint,f:bigint,before:bigint,after:bigint>>"
+
+
+def _frequent(least: int):
+    """All shards' pairs of a bucket -> the frequent ones of each shard, and (shard NULL) their sums."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [_columns(p, 6, n) for p, n in zip(rows["packed"], rows["n"])]
+        for p in parts:
+            p[0] = np.cumsum(p[0])
+        every = np.concatenate(parts, axis=1)
+        pair, where = np.unique(every[0], return_inverse=True)
+        sign = np.repeat(rows["sign"].to_numpy(np.int64), rows["n"].to_numpy())
+        sums = np.zeros((3, len(pair)), np.int64)
+        for total, column in zip(sums, (every[1], every[1] - every[4], every[1] - every[5])):
+            np.add.at(total, where, column * sign)
+        often = sums[0] >= least
+        if not often.any():
+            return _frame(_KEPT, [])
+        totals = [dict(zip(("pair", "f", "before", "after"), t)) for t in zip(pair[often].tolist(), *sums[:, often].tolist())]
+        out, at = [(None, None, None, totals)], 0
+        for shard, p in zip(rows["shard"], parts):
+            stay = often[where[at : at + p.shape[1]]]
+            at += p.shape[1]
+            if stay.any():
+                out.append((shard, int(stay.sum()), _squeeze(*p[:4, stay]), None))
+        return _frame(_KEPT, out).astype({"shard": "Int64", "n": "Int32"})
+
+    return run
 
 
-_GRAMS = "pair bigint, word bigint, count bigint, before bigint, after bigint"
+_TRIPLES = "pair bigint, word bigint, count bigint, before bigint, after bigint"
 
 
 def _triples(index: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-    """The frequent pairs (word -1) and their extensions whose last two words are frequent too."""
-    columns = [c.split()[0] for c in _GRAMS.split(", ")]
+    """A shard's frequent pairs extended where the last two words are a frequent pair too."""
     if not len(index) or not len(kept):
-        return pd.DataFrame({c: pd.Series([], dtype="int64") for c in columns})
+        return _frame(_TRIPLES, [])
     s = index.iloc[0]
-    at = Index(_ids(s), _unpack(s["ahead"], s["n"]), _unpack(s["behind"], s["n"]))
-    kept = kept.sort_values("pair")
-    pair, onwards, backwards, size = (kept[c].to_numpy(np.int64) for c in ("pair", "onwards", "backwards", "count"))
+    at = Index(np.asarray(s["counts"], np.int64), _unpack(s["ahead"], s["n"]), _unpack(s["behind"], s["n"]))
+    every = np.concatenate([_columns(p, 4, n) for p, n in zip(kept["packed"], kept["n"])], axis=1)
+    pair, size, onwards, backwards = every[:, np.argsort(every[0])]
     number = np.full(len(s["counts"]), -1, np.int64)  # of words that end a frequent pair
-    last = np.searchsorted(at.first, backwards, "right") - 1
-    number[last] = pair & 0xFFFFFFFF
-    which, word, *more = at.extend(onwards, backwards, size)
+    number[np.searchsorted(at.first, backwards, "right") - 1] = pair & 0xFFFFFFFF
+    which, word, *place = at.extend(onwards, backwards, size)
     tail = (pair[which] & 0xFFFFFFFF) << 32 | np.maximum(number[word], 0)
     use = (number[word] >= 0) & (pair[np.minimum(np.searchsorted(pair, tail), len(pair) - 1)] == tail)
-    grams = [(pair, np.full(len(pair), -1), (onwards, backwards, size)), (pair[which[use]], number[word[use]], [x[use] for x in more])]
-    parts = []
-    for head, end, place in grams:
-        before, after = at.sides(*place)
-        parts.append(pd.DataFrame(dict(zip(columns, (head, end, place[2] * s["sign"], before * s["sign"], after * s["sign"])))))
-    return pd.concat(parts)
+    place = [x[use] for x in place]
+    before, after = at.sides(*place)
+    sign = s["sign"]
+    names = [c.split()[0] for c in _TRIPLES.split(", ")]
+    return pd.DataFrame(dict(zip(names, (pair[which[use]], number[word[use]], place[2] * sign, before * sign, after * sign))))
 
 
 class Counts:
@@ -267,7 +322,7 @@ class Counts:
         name = f"phrases_{uuid.uuid4().hex}"
         try:
             index = indexed(docs, scratch(spark, "index"), name, shard)
-            entry = F.posexplode(F.arrays_zip("words", F.slice("counts", 2, F.greatest(F.size("words"), F.lit(0))).alias("counts")))
+            entry = F.posexplode(F.arrays_zip("words", F.slice("counts", 2, F.size("words")).alias("counts")))
             words = index.select("shard", "lang", "sign", entry.alias("at", "w")).select(
                 "shard", "lang", (F.col("at") + 1).alias("local"), F.col("w.words").alias("word"), (F.col("sign") * F.col("w.counts")).cast("bigint").alias("count")
             )
@@ -276,16 +331,16 @@ class Counts:
             frequent = with_seq_id(sums.filter(F.col("f") >= least), [F.desc("f"), "lang", "word"], "number")
             self.words = stored(frequent, "frequent")
             kept = words.join(self.words.hint("merge"), ["lang", "word"]).select(F.col("shard").alias("of"), "local", "number")
-            places = index.select("shard", "sign", "n", "counts", "ahead").groupBy("shard").cogroup(kept.groupBy("of")).applyInPandas(_pairs, _PAIRS)
-            every = places.withColumn("f", F.sum("signed").over(Window.partitionBy("pair")))
-            pairs = stored(every.filter(F.col("f") >= least).drop("signed", "f"), "pairs")
-            grams = index.drop("words", "lang").groupBy("shard").cogroup(pairs.groupBy("shard")).applyInPandas(_triples, _GRAMS)
+            buckets = max(work_partitions(docs), -(-(index.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+            places = index.drop("lang", "words").groupBy("shard").cogroup(kept.groupBy("of")).applyInPandas(_pairs(buckets), _PAIRS)
+            pairs = stored(places.groupBy("bucket").applyInPandas(_frequent(least), _KEPT), "pairs")
+            self.pairs = pairs.filter("shard IS NULL").select(F.explode("totals").alias("t")).select("t.*")
+            mine = pairs.filter("shard IS NOT NULL").select(F.col("shard").alias("of"), "n", "packed")
+            grams = index.drop("lang", "words").groupBy("shard").cogroup(mine.groupBy("of")).applyInPandas(_triples, _TRIPLES)
             total = grams.groupBy("pair", "word").agg(F.sum("count").alias("f"), F.sum("before").alias("before"), F.sum("after").alias("after"))
-            found = stored(total.filter(F.col("f") >= least), "grams")
+            self.triples = stored(total.filter(F.col("f") >= least), "triples")
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.pairs = found.filter("word = -1").drop("word")
-        self.triples = found.filter("word >= 0")
 
 
 # --- scores -----------------------------------------------------------------------------------
