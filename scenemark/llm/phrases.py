@@ -120,6 +120,12 @@ class Index:
         which, word, count, smaller = which[real], word[real], count[real], (smaller - start)[real]
         return which, word, onwards[which] + smaller, np.searchsorted(self.ranks, word * self.n + backwards[which]), count
 
+    def joined(self, left: np.ndarray, right: np.ndarray):
+        """Intervals of pairs of words, by a step backwards in both transforms."""
+        steps = np.sort(self.behind * self.n + np.arange(self.n))
+        low, high = (np.searchsorted(self.ranks, right * self.n + self.first[left + i]) for i in (0, 1))
+        return np.searchsorted(steps, left * self.n + self.first[right]), low, high - low
+
     def sides(self, onwards: np.ndarray, backwards: np.ndarray, size: np.ndarray):
         """Occurrences with a word before them, and with a word after them, in their piece."""
         before = np.concatenate(([0], np.cumsum(self.behind > 0)))
@@ -223,91 +229,130 @@ def _frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
 
 
-_PAIRS = "bucket bigint, shard bigint, sign int, n int, packed binary"
+def _index(s: pd.Series) -> Index:
+    return Index(np.asarray(s["counts"], np.int64), _unpack(s["ahead"], s["n"]), _unpack(s["behind"], s["n"]))
+
+
+def _dealt(shard: pd.Series, kind: int, buckets: int, keys: list[np.ndarray], *columns: np.ndarray) -> list[tuple]:
+    """Rows (bucket, kind, shard, sign, n, packed) of phrases in the order of their keys; the first
+    key is packed as differences."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = (mixed ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = (mixed >> np.uint64(32)).astype(np.int64) % buckets
+    order = np.lexsort((*keys[::-1], bucket))
+    bucket, first, *rest = bucket[order], *[c[order] for c in (*keys, *columns)]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    return [
+        (bucket[a], kind, shard["shard"], shard["sign"], b - a, _squeeze(np.diff(first[a:b], prepend=0), *[c[a:b] for c in rest]))
+        for a, b in zip(cuts[:-1], cuts[1:])
+    ]
+
+
+def _summed(rows: pd.DataFrame, keys: int, least: int):
+    """Phrases of a bucket over all shards: (packed columns by shard, keys, sums, which are
+    frequent, the sums' row of every phrase).  Sums are occurrences, and those that a word of
+    the piece extends before and after; the latter travel as what they lack."""
+    parts = [_columns(p, keys + 3, n) for p, n in zip(rows["packed"], rows["n"])]
+    for p in parts:
+        p[0] = np.cumsum(p[0])
+    every = np.concatenate(parts, axis=1)
+    order = np.lexsort(every[:keys][::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(every[:keys, order], axis=1) != 0).any(0)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    sign = np.repeat(rows["sign"].to_numpy(np.int64), rows["n"].to_numpy())
+    sums = np.zeros((3, int(new.sum())), np.int64)
+    count, first, last = every[keys:]
+    for total, column in zip(sums, (count, count - first, count - last)):
+        np.add.at(total, where, column * sign)
+    return parts, every[:keys, order[new]], sums, sums[0] >= least, where
+
+
+_DEALT = "bucket bigint, kind int, shard bigint, sign int, n int, packed binary"
 
 
 def _pairs(buckets: int):
-    """Extensions of a shard's frequent words by frequent words, by bucket of the pair."""
+    """Extensions of a shard's frequent words by frequent words (kind 0), by bucket; and the
+    words' numbers (kind 1), which come back with the pairs that stay."""
 
     def run(index: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(kept):
-            return _frame(_PAIRS, [])
+            return _frame(_DEALT, [])
         s = index.iloc[0]
-        at = Index(np.asarray(s["counts"], np.int64), _unpack(s["ahead"], s["n"]), _unpack(s["behind"], s["n"]))
+        at = _index(s)
+        frequent = np.sort(kept["local"].to_numpy())
         number = np.full(len(s["counts"]), -1, np.int64)
         number[kept["local"].to_numpy()] = kept["number"].to_numpy()
-        frequent = np.flatnonzero(number >= 0)
         which, word, *place = at.extend(*[x[frequent] for x in at.words()])
-        use = np.flatnonzero(number[word] >= 0)
+        use = number[word] >= 0
         pair = number[frequent[which[use]]] << 32 | number[word[use]]
-        bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
-        order = np.lexsort((pair, bucket))
-        onwards, backwards, size = [x[use][order] for x in place]
-        before, after = at.sides(onwards, backwards, size)
-        pair, bucket = pair[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        columns = (size, onwards, backwards, size - before, size - after)
-        rows = [
-            (bucket[a], s["shard"], s["sign"], b - a, _squeeze(np.diff(pair[a:b], prepend=0), *[c[a:b] for c in columns]))
-            for a, b in zip(cuts[:-1], cuts[1:])
-        ]
-        return _frame(_PAIRS, rows)
+        place = [x[use] for x in place]
+        before, after = at.sides(*place)
+        own = (s["shard"] % buckets, 1, s["shard"], s["sign"], len(frequent), _squeeze(np.diff(frequent, prepend=0), number[frequent]))
+        return _frame(_DEALT, [own, *_dealt(s, 0, buckets, [pair], place[2], place[2] - before, place[2] - after)])
 
     return run
 
 
-_KEPT = "shard bigint, n int, packed binary, totals array<struct<pair:bigint,f:bigint,before:bigint,after:bigint>>"
+_KEPT = "kind int, shard bigint, n int, packed binary, totals array<struct<pair:bigint,f:bigint,before:bigint,after:bigint>>"
 
 
 def _frequent(least: int):
-    """All shards' pairs of a bucket -> the frequent ones of each shard, and (shard NULL) their sums."""
+    """A bucket's pairs of all shards -> each shard's frequent ones, and (kind 2) their sums."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [_columns(p, 6, n) for p, n in zip(rows["packed"], rows["n"])]
-        for p in parts:
-            p[0] = np.cumsum(p[0])
-        every = np.concatenate(parts, axis=1)
-        pair, where = np.unique(every[0], return_inverse=True)
-        sign = np.repeat(rows["sign"].to_numpy(np.int64), rows["n"].to_numpy())
-        sums = np.zeros((3, len(pair)), np.int64)
-        for total, column in zip(sums, (every[1], every[1] - every[4], every[1] - every[5])):
-            np.add.at(total, where, column * sign)
-        often = sums[0] >= least
-        if not often.any():
-            return _frame(_KEPT, [])
-        totals = [dict(zip(("pair", "f", "before", "after"), t)) for t in zip(pair[often].tolist(), *sums[:, often].tolist())]
-        out, at = [(None, None, None, totals)], 0
-        for shard, p in zip(rows["shard"], parts):
-            stay = often[where[at : at + p.shape[1]]]
-            at += p.shape[1]
-            if stay.any():
-                out.append((shard, int(stay.sum()), _squeeze(*p[:4, stay]), None))
-        return _frame(_KEPT, out).astype({"shard": "Int64", "n": "Int32"})
+        out = [(1, shard, n, packed, None) for shard, n, packed in rows.loc[rows["kind"] == 1, ["shard", "n", "packed"]].itertuples(index=False)]
+        rows = rows[rows["kind"] == 0]
+        if len(rows):
+            parts, (pair,), sums, often, where = _summed(rows, 1, least)
+            out.append((2, -1, 0, b"", [dict(zip(("pair", "f", "before", "after"), t)) for t in zip(pair[often].tolist(), *sums[:, often].tolist())]))
+            at = 0
+            for shard, p in zip(rows["shard"], parts):
+                mine = p[0, often[where[at : at + p.shape[1]]]]
+                at += p.shape[1]
+                if len(mine):
+                    out.append((0, shard, len(mine), _squeeze(np.diff(mine, prepend=0)), None))
+        return _frame(_KEPT, out)
 
     return run
 
 
-_TRIPLES = "pair bigint, word bigint, count bigint, before bigint, after bigint"
+def _triples(buckets: int):
+    """A shard's frequent pairs extended where the last two words are a frequent pair too."""
 
+    def run(index: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        names, pairs = kept[kept["kind"] == 1], kept[kept["kind"] == 0]
+        if not len(index) or not len(pairs):
+            return _frame(_DEALT, [])
+        s = index.iloc[0]
+        at = _index(s)
+        local, numbers = _columns(names["packed"].iloc[0], 2, names["n"].iloc[0])
+        number = np.full(len(s["counts"]), -1, np.int64)
+        number[np.cumsum(local)] = numbers
+        order = np.argsort(numbers)
+        place = lambda x: np.cumsum(local)[order[np.searchsorted(numbers, x, sorter=order)]]
+        pair = np.sort(np.concatenate([np.cumsum(_columns(p, 1, n)[0]) for p, n in zip(pairs["packed"], pairs["n"])]))
+        which, word, *found = at.extend(*at.joined(place(pair >> 32), place(pair & 0xFFFFFFFF)))
+        tail = (pair[which] & 0xFFFFFFFF) << 32 | np.maximum(number[word], 0)
+        use = (number[word] >= 0) & (pair[np.minimum(np.searchsorted(pair, tail), len(pair) - 1)] == tail)
+        found = [x[use] for x in found]
+        before, after = at.sides(*found)
+        return _frame(_DEALT, _dealt(s, 0, buckets, [pair[which[use]], number[word[use]]], found[2], found[2] - before, found[2] - after))
 
-def _triples(index: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-    """A shard's frequent pairs extended where the last two words are a frequent pair too."""
-    if not len(index) or not len(kept):
-        return _frame(_TRIPLES, [])
-    s = index.iloc[0]
-    at = Index(np.asarray(s["counts"], np.int64), _unpack(s["ahead"], s["n"]), _unpack(s["behind"], s["n"]))
-    every = np.concatenate([_columns(p, 4, n) for p, n in zip(kept["packed"], kept["n"])], axis=1)
-    pair, size, onwards, backwards = every[:, np.argsort(every[0])]
-    number = np.full(len(s["counts"]), -1, np.int64)  # of words that end a frequent pair
-    number[np.searchsorted(at.first, backwards, "right") - 1] = pair & 0xFFFFFFFF
-    which, word, *place = at.extend(onwards, backwards, size)
-    tail = (pair[which] & 0xFFFFFFFF) << 32 | np.maximum(number[word], 0)
-    use = (number[word] >= 0) & (pair[np.minimum(np.searchsorted(pair, tail), len(pair) - 1)] == tail)
-    place = [x[use] for x in place]
-    before, after = at.sides(*place)
-    sign = s["sign"]
-    names = [c.split()[0] for c in _TRIPLES.split(", ")]
-    return pd.DataFrame(dict(zip(names, (pair[which[use]], number[word[use]], place[2] * sign, before * sign, after * sign))))
+    return run
+
+
+_TRIPLES = "pair bigint, word bigint, f bigint, before bigint, after bigint"
+
+
+def _totals(least: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        _, keys, sums, often, _ = _summed(rows, 2, least)
+        return pd.DataFrame(dict(zip([c.split()[0] for c in _TRIPLES.split(", ")], (*keys[:, often], *sums[:, often]))))
+
+    return run
 
 
 class Counts:
@@ -332,13 +377,13 @@ class Counts:
             self.words = stored(frequent, "frequent")
             kept = words.join(self.words.hint("merge"), ["lang", "word"]).select(F.col("shard").alias("of"), "local", "number")
             buckets = max(work_partitions(docs), -(-(index.agg(F.sum("n")).first()[0] or 0) // BUCKET))
-            places = index.drop("lang", "words").groupBy("shard").cogroup(kept.groupBy("of")).applyInPandas(_pairs(buckets), _PAIRS)
-            pairs = stored(places.groupBy("bucket").applyInPandas(_frequent(least), _KEPT), "pairs")
-            self.pairs = pairs.filter("shard IS NULL").select(F.explode("totals").alias("t")).select("t.*")
-            mine = pairs.filter("shard IS NOT NULL").select(F.col("shard").alias("of"), "n", "packed")
-            grams = index.drop("lang", "words").groupBy("shard").cogroup(mine.groupBy("of")).applyInPandas(_triples, _TRIPLES)
-            total = grams.groupBy("pair", "word").agg(F.sum("count").alias("f"), F.sum("before").alias("before"), F.sum("after").alias("after"))
-            self.triples = stored(total.filter(F.col("f") >= least), "triples")
+            facts = index.drop("lang", "words")
+            dealt = facts.groupBy("shard").cogroup(kept.groupBy("of")).applyInPandas(_pairs(buckets), _DEALT)
+            pairs = stored(dealt.groupBy("bucket").applyInPandas(_frequent(least), _KEPT), "pairs")
+            self.pairs = pairs.filter("kind = 2").select(F.explode("totals").alias("t")).select("t.*")
+            mine = pairs.filter("kind < 2").select("kind", F.col("shard").alias("of"), "n", "packed")
+            dealt = facts.groupBy("shard").cogroup(mine.groupBy("of")).applyInPandas(_triples(buckets), _DEALT)
+            self.triples = stored(dealt.groupBy("bucket").applyInPandas(_totals(least), _TRIPLES), "triples")
         finally:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 

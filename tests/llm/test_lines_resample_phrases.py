@@ -199,11 +199,14 @@ def test_index_extends_like_the_text():
     at = phrases.Index(np.bincount(ids, minlength=5), ahead, behind)
     on, back, size = at.words()
     grams = {(w,): (on[w], back[w], size[w]) for w in range(1, 5)}
+    twos = [g for g in ((x, y) for x in range(1, 5) for y in range(1, 5))]
+    joined = dict(zip(twos, zip(*at.joined(np.array([x for x, _ in twos]), np.array([y for _, y in twos])))))
     onwards = sorted(range(len(ids)), key=lambda i: [ids[(i + k) % len(ids)] for k in range(3)])
     for depth in (1, 2):
         heads = [g for g in grams if len(g) == depth]
         which, word, *place = at.extend(*[np.array([grams[g][i] for g in heads]) for i in range(3)])
         grams.update({(*heads[i], int(w)): (a, b, c) for i, w, a, b, c in zip(which, word, *place)})
+    assert all(tuple(joined[g]) == tuple(map(int, grams[g])) for g in twos)
     for g, (a, b, c) in grams.items():
         assert c == sum(tuple(ids[i : i + len(g)]) == g for i in range(len(ids)))
         assert all(tuple(ids[(onwards[i] + k) % len(ids)] for k in range(len(g))) == g for i in range(a, a + c))
