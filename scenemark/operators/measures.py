@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scenemark import dims
 from scenemark.functions import geometry as G
@@ -284,19 +287,54 @@ def histogram(df: DataFrame, label: str, x: str, bins: int = 19) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).groupBy(F.col(label).alias("label"), b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Labels whose sums a task holds before it passes them on.
+LABELS = 1000
+
+
+def _shares(grid: int, kind: pa.DataType):
+    """Rows (label, x, h, lo, step) -> (label, g, k): kernel sums at every grid point, per task."""
+
+    def out(sums: dict):
+        names = [n for n in sums for _ in range(grid)]
+        points = np.tile(np.arange(grid, dtype=np.int32), len(sums))
+        values = np.concatenate(list(sums.values())) if sums else np.empty(0)
+        return pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(points), pa.array(values)], names=["label", "g", "k"])
+
+    def run(batches):
+        sums: dict = {}
+        for batch in batches:
+            label = batch.column("label").dictionary_encode()
+            names = label.dictionary.to_pylist() + [None]
+            of = np.asarray(label.indices.fill_null(len(names) - 1))
+            x, h, lo, step = (np.asarray(batch.column(c)) for c in ("x", "h", "lo", "step"))
+            made = np.empty((grid, len(names)))
+            for g in range(grid):
+                z = (lo + g * step - x) / h
+                made[g] = np.bincount(of, np.exp(-0.5 * z * z), len(names))
+            for i in np.unique(of):
+                sums[names[i]] = sums.get(names[i], 0.0) + made[:, i]
+            if len(sums) > LABELS:
+                yield out(sums)
+                sums = {}
+        yield out(sums)
+
+    return run
+
+
 def kde(df: DataFrame, label: str, x: str, grid: int = 200) -> DataFrame:
     """MEA-15: Gaussian density per label on a shared grid, Scott bandwidth, scaled by the
-    label's share.  Equal values are counted first; every distinct value then meets the
-    grid and is summed map-side."""
+    label's share.  Rows are added up at all grid points where they are read; a task sends on a
+    row per label and grid point, whatever it has read."""
     ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(x).alias("_all"))
-    per = df.groupBy(label).agg(F.stddev_samp(x).alias("_s"), F.count(x).alias("_n"))
-    per = per.withColumn("_h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).filter(F.col("_h") > 0)
+    per = df.groupBy(F.col(label).alias("label")).agg(F.stddev_samp(x).alias("_s"), F.count(x).alias("_n"))
+    per = per.withColumn("h", F.col("_s") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).filter(F.col("h") > 0).select("label", "h")
     step = (F.col("_hi") - F.col("_lo")) / (grid - 1)
-    w = df.groupBy(label, x).agg(F.count(F.lit(1)).alias("_w")).join(per, label).crossJoin(ends)
-    pts = w.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("at", F.col("_lo") + F.col("g") * step)
-    z = (F.col("at") - F.col(x)) / F.col("_h")
-    k = F.col("_w") * F.exp(-0.5 * z * z) / (F.col("_h") * F.sqrt(F.lit(2 * G.PI)) * F.col("_all"))
-    return pts.groupBy(F.col(label).alias("label"), "g").agg(F.max("at").alias("at"), F.sum(k).alias("density"))
+    rows = df.filter(F.col(x).isNotNull()).select(F.col(label).alias("label"), F.col(x).cast("double").alias("x")).join(per, "label").crossJoin(F.broadcast(ends))
+    given = rows.select("label", "x", "h", F.col("_lo").cast("double").alias("lo"), step.cast("double").alias("step"))
+    sums = given.mapInArrow(_shares(grid, to_arrow_type(given.schema["label"].dataType)), f"label {dict(given.dtypes)['label']}, g int, k double")
+    total = sums.groupBy("label", "g").agg(F.sum("k").alias("_k")).join(per, "label").crossJoin(F.broadcast(ends))
+    density = F.col("_k") / (F.col("h") * F.sqrt(F.lit(2 * G.PI)) * F.col("_all"))
+    return total.select("label", "g", (F.col("_lo") + F.col("g") * step).alias("at"), density.alias("density"))
 
 
 def extremes(df: DataFrame, label: str, x: str, key: str, k: int = 5) -> DataFrame:

@@ -31,7 +31,7 @@ def hash_rank(df: DataFrame, group: list[str], keys: list[str], seed: str, name:
     """Dense 1-based rank of every row in digest order within its group.
 
     ``keys`` must identify a row.  Cost: one small aggregate and one shuffle on
-    (group, bucket); a hot group is spread over 16^3 buckets.
+    (group, bucket); a hot group is spread over 16^4 buckets.
     """
     tagged = df.withColumn("_h", hash_key(seed, *keys)).withColumn(
         "_b", F.substring("_h", 1, BUCKET_CHARS)
@@ -99,6 +99,18 @@ def ordered_rank(df: DataFrame, group: list[str], order: Column, ties: list[str]
     return _with_runs(placed, offsets, group).withColumn(name, rank.cast("bigint")).drop("_o", "_mid", "_p", "_first", "_off")
 
 
+def running_sum(df: DataFrame, group: list[str], order: Column, ties: list[str], value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` up to and with each row in the order of a column within each group: the sum
+    inside the sorted run plus those of the group's earlier runs.  One stored sort."""
+    placed = _sorted_runs(df.withColumn(name, value), group, order, ties)
+    runs = placed.groupBy(*group, "_p").agg(F.sum(name).alias("_n"))
+    before = Window.partitionBy(*group, F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(*group, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*group, "_p").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    summed = _with_runs(placed.withColumn("_cur", F.sum(name).over(inside)), offsets, group)
+    return summed.withColumn(name, F.col("_cur") + F.col("_off")).drop("_o", "_mid", "_p", "_cur", "_off")
+
+
 def sample_k(df: DataFrame, group: list[str], k: int, seed: str, keys: list[str]) -> DataFrame:
     """RND-2: ``min(k, n)`` rows of each group without replacement."""
     return top_k(df, group, [hash_key(seed, *keys), *[F.col(c) for c in keys]], k)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenemark.functions import geometry as G
 from scenemark.functions.answers import let
+from scenemark.session import work_partitions
 
 PT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("min_x", "max_y", "max_x", "min_y")])
@@ -45,59 +44,78 @@ def type_counts(shapes: DataFrame) -> DataFrame:
 
 
 # --- pairs inside a scene ---------------------------------------------------------------
-# A scene's canvas is cut into cells; boxes meet only in cells both cover, and a pair is
-# counted in the one cell that holds the lower left corner of its overlap.
+# A scene's canvas is cut into cells at several levels, halved from one to the next; level 0 is
+# the whole plane.  A box lives at the level whose cells are no smaller than itself, so it lies in
+# at most four of them, and is seen from all coarser ones.  A pair meets at the coarser of its two
+# levels, in the one cell that holds the lower left corner of its overlap.
 
+PER_CELL = 16
 
-def scene_grid(items: DataFrame, per_cell: int = 16, most: int = 64) -> int:
-    """Cells per side so that the fullest scene has about ``per_cell`` items a cell; 1 (no
-    replication at all) where every scene is small.  One aggregate over the scene key."""
-    n = items.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(1, min(most, math.ceil(math.sqrt(n / per_cell))))
 
+def scene_levels(items: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
+    """(image_id, level): finest level of the scenes with more than ``per_cell`` items, where a cell
+    has about that many if they are spread evenly.  From each scene's own count; small scenes
+    have no row."""
+    n = items.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_cell)
+    return n.select("image_id", F.ceil(F.log2(F.col("n") / per_cell) / 2).cast("int").alias("level"))
 
-def _cell_of(v: Column, grid: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(v * grid).cast("int")))
 
+def _at(v: Column, level: Column) -> Column:
+    return F.when(level == 0, F.lit(0).cast("bigint")).otherwise(F.floor(v * F.pow(F.lit(2.0), level)))
+
+
+def _cells(b: Column, own: Column) -> Column:
+    """Cells (level, x, y) of a box at its own and all coarser levels."""
+
+    def at(level):
+        rows = F.sequence(_at(b["min_y"], level), _at(b["max_y"], level))
+        of = lambda x: F.transform(rows, lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y")))
+        return F.flatten(F.transform(F.sequence(_at(b["min_x"], level), _at(b["max_x"], level)), of))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), own), at))
 
-def _cells(b: Column, grid: int) -> Column:
-    if grid == 1:
-        return F.array(F.lit(0))
-    rows = F.sequence(_cell_of(b["min_y"], grid), _cell_of(b["max_y"], grid))
-    return F.flatten(
-        F.transform(
-            F.sequence(_cell_of(b["min_x"], grid), _cell_of(b["max_x"], grid)),
-            lambda i: F.transform(rows, lambda j: i * grid + j),
-        )
-    )
 
+def box_cells(items: DataFrame, payload: Column, per_cell: int = PER_CELL) -> DataFrame:
+    """(image_id, level, x, y, own, p): the payload, a struct with ``box``, once per cell it is seen
+    from; ``own`` is the level of the box.  Boxes without coordinates are in no cell."""
 
-def _home_cell(a: Column, b: Column, grid: int) -> Column:
-    return _cell_of(F.greatest(a["min_x"], b["min_x"]), grid) * grid + _cell_of(F.greatest(a["min_y"], b["min_y"]), grid)
+    def placed(p):
+        b = p["box"]
+        extent = F.greatest(b["max_x"] - b["min_x"], b["max_y"] - b["min_y"])
+        fits = F.greatest(F.lit(0), F.coalesce(F.floor(-F.log2(extent)).cast("int"), F.lit(62)))
+        own = F.coalesce(F.least("level", fits), F.lit(0))
+        return let(own, lambda o: F.transform(_cells(b, o), lambda c: F.struct(c["level"], c["x"], c["y"], o.alias("own"), p.alias("p"))))
 
+    levels = scene_levels(items, per_cell)
+    rows = items.join(levels, "image_id", "left").select("image_id", F.explode(let(payload, placed)).alias("c")).select("image_id", "c.*")
+    # both sides of the join read this one exchange
+    return rows.repartition(work_partitions(items), "image_id", "level", "x", "y")
 
-def box_meetings(items: DataFrame, key: list[str], box: str, carry: list[str], grid: int | None = None) -> DataFrame:
-    """Pairs (a, b) of one scene whose boxes meet, a before b; columns are structs.  A
-    crowded scene is cut into more cells, so its work is spread; only boxes that really
-    meet leave the join."""
-    grid = grid or scene_grid(items)
-    payload = F.struct(*key, F.col(box).alias("box"), *carry)
-    cells = items.select("image_id", payload.alias("p"), F.explode(_cells(F.col(box), grid)).alias("cell"))
-    a = cells.select("image_id", "cell", F.col("p").alias("a"))
-    b = cells.select("image_id", "cell", F.col("p").alias("b"))
-    x, y = F.col("a.box"), F.col("b.box")
+
+def box_meetings(items: DataFrame, key: list[str], box: str, carry: list[str], per_cell: int = PER_CELL) -> DataFrame:
+    """Pairs (a, b) of one scene whose boxes meet, a before b; columns are structs.  A crowded
+    scene is cut into more cells, so its work is spread; only boxes that really meet leave
+    the join."""
+    cells = box_cells(items, F.struct(*key, F.col(box).alias("box"), *carry), per_cell)
+    place = ["image_id", "level", "x", "y"]
+    home = cells.filter("own = level").select(*place, "p")
+    seen = cells.select(*place, F.col("p").alias("q"), (F.col("own") > F.col("level")).alias("finer"))
+    u, v = F.col("p.box"), F.col("q.box")
     meet = (
-        (F.greatest(x["min_x"], y["min_x"]) <= F.least(x["max_x"], y["max_x"]))
-        & (F.greatest(x["min_y"], y["min_y"]) <= F.least(x["max_y"], y["max_y"]))
-        & (F.col("cell") == _home_cell(x, y, grid))
+        (F.greatest(u["min_x"], v["min_x"]) <= F.least(u["max_x"], v["max_x"]))
+        & (F.greatest(u["min_y"], v["min_y"]) <= F.least(u["max_y"], v["max_y"]))
+        & (_at(F.greatest(u["min_x"], v["min_x"]), F.col("level")) == F.col("x"))
+        & (_at(F.greatest(u["min_y"], v["min_y"]), F.col("level")) == F.col("y"))
     )
-    earlier = F.col(f"a.{key[0]}") < F.col(f"b.{key[0]}")
-    return a.join(b, ["image_id", "cell"]).filter(earlier & meet).drop("cell")
+    earlier = F.col(f"p.{key[0]}") < F.col(f"q.{key[0]}")
+    other = F.col(f"p.{key[0]}") > F.col(f"q.{key[0]}")
+    met = home.join(seen, place).filter((earlier | (F.col("finer") & other)) & meet)
+    return met.select("image_id", F.when(earlier, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(earlier, F.col("q")).otherwise(F.col("p")).alias("b"))
 
 
-def overlap_sums(shapes: DataFrame, grid: int | None = None) -> DataFrame:
+def overlap_sums(shapes: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
     """GEO-11: per shape the sum of IoU with the earlier shapes of its scene."""
-    pairs = box_meetings(shapes, ["shape_idx"], "box", [], grid)
+    pairs = box_meetings(shapes, ["shape_idx"], "box", [], per_cell)
     hits = pairs.select(
         "image_id", F.col("b.shape_idx").alias("shape_idx"), G.iou(F.col("a.box"), F.col("b.box")).alias("iou")
     )
@@ -107,9 +125,9 @@ def overlap_sums(shapes: DataFrame, grid: int | None = None) -> DataFrame:
     )
 
 
-def no_overlap(shapes: DataFrame, threshold: float = 0.2, grid: int | None = None) -> DataFrame:
+def no_overlap(shapes: DataFrame, threshold: float = 0.2, per_cell: int = PER_CELL) -> DataFrame:
     """GEO-11: shapes whose overlap with the earlier ones stays within the threshold."""
-    ok = overlap_sums(shapes, grid).filter(F.col("iou_sum") <= threshold)
+    ok = overlap_sums(shapes, per_cell).filter(F.col("iou_sum") <= threshold)
     return shapes.join(ok.select("image_id", "shape_idx"), ["image_id", "shape_idx"], "left_semi")
 
 
@@ -132,13 +150,12 @@ def count_crossings(p: Column, q: Column) -> Column:
     return let(ring(q), against)
 
 
-def crossings(shapes: DataFrame, grid: int | None = None) -> DataFrame:
+def crossings(shapes: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
     """GEO-14: per shape of (image_id, shape_idx, points) the number of edge crossings with
     earlier shapes of its scene.
 
     An edge lengthened by the 10 % tolerance stays within the shape's box grown by a tenth,
     so only shapes whose grown boxes meet are compared, edge by edge inside the row."""
-    grid = grid or scene_grid(shapes)
     b = G.bbox("points")
 
     def grow(v):
@@ -146,7 +163,7 @@ def crossings(shapes: DataFrame, grid: int | None = None) -> DataFrame:
         return G.box(v["min_x"] - px, v["max_y"] + py, v["max_x"] + px, v["min_y"] - py)
 
     rings = shapes.filter(F.size("points") >= 2).select("image_id", "shape_idx", "points", let(b, grow).alias("box"))
-    pairs = box_meetings(rings, ["shape_idx"], "box", ["points"], grid)
+    pairs = box_meetings(rings, ["shape_idx"], "box", ["points"], per_cell)
     found = pairs.select(
         "image_id",
         F.col("b.shape_idx").alias("shape_idx"),
@@ -156,9 +173,9 @@ def crossings(shapes: DataFrame, grid: int | None = None) -> DataFrame:
     return none.unionByName(found).groupBy("image_id", "shape_idx").agg(F.sum("n").alias("crossings"))
 
 
-def valid_intersection(shapes: DataFrame, most: int = 1, grid: int | None = None) -> DataFrame:
+def valid_intersection(shapes: DataFrame, most: int = 1, per_cell: int = PER_CELL) -> DataFrame:
     """GEO-14: shapes that add at most ``most`` crossings."""
-    ok = crossings(shapes, grid).filter(F.col("crossings") <= most)
+    ok = crossings(shapes, per_cell).filter(F.col("crossings") <= most)
     return shapes.join(ok.select("image_id", "shape_idx"), ["image_id", "shape_idx"], "left_semi")
 
 
@@ -178,26 +195,26 @@ def unique_x(points: DataFrame, key: str = "id") -> DataFrame:
     return first.unionByName(pads)
 
 
-def smooth(df: DataFrame, key: str, seq: str, value: str, w: int = 3, name: str = "smoothed") -> DataFrame:
+#: Positions of a series that are averaged together.
+STRETCH = 1 << 16
+
+
+def smooth(df: DataFrame, key: str, seq: str, value: str, w: int = 3, name: str = "smoothed", stretch: int = STRETCH) -> DataFrame:
     """GEO-22: centred moving average clipped at the ends; short series stay unchanged.
 
-    ``seq`` is a dense position (see ordered_rank).  Each value is sent to the positions
-    it contributes to and averaged there with map-side combining, so no series has to fit
-    one task."""
-    half = w // 2
-    shares = df.select(
-        key,
-        F.col(value).alias("_v"),
-        F.explode(F.sequence(F.col(seq) - half, F.col(seq) + half)).alias(seq),
-    )
-    mean = shares.groupBy(key, seq).agg(F.avg("_v").alias("_m"))
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        df.join(mean, [key, seq])
-        .join(n, key)
-        .withColumn(name, F.when(F.col("_n") < w, F.col(value)).otherwise(F.col("_m")))
-        .drop("_n", "_m")
-    )
+    ``seq`` is a dense position from 0 or 1 (see ordered_rank).  A series is cut into stretches, and
+    the w//2 positions next to a cut are handed over to the stretch beyond it, so one shuffle
+    on (key, stretch) does, and no series has to fit one task."""
+    half, size = w // 2, max(stretch, 4 * w)
+    at = F.floor(F.col(seq) / size)
+    off = F.col(seq) - at * size
+    parts = F.array(at, F.when((off < half) & (at > 0), at - 1), F.when(off >= size - half, at + 1))
+    cut = df.select("*", at.alias("_own"), F.explode(F.array_compact(parts)).alias("_part"))
+    part = Window.partitionBy(key, "_part")
+    around = part.orderBy(seq).rowsBetween(-half, half)
+    short = (F.col("_part") == 0) & (F.count(F.lit(1)).over(part) < w)
+    mean = cut.withColumn(name, F.when(short, F.col(value)).otherwise(F.avg(value).over(around)))
+    return mean.filter("_own = _part").drop("_own", "_part")
 
 
 def real_area(areas: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from scenemark import dims
@@ -213,6 +215,25 @@ def _(t):
     return C.caption_input(numbered(t), HEADS, "cap")
 
 
+@query(
+    "cap_09_caption_selectors",
+    ctes(
+        "shapes", **_P, **_LV, r=_RING,
+        sel=f"SELECT p.image_id, p.shape_idx, d4.path || CASE WHEN m > 1 THEN '::concentric::the ' || ({_ORD})[ring + 1] || ' shape from the inside, counting outward' ELSE '' END || '::' || p.name AS name FROM p JOIN r USING (image_id, shape_idx) JOIN d4 ON p.image_id = d4.image_id AND p.cx = d4.cx AND p.cy = d4.cy",
+        **{f"n_{k}": re.sub(r" FROM (s|i)\b", r" FROM n_\1", v) for k, v in _NUM.items()},
+        k2="""SELECT image_id, shape_idx, CASE len(v) WHEN 1 THEN 'The ' || a[1] || ' of "' || sel.name || '" is ' || round_even(v[1], 2)::VARCHAR || '. '
+       WHEN 2 THEN 'The ' || a[1] || ' and ' || a[2] || ' of "' || sel.name || '" are ' || round_even(v[1], 2)::VARCHAR || ' and ' || round_even(v[2], 2)::VARCHAR || ', respectively. ' END AS s FROM n_j JOIN sel USING (image_id, shape_idx)""",
+        l="SELECT image_id, coalesce(string_agg(s, '' ORDER BY shape_idx), '') AS b, count(s) AS n FROM k2 GROUP BY 1",
+    )
+    + f"""SELECT image_id, trim((CASE WHEN n = 0 THEN {_pool('start')} || {_pool('end')} WHEN {U('cap:head', 'image_id')} > 0.5 THEN {_pool('start')} || {_pool('numbers')} || {_pool('end')}
+      ELSE {_pool('start1')} || {_pool('start2')} || {_pool('end')} END) || b) AS input FROM l""",
+)
+def _(t):
+    """Captions whose paths are those of the cells and rings."""
+    info = numbered(t).select(*KEY, "info")
+    return C.caption_input(C.shape_paths(placed(t)).select(*KEY, "selector").join(info, KEY), HEADS, "cap")
+
+
 @query(
     "cap_10_range_class",
     "SELECT event_id, " + case_in("(value / 10)", dims.RANGES["ellipse"]) + " AS one, " + case_in("value", dims.RANGES["shell_pole"]) + " AS joined FROM events",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scenemark import session
@@ -15,7 +16,7 @@ from scenemark.plans.registry import query
 from scenemark.plans.vqa import shapes as scene_shapes
 from scenemark.sources import readers as Rd
 from scenemark.sources import writers as Wr
-from scenemark.streaming.predictions import stream_predictions
+from scenemark.streaming.predictions import read_sink, stream_predictions
 
 
 def scratch(t) -> str:
@@ -58,6 +59,37 @@ def _(t):
     return near.select("id", "match", rnd("distance", 6).alias("distance"))
 
 
+_RADII = [0.2 * 10 ** (k / 3) for k in range(4)]
+_DP = ", ".join(
+    f"m{k + 1} AS (SELECT q, p, mask | (1 << j) AS mask, min(m{k}.c + c.c) AS c FROM m{k} JOIN c USING (q, p) WHERE i = {k} AND mask & (1 << j) = 0 GROUP BY 1, 2, 3)"
+    for k in range(8)
+)
+
+
+@query(
+    "sim_02_shape_context",
+    _EMB
+    + f""", d AS (SELECT a.id, a.k, b.x - a.x AS x, b.y - a.y AS y, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM s a JOIN s b ON a.id = b.id AND a.k <> b.k),
+    r AS (SELECT id, k // 4 AS l, d.d / avg(d.d) OVER (PARTITION BY id) AS r, atan2(y, x) AS t, k % 4 = 0 AS landmark FROM d),
+    b AS (SELECT id, l, {" + ".join(f"(r >= {e!r}::DOUBLE)::INT" for e in _RADII)} AS ring, least(floor((CASE WHEN t < 0 THEN t + 2 * pi() ELSE t END) * 12 / (2 * pi())), 11) AS part FROM r WHERE landmark),
+    h AS (SELECT id, l, ring * 12 + part AS bin, count(*) / 31.0::DOUBLE AS h FROM b WHERE ring < 4 GROUP BY ALL),
+    t AS (SELECT id, l, coalesce(sum(h), 0) AS t FROM (SELECT DISTINCT id, l FROM b) LEFT JOIN h USING (id, l) GROUP BY 1, 2),
+    o AS (SELECT a.id AS q, b.id AS p, a.l AS i, b.l AS j, sum(a.h * b.h / (a.h + b.h)) AS o FROM h a JOIN h b USING (bin) WHERE a.id % 10 = 0 AND b.id % 10 <> 0 GROUP BY ALL),
+    c AS (SELECT a.id AS q, b.id AS p, a.l AS i, b.l AS j, 0.5 * (a.t + b.t - 4 * coalesce(o, 0)) AS c FROM (SELECT * FROM t WHERE id % 10 = 0) a CROSS JOIN (SELECT * FROM t WHERE id % 10 <> 0) b LEFT JOIN o ON q = a.id AND p = b.id AND i = a.l AND j = b.l),
+    m0 AS (SELECT DISTINCT q, p, 0 AS mask, 0.0::DOUBLE AS c FROM c), {_DP},
+    f AS (SELECT q, c / 8 AS d, row_number() OVER (PARTITION BY q ORDER BY c) AS place FROM m8 QUALIFY place <= 3)
+    SELECT q AS id, place::INT AS place, {R('d', 6)} AS distance FROM f""",
+)
+def _(t):
+    """Best assignments by dynamic programming over sets of landmarks on the other side; equal
+    contours tie, so places are compared, not partners."""
+    at = lambda i: F.struct((F.get("embedding", 2 * i).cast("double") + 0.5).alias("x"), (F.get("embedding", 2 * i + 1).cast("double") + 0.5).alias("y"))
+    p = t.embeddings.select(F.col("vec_id").alias("id"), F.transform(F.sequence(F.lit(0), (F.size("embedding") / 2).cast("int") - 1), at).alias("points"))
+    near = Si.nearest_shape(p.filter("id % 10 = 0"), p.filter("id % 10 <> 0"), 3)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "match"))
+    return near.select("id", place.alias("place"), rnd("distance", 6).alias("distance"))
+
+
 @query(
     "sim_03_query_shape",
     """WITH l AS (SELECT DISTINCT l_orderkey AS image_id, l_linenumber * 1000 + l_partkey % 1000 AS vi FROM lineitem WHERE l_partkey % 11 <> 0)
@@ -75,24 +107,32 @@ def _lines(t):
     return s.select("image_id", F.col("shape_idx").alias("seq"), F.transform(F.sequence(F.lit(0), n - 1), at).alias("points"))
 
 
-@query("sim_04_dedup_polylines")
-def _(t):
-    """Greedy and order dependent: checked against brute force in the tests."""
-    kept = Si.dedup_polylines(_lines(t), 100.0, 1250.0)
-    return kept.select("image_id", "seq", F.size("points").alias("n_points"))
+_PAIRS = dict(
+    s="SELECT image_id, shape_idx AS seq, floor(cx::DOUBLE * 4) * 250 AS bx, floor(cy::DOUBLE * 4) * 250 + (shape_idx % 3) * 10 AS y, (shape_idx % 5 + 2)::INT AS n FROM shapes",
+    p="SELECT image_id, seq, n, bx + i * 20 AS x, y FROM (SELECT *, unnest(range(0, n)) AS i FROM s)",
+    d="SELECT a.image_id, a.seq AS i, b.seq AS j, a.n AS ni, b.n AS nj, a.x AS ax, b.x AS bx, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.image_id = b.image_id AND a.seq < b.seq",
+    m="SELECT image_id, i, j, ni, nj, sum(m) AS t FROM (SELECT image_id, i, j, ni, nj, ax, min(d) AS m FROM d GROUP BY ALL UNION ALL SELECT image_id, i, j, ni, nj, bx, min(d) FROM d GROUP BY ALL) GROUP BY ALL",
+)
 
 
 @query(
-    "sim_04_duplicate_pairs",
+    "sim_04_dedup_polylines",
     ctes(
         "shapes",
-        s="SELECT image_id, shape_idx AS seq, floor(cx::DOUBLE * 4) * 250 AS bx, floor(cy::DOUBLE * 4) * 250 + (shape_idx % 3) * 10 AS y, (shape_idx % 5 + 2)::INT AS n FROM shapes",
-        p="SELECT image_id, seq, n, bx + i * 20 AS x, y FROM (SELECT *, unnest(range(0, n)) AS i FROM s)",
-        d="SELECT a.image_id, a.seq AS i, b.seq AS j, a.n AS ni, b.n AS nj, a.x AS ax, b.x AS bx, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.image_id = b.image_id AND a.seq < b.seq",
-        m="SELECT image_id, i, j, ni, nj, sum(m) AS t FROM (SELECT image_id, i, j, ni, nj, ax, min(d) AS m FROM d GROUP BY ALL UNION ALL SELECT image_id, i, j, ni, nj, bx, min(d) FROM d GROUP BY ALL) GROUP BY ALL",
-    )
-    + "SELECT image_id, i, j, ni AS len_i, nj AS len_j FROM m WHERE t / (ni + nj) < 100",
+        **_PAIRS,
+        o="SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY i, j) AS k FROM m WHERE t / (ni + nj) < 100",
+        g="""SELECT image_id, 0::BIGINT AS k, []::BIGINT[] AS gone FROM (SELECT DISTINCT image_id FROM o)
+        UNION ALL SELECT g.image_id, o.k, CASE WHEN list_contains(gone, i) OR list_contains(gone, j) THEN gone ELSE list_append(gone, CASE WHEN ni >= nj THEN j ELSE i END) END FROM g JOIN o ON o.image_id = g.image_id AND o.k = g.k + 1""",
+        f="SELECT image_id, unnest(arg_max(gone, k)) AS seq FROM g GROUP BY 1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT image_id, seq, n AS n_points FROM s ANTI JOIN f USING (image_id, seq)",
 )
+def _(t):
+    kept = Si.dedup_polylines(_lines(t), 100.0, 1250.0)
+    return kept.select("image_id", "seq", F.size("points").alias("n_points"))
+
+
+@query("sim_04_duplicate_pairs", ctes("shapes", **_PAIRS) + "SELECT image_id, i, j, ni AS len_i, nj AS len_j FROM m WHERE t / (ni + nj) < 100")
 def _(t):
     return Si.duplicate_pairs(_lines(t), 100.0, 1250.0)
 
@@ -179,6 +219,87 @@ def _(t):
     return Rd.read_options_tsv(t.spark, path, "p_partkey long, A string, B string, C string", ["A", "B", "C"])
 
 
+def _lines_of(t, sep: str):
+    """Lines of which every fifth is short, long or ill-typed, with a header line per file."""
+    k = F.col("event_id") % 15
+    cells = [F.col("event_id").cast("string"), F.when(k == 10, "x").otherwise(F.col("value").cast("string")), F.when(k % 2 == 0, "NaN").otherwise(F.col("event_type"))]
+    line = F.when(k == 0, cells[0]).when(k == 5, F.concat_ws(sep, *cells, F.lit("more"))).otherwise(F.concat_ws(sep, *cells))
+    head = t.spark.createDataFrame([(sep.join(("event_id", "value", "kind")),)], "value string")
+    path = scratch(t)
+    # a file per hundred ids, so that each header is followed by its own lines
+    rows = t.events.select(F.floor(F.col("event_id") / 1000).alias("g"), F.lit(1).alias("o"), "event_id", line.alias("value"))
+    tops = rows.select("g").distinct().crossJoin(head).select("g", F.lit(0).alias("o"), F.lit(-1).cast("bigint").alias("event_id"), "value")
+    rows.unionByName(tops).repartition("g").sortWithinPartitions("g", "o", "event_id").select("g", "value").write.partitionBy("g").text(path)
+    return path
+
+
+_BAD = "SELECT event_id, event_id % 5 = 0 AS rejected, CASE WHEN event_id % 5 > 0 THEN value END AS value, CASE WHEN event_id % 5 > 0 {more}THEN event_type END AS kind FROM events"
+
+
+def _both(rows, rejects, sep: str):
+    ids = F.split("line", sep)[0].cast("long").alias("event_id")
+    bad = rejects.select(ids, (F.col("file") != "").alias("rejected"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("kind"))
+    return rows.select("event_id", F.lit(False).alias("rejected"), "value", "kind").unionByName(bad)
+
+
+_FIELDS = "event_id long, value double, kind string"
+
+
+@query("src_05_rejects", _BAD.format(more="").replace("THEN event_type", "THEN CASE WHEN event_id % 15 % 2 = 0 THEN 'NaN' ELSE event_type END"))
+def _(t):
+    return _both(*Rd.read_csv_checked(t.spark, _lines_of(t, ","), _FIELDS), ",")
+
+
+@query("src_06_rejects", _BAD.format(more="AND event_id % 15 % 2 > 0 "))
+def _(t):
+    return _both(*Rd.read_options_checked(t.spark, _lines_of(t, "\t"), _FIELDS, ["kind"]), "\t")
+
+
+def _object():
+    """A conversation turn as a JSON object with braces, quotes and escapes in its text; every
+    seventh has a text where a number is due."""
+    n = F.when(F.col("turn") % 7 == 6, F.lit("none")).otherwise(F.col("turn").cast("string"))
+    number = F.when(F.col("turn") % 7 == 6, F.lit('"none"')).otherwise(n)
+    text = F.to_json(F.struct(F.concat(F.lit('} "{ \\ '), F.coalesce("text", F.lit("")), F.lit(' ]}')).alias("t")))
+    return F.concat(F.lit('{"conv_id": '), F.col("conv_id"), F.lit(', "turn": '), number, F.lit(', "inner": '), text, F.lit("}"))
+
+
+def _json_files(t, entry, opens: str, closes: str):
+    """Files of a hundred conversations each, all records of a file in one line."""
+    path = scratch(t)
+    g = F.floor(F.col("conv_id") / 100).alias("g")
+    rows = t.conversations.groupBy(g).agg(F.concat(F.lit(opens), F.array_join(F.sort_array(F.collect_list(entry)), ", "), F.lit(closes)).alias("value"))
+    rows.write.partitionBy("g").text(path)
+    return path
+
+
+_TURN = "conv_id long, turn long, inner struct<t:string>"
+_TEXTS = r"""SELECT conv_id, turn % 7 = 6 AS rejected, count(*) AS n, md5(string_agg(CASE WHEN turn % 7 < 6 THEN turn || ':' || md5('} "{ \ ' || coalesce(text, '') || ' ]}') END, ',' ORDER BY turn, coalesce(text, ''))) AS texts FROM conversations GROUP BY 1, 2"""
+
+
+def _turns(rows, rejects):
+    found = F.concat_ws(":", F.col("turn").cast("string"), F.md5("inner.t"))
+    good = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("inner.t").alias("t"), found.alias("f")))), lambda x: x["f"]), ",")).alias("texts"))
+    conv = F.regexp_extract("line", r'"conv_id": (\d+)', 1).cast("long").alias("conv_id")
+    bad = rejects.groupBy(conv).agg(F.count(F.lit(1)).alias("n")).withColumn("texts", F.lit(None).cast("string"))
+    return good.withColumn("rejected", F.lit(False)).unionByName(bad.withColumn("rejected", F.lit(True)))
+
+
+@query("src_02_json_records", _TEXTS)
+def _(t):
+    """Arrays in one line each, with rejects."""
+    return _turns(*Rd.read_json_records(t.spark, _json_files(t, _object(), "[", "]"), _TURN))
+
+
+@query("src_03_json_entries", _TEXTS)
+def _(t):
+    """Maps in one line each, with rejects."""
+    entry = F.concat(F.to_json(F.struct(F.concat_ws('"', F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("k"))), F.lit(": "), _object())
+    key = F.regexp_replace(entry, r'^\{"k":("(?:[^"\\]|\\.)*")\}', "$1")
+    rows, rejects = Rd.read_json_entries(t.spark, _json_files(t, key, "{", "}"), _TURN, "key")
+    return _turns(rows.filter(F.col("key") == F.concat_ws('"', F.col("conv_id").cast("string"), F.col("turn").cast("string"))), rejects)
+
+
 @query("src_07_shards", "SELECT event_id, (event_id % 4)::INT AS shard FROM events")
 def _(t):
     path = scratch(t)
@@ -189,14 +310,15 @@ def _(t):
 
 @query(
     "src_08_ordered_files",
-    "SELECT event_id, row_number() OVER (ORDER BY list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type), event_id) - 1 AS id FROM events",
+    "SELECT event_id, row_number() OVER (ORDER BY list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type), md5(event_id::VARCHAR)) - 1 AS id FROM events",
 )
 def _(t):
+    """Lines in an order that no column of the files tells."""
     paths = []
     for kind in ("view", "click", "signup", "purchase", "error"):
         paths.append(scratch(t))
-        Wr.write_jsonl(_events(t).filter(F.col("event_type") == kind), paths[-1])
-    return Rd.read_ordered(t.spark, paths, _EV, "event_id").select("event_id", "id")
+        Wr.write_jsonl(_events(t).filter(F.col("event_type") == kind).orderBy(F.md5(F.col("event_id").cast("string"))), paths[-1])
+    return Rd.read_ordered(t.spark, paths, _EV)[0].select("event_id", "id")
 
 
 _PRED = "model string, perspective string, image_id long, question_id long, response string"
@@ -253,11 +375,13 @@ def _(t):
     "SELECT event_type AS model, event_id AS image_id, value FROM events",
 )
 def _(t):
-    """Files arrive in two runs that overlap; every key is appended once."""
+    """Files arrive in three runs that overlap and repeat rows; after the first the checkpoint is
+    lost, and the next finds the sink filled.  Every key is appended once."""
     base = scratch(t)
     e = t.events.select(F.col("event_type").alias("model"), F.col("event_id").alias("image_id"), "value")
     schema, key = "model string, image_id long, value double", ("model", "image_id")
-    for part in (e.filter("image_id % 3 < 2"), e.filter("image_id % 3 > 0")):
+    parts = [e.filter("image_id % 3 = 0"), e.filter("image_id % 3 < 2"), e.filter("image_id % 3 > 0").unionByName(e.filter("image_id % 5 = 0"))]
+    for k, part in enumerate(parts):
         part.write.mode("append").json(f"{base}/in")
-        stream_predictions(t.spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", schema, key, 4).awaitTermination()
-    return t.spark.read.schema(schema).parquet(f"{base}/out").select("model", "image_id", "value")
+        stream_predictions(t.spark, f"{base}/in", f"{base}/out", f"{base}/ckpt-{min(k, 1)}", schema, key, 4).awaitTermination()
+    return read_sink(t.spark, f"{base}/out", schema)

@@ -2,11 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql.streaming import StreamingQuery
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from scenemark import schemas
 
+#: State buckets, over which keys are dealt by hash; fixed for the life of a checkpoint.
+BUCKETS = 64
+KEY, BUCKET = "stream_key__", "stream_bucket__"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class FirstOfKey(StatefulProcessor):
+    """Passes the first row of every key on; a bucket's keys are a map in RocksDB, on disk.  A key
+    expires ``ttl`` milliseconds after it was seen (None: never)."""
+
+    def __init__(self, columns: list[str], ttl: int | None):
+        self.columns, self.ttl = columns, ttl
+        self.given = [*columns, KEY, BUCKET]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "k string", "v boolean", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            if part.empty:  # a bucket with an initial state and no rows
+                continue
+            part.columns = self.given  # names that start with an underscore come changed
+            new = []
+            for k in part[KEY]:
+                new.append(not self.seen.containsKey((k,)))
+                if new[-1]:
+                    self.seen.updateValue((k,), (True,))
+            yield part.loc[new, self.columns]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for k in initialState[KEY] if not initialState.empty else ():
+            self.seen.updateValue((k,), (True,))
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """KEY: a digest of the key columns, NULLs told from texts; BUCKET: where it is kept."""
+    name = F.sha2(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}), 256)
+    return df.withColumn(KEY, name).withColumn(BUCKET, F.pmod(F.xxhash64(KEY), F.lit(BUCKETS)).cast("int"))
+
+
+def read_sink(spark: SparkSession, sink: str, schema: str | StructType) -> DataFrame:
+    """What streams have appended; filters on the partition column prune folders."""
+    kinds = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], kinds)
+    return spark.read.schema(kinds).parquet(sink).select(*kinds.fieldNames())
+
+
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """A name that stays with a checkpoint and that no later one gets."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/run")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path)
+        out.writeUTF(uuid.uuid4().hex)
+        out.close()
+    there = fs.open(path)
+    run = there.readUTF()
+    there.close()
+    return run
+
 
 def stream_predictions(
     spark: SparkSession,
@@ -16,21 +88,30 @@ def stream_predictions(
     schema: str = schemas.PREDICTIONS,
     key: tuple[str, ...] = ("model", "perspective", "image_id", "question_id"),
     files_per_batch: int = 100,
+    ttl: int | None = None,
 ) -> StreamingQuery:
-    """File-source stream over JSON lines into a parquet sink partitioned by the first key
-    column; stops when all files are in.
-
-    Keys seen so far are the stream's state, split by key over the shuffle partitions, so a batch
-    costs what it brings and never reads the sink.  The sink's log makes a replayed batch add
-    nothing.  On a cluster the keys are best kept in the RocksDB state store
-    (spark.sql.streaming.stateStore.providerClass)."""
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)
-    return (
-        source.dropDuplicates(list(key))
-        .writeStream.format("parquet")
-        .partitionBy(key[0])
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    """File-source stream over JSON lines into a parquet sink (see ``read_sink``) partitioned by
+    the first key column; stops when all files are in.
+
+    Keys seen so far are the stream's state, so a batch costs what it brings.  A stream without a
+    checkpoint, as after its loss, starts from the keys in the sink, which it reads once.  Each
+    batch has a folder of its own, named by checkpoint and number, so a replayed batch writes
+    the same again.  With ``ttl`` a key is forgotten so many milliseconds after it came, which
+    bounds the state where files do not come again."""
+    kinds = spark.createDataFrame([], schema).schema
+    source = spark.readStream.schema(kinds).option("maxFilesPerTrigger", files_per_batch).json(path)
+    known = _keyed(read_sink(spark, sink, kinds).select(*key), key).select(KEY, BUCKET).distinct().groupBy(BUCKET)
+    fresh = _keyed(source, key).groupBy(BUCKET).transformWithStateInPandas(
+        FirstOfKey(kinds.fieldNames(), ttl), kinds, "Append", "ProcessingTime" if ttl else "None", known
     )
+    run = _run_of(spark, checkpoint)
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy(key[0]).parquet(f"{sink}/batch={run}-{number}")
+
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)

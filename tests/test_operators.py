@@ -18,7 +18,7 @@ from scenemark.operators import sampling as Sm
 from scenemark.operators import scenes as Sc
 from scenemark.operators import similarity as Si
 from scenemark.sources import readers as Rd
-from scenemark.streaming.predictions import stream_predictions
+from scenemark.streaming.predictions import read_sink, stream_predictions
 
 
 def points(rng, n, spread=1.0):
@@ -109,20 +109,28 @@ def test_segments_intersect(spark):
     assert not hit((0, 0), (1, 0), (1.2, -1), (1.2, 1))
 
 
-@pytest.mark.parametrize("grid", [1, 4, 9])
-def test_crossings_do_not_depend_on_the_grid(spark, grid):
+@pytest.mark.parametrize("per_cell", [1, 4, 1000])
+def test_crossings_do_not_depend_on_the_cells(spark, per_cell):
     rng = random.Random(3)
-    rows = [(i % 3, i, points(rng, rng.randint(2, 6))) for i in range(40)]
+    rows = [(i % 3, i, points(rng, rng.randint(2, 6), rng.choice([0.01, 0.2, 1.0, 30.0]))) for i in range(60)]
     df = lines_frame(spark, rows).withColumnRenamed("seq", "shape_idx")
-    want = {(r["image_id"], r["shape_idx"]): r["crossings"] for r in Sc.crossings(df, 1).collect()}
-    got = {(r["image_id"], r["shape_idx"]): r["crossings"] for r in Sc.crossings(df, grid).collect()}
+    want = {(r["image_id"], r["shape_idx"]): r["crossings"] for r in Sc.crossings(df, 10**6).collect()}
+    got = {(r["image_id"], r["shape_idx"]): r["crossings"] for r in Sc.crossings(df, per_cell).collect()}
     assert got == want and sum(want.values()) > 0
 
 
-def test_crowded_scene_gets_a_finer_grid(spark):
-    df = spark.range(4000).select(F.lit(1).alias("image_id"), "id")
-    assert Sc.scene_grid(df) == 16
-    assert Sc.scene_grid(df.withColumn("image_id", F.col("id") % 1000)) == 1
+def test_levels_follow_each_scene(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3900, 1).otherwise(F.col("id")).alias("image_id"), "id")
+    assert [tuple(r) for r in Sc.scene_levels(df).collect()] == [(1, 4)]
+
+
+def test_cells_of_a_scene_of_a_million_shapes(spark):
+    """Small boxes: no cell that pairs are sought in holds many, and a box lies in few."""
+    x, y = (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10**6)) / 1e6 for k in (1, 2))
+    df = spark.range(1_000_000).select(F.lit(7).alias("image_id"), "id", G.box(x, y + 0.002, x + 0.002, y).alias("box"))
+    cells = Sc.box_cells(df, F.struct("id", "box")).filter("own = level")
+    fullest, rows = cells.groupBy("level", "x", "y").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert fullest < 100 and rows < 4_000_000
 
 
 def test_ranks_of_a_hot_group(spark):
@@ -211,8 +219,11 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     stream_predictions(spark, src, out, ck, schema, key).awaitTermination()
     drop("b.json", range(5, 20))
     stream_predictions(spark, src, out, ck, schema, key).awaitTermination()
-    got = Counter(r["image_id"] for r in spark.read.parquet(out).collect())
-    assert got == Counter(range(20))
+    drop("c.json", [0, 3, 25, 25])  # the checkpoint is lost, the files are read again
+    stream_predictions(spark, src, out, str(tmp_path / "ck2"), schema, key).awaitTermination()
+    got = Counter(r["image_id"] for r in read_sink(spark, out, schema).collect())
+    assert got == Counter([*range(20), 25])
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
 def test_read_any_rejects_other_suffixes(spark):
