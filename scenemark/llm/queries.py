@@ -37,12 +37,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Token totals by source, language and tokenizer version after two batches, each sent
     twice: every document is inserted with its byte-level count, then the documents of every
-    language but English are recounted with the piece tokenizer."""
+    language but English, unknown ones included, are recounted with the piece tokenizer."""
     docs = table(spark, folder, "documents")
     byte, piece = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     named = lambda counts, version: stored(counts.withColumn("version", F.lit(version)), "counts")
     first = named(tokens.count(docs, byte, ["source", "lang"]), "byte_bpe_50k")
-    moved = "lang <> 'en'"
+    moved = "NOT lang <=> 'en'"
     again = named(tokens.count(docs.filter(moved), piece, ["source", "lang"], pieces.counts), "piece_bpe_32k")
     store = Rollup(spark, scratch(spark, "rollup"))
     for _ in range(2):

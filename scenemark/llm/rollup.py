@@ -3,8 +3,9 @@
 A batch of changes is signed rows: an insert counts +1, a delete -1, a revision both.  Each batch
 is summed to (source, lang, version) before it is written, to a folder of its own that counts
 only once its job has succeeded; a batch that comes again is found there and skipped, and one
-that broke off is written anew.  Totals add the batches to the newest base; ``compact`` makes a
-base of all batches up to a number."""
+that broke off is written anew.  ``compact`` makes a base of all batches there are; the base
+lists their numbers, so a batch that comes late, after ones with larger numbers, is neither
+lost nor counted twice.  Totals add the batches that the newest base does not list to it."""
 
 from __future__ import annotations
 
@@ -51,9 +52,16 @@ class Rollup:
         total = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return total.filter("docs <> 0 OR tokens <> 0")
 
+    def _base(self) -> tuple[int | None, set[int]]:
+        """The newest base and the numbers of the batches in it."""
+        base = max(self._done("base"), default=None)
+        if base is None:
+            return None, set()
+        return base, {r.batch for r in self.spark.read.schema("batch long").parquet(f"{self.folder}/within-{base}").collect()}
+
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Write a batch of signed rows; False where it was committed before (also in a base)."""
-        if batch in self._done("batch") or batch <= max(self._done("base"), default=batch - 1):
+        if batch in self._done("batch") or batch in self._base()[1]:
             return False
         self._summed(changes).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch}")
         return True
@@ -62,16 +70,20 @@ class Rollup:
         """(source, lang, version, docs, tokens); groups that came down to nothing are left out.
         NULL sources, languages and versions are groups of their own; an empty store gives
         no rows."""
-        base = max(self._done("base"), default=None)
+        base, within = self._base()
         parts = [f"base-{base}"] if base is not None else []
-        parts += [f"batch-{b}" for b in self._done("batch") if base is None or b > base]
+        parts += [f"batch-{b}" for b in self._done("batch") if b not in within]
         schema = "source string, lang string, version string, docs bigint, tokens bigint"
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self._summed(self.spark.read.schema(schema).parquet(*[f"{self.folder}/{p}" for p in parts]))
 
     def compact(self) -> None:
-        """Make a base of everything committed so far; earlier folders may then be deleted."""
-        done = self._done("batch")
-        if done and done[-1] > max(self._done("base"), default=done[-1] - 1):
-            self.totals().write.mode("overwrite").parquet(f"{self.folder}/base-{done[-1]}")
+        """Make a base of everything committed so far; earlier folders may then be deleted.  Bases
+        are numbered one by one; the list of a base is written first, so a base that counts has one."""
+        base, within = self._base()
+        every = sorted(within.union(self._done("batch")))
+        if len(every) > len(within):
+            new = 0 if base is None else base + 1
+            self.spark.createDataFrame([(b,) for b in every], "batch long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/within-{new}")
+            self.totals().write.mode("overwrite").parquet(f"{self.folder}/base-{new}")

@@ -8,6 +8,7 @@ Ids are dictionary or delta encoded."""
 from __future__ import annotations
 
 import json
+import re
 import string
 import zlib
 
@@ -29,10 +30,23 @@ RUN = regex.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_CHARS = [chr(b) if b in _PLAIN else chr(256 + _OTHER.index(b)) for b in range(256)]
+#: A part that is sure to be the same wherever it stands behind a space.
+PLAIN = re.compile(r"\S+").fullmatch
+#: Texts whose new parts are encoded at once.
+TOGETHER = 32
 ROW_GROUP = 64 << 20
 PAGE_ROWS = 1000
 
 
+class Parts(Cache):
+    def add(self, pairs) -> None:
+        """Segments encoded elsewhere."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(pairs)
+
+
 class ByteTokens:
     """A byte-level BPE tokenizer of the tokenizers library, with cached segments."""
 
@@ -56,8 +70,13 @@ class ByteTokens:
         self.model = self.library.model
         self.tokens = Cache(self._token, 100_000)
         self.runs = Cache(self._run, 50_000)
-        self.words = Cache(self._word, 200_000)
-        self.after = Cache(self._part, 200_000)
+        self.words = Cache(self._word, 50_000)
+        self.after = Parts(self._part, 300_000)
+        space = BYTE_CHARS[32]
+        vocabulary = self.library.get_vocab() if self.cuts else {}
+        #: ids of tokens that start with a space
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
 
     def whole(self, text: str) -> bytes:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
@@ -90,14 +109,43 @@ class ByteTokens:
             return b"".join(map(self.tokens.__getitem__, self.split(run)))
         return self.whole(run)
 
-    def encode(self, text: str) -> bytes:
-        """The library's ids of the whole text, packed."""
+    def _cut(self, text: str) -> list[str] | None:
+        """``parts`` of a text, None where it has to go another way."""
+        return None if not self.cuts or any(s in text for s in self.special) else parts(text)
+
+    def _joined(self, text: str, cut: list[str] | None) -> bytes:
+        if cut is not None:
+            return (self.runs[cut[0]] if cut[0] else b"") + b"".join(map(self.after.__getitem__, cut[1:]))
         if not self.cuts or any(s in text for s in self.special):
             return self.whole(text)
-        cut = parts(text)
-        if cut is None:
-            return b"".join(map(self.runs.__getitem__, RUN.findall(text)))
-        return self.runs[cut[0]] + b"".join(map(self.after.__getitem__, cut[1:])) if cut[0] else b"".join(map(self.after.__getitem__, cut[1:]))
+        return b"".join(map(self.runs.__getitem__, RUN.findall(text)))
+
+    def _learn(self, cuts: list[list[str]]) -> None:
+        """Parts without white space that are not known yet, in one call: the tokens of each start
+        at the next one with a space, and no other token has one."""
+        new = set().union(*(c[1:] for c in cuts)).difference(self.after)
+        plain = [p for p in new if p not in self.after.old and PLAIN(p)]
+        if not plain:
+            return
+        ids = np.array(self.library.encode(" " + " ".join(plain), add_special_tokens=False).ids, np.uint32)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(plain):  # an unusual vocabulary: each by itself when it is met
+            return
+        packed = ids.astype("<u4").tobytes()
+        ends = [*(4 * starts[1:]).tolist(), len(packed)]
+        self.after.add(zip(plain, map(packed.__getitem__, map(slice, (4 * starts).tolist(), ends))))
+
+    def encode(self, text: str) -> bytes:
+        """The library's ids of the whole text, packed."""
+        return self._joined(text, self._cut(text))
+
+    def encode_all(self, texts: list[str]):
+        """The ids of every text in turn; new parts of some texts are learnt together."""
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            cuts = [self._cut(t) for t in some]
+            self._learn([c for c in cuts if c is not None])
+            yield from map(self._joined, some, cuts)
 
 
 _LOADED: dict[str, ByteTokens] = {}
@@ -112,9 +160,9 @@ def load(path: str) -> ByteTokens:
 
 def _counts(path: str):
     def run(batches):
-        encode = load(path).encode
+        encode = load(path).encode_all
         for batch in batches:
-            n = [len(encode(t or "")) // 4 for t in batch.column(0).to_pylist()]
+            n = [len(ids) // 4 for ids in encode([t or "" for t in batch.column(0).to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *batch.columns[1:]], names=["n", *batch.schema.names[1:]])
 
     return run
@@ -133,9 +181,9 @@ def _rows(path: str, end_id: int):
         from pyspark import TaskContext
 
         block, at, end = TaskContext.get().partitionId(), 0, pack([end_id])
-        encode = load(path).encode
+        encode = load(path).encode_all
         for batch in batches:
-            ids = [encode(t or "") + end for t in batch.column(0).to_pylist()]
+            ids = [i + end for i in encode([t or "" for t in batch.column(0).to_pylist()])]
             n = np.array([len(i) // 4 for i in ids], np.int64)
             offsets = np.concatenate(([0], np.cumsum(n)))
             yield pa.RecordBatch.from_arrays(

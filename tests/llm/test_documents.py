@@ -198,13 +198,46 @@ def test_normaliser_follows_the_compiled_map():
 
 def test_segments_equal_whole_texts():
     r = random.Random(4)
-    byte, piece = tokens.load(BYTE), pieces.load(PIECE)
+    byte, piece, texts = tokens.load(BYTE), pieces.load(PIECE), []
     for _ in range(5000):
         text = "".join(r.choices("ab '\n\t .,!1é▁日　 \x1c sS", k=r.randint(0, 14)))
         assert byte.encode(text) == byte.whole(text), text
+        texts.append(text)
         assert piece.encode(text) == tokens.pack(piece.sp.encode(text)), text
 
 
+def test_token_count_query(spark, small):
+    """The whole query: everything once by bytes, what is not English again by pieces."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from scenemark.llm.queries import QUERIES
+
+    byte, piece = Tokenizer.from_file(BYTE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    want = collections.defaultdict(lambda: [0, 0])
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        english = r.lang == "en"
+        n = len(byte.encode(r.text or "", add_special_tokens=False).ids) if english else len(piece.encode(r.text or ""))
+        key = (r.source, r.lang, "byte_bpe_50k" if english else "piece_bpe_32k")
+        want[key][0] += 1
+        want[key][1] += n
+    got = {(r.source, r.lang, r.version): [r.docs, r.tokens] for r in QUERIES["op1_token_counts"](spark, small).collect()}
+    assert got == dict(want)
+
+
+def test_new_parts_learnt_together():
+    """Texts of new words in groups: the same ids as one by one, also when the cache turns over."""
+    r = random.Random(8)
+    letters = "abcdefgXYZéßñ日本Ġ012'-_,.!?$\x85\u200b\xad😀"
+    word = lambda: "".join(r.choices(letters, k=r.randint(1, 9)))
+    texts = [r.choice(["", " ", "\n"]) + r.choice([" ", " ", "\n"]).join(word() for _ in range(r.randint(0, 60))) + r.choice(["", " ", "\t"]) for _ in range(400)]
+    texts += ["", "a  b", "<|endoftext|> x", "tab\there and", " ".join("<|endoftext" for _ in range(3)), "a\x1cb c"]
+    byte = tokens.ByteTokens(BYTE)
+    byte.after.most = 500
+    assert list(byte.encode_all(texts)) == [byte.whole(t) for t in texts]
+    assert list(byte.encode_all([])) == [] and len(byte.after.old) >= 500
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files(spark, docs, tmp_path, encoding):
     from pyarrow import parquet

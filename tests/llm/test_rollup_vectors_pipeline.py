@@ -48,6 +48,19 @@ def test_rollup(spark, tmp_path):
     assert not store.commit(5, inserts(frame([]))) or totals(store) == {}
 
 
+def test_late_batches(spark, tmp_path):
+    """A batch that comes after a base of larger numbers counts, once."""
+    store = Rollup(spark, str(tmp_path / "late"))
+    batch = lambda n: inserts(spark.createDataFrame([("a", "en", "v", n)], COUNTS))
+    assert store.commit(1, batch(1)) and store.commit(3, batch(30))
+    store.compact()
+    assert store.commit(2, batch(200)) and totals(store) == {("a", "en", "v"): (3, 231)}
+    store.compact()
+    assert [store.commit(n, batch(5)) for n in (1, 2, 3)] == [False] * 3 and totals(store) == {("a", "en", "v"): (3, 231)}
+    store.compact()
+    assert store.commit(0, batch(4000)) and totals(store) == {("a", "en", "v"): (4, 4231)}
+
+
 def test_fuse_filters():
     r = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 10, 1000, 60_000):
