@@ -13,7 +13,7 @@ from array import array
 
 #: Cached segments per worker and generation; what goes out of use costs time only.
 CACHE = 100_000
-_DOUBLE = re.compile(r"\s\s")
+DOUBLE = re.compile(r"\s\s")
 
 
 def pack(ids: list[int]) -> bytes:
@@ -43,6 +43,6 @@ class Cache(dict):
 def parts(text: str) -> list[str] | None:
     """``text`` cut before every space and line feed; the space is taken off, the line feed
     stays.  None where white space comes in runs, which need other cuts."""
-    if _DOUBLE.search(text):
+    if DOUBLE.search(text):
         return None
     return text.replace("\n", " \n").split(" ")

@@ -13,11 +13,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenemark.llm.segments import Cache, pack, parts
+from scenemark.llm.segments import DOUBLE, Cache, pack, parts
 from scenemark.session import work_partitions
 
 #: Fixed value: the split of the byte-level pre-tokenizer.
@@ -31,6 +32,8 @@ _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_CHARS = [chr(b) if b in _PLAIN else chr(256 + _OTHER.index(b)) for b in range(256)]
 ROW_GROUP = 64 << 20
 PAGE_ROWS = 1000
+#: Bytes of text whose distinct parts are looked up together.
+TOGETHER = 16 << 20
 
 
 class ByteTokens:
@@ -56,8 +59,8 @@ class ByteTokens:
         self.model = self.library.model
         self.tokens = Cache(self._token, 100_000)
         self.runs = Cache(self._run, 50_000)
-        self.words = Cache(self._word, 200_000)
-        self.after = Cache(self._part, 200_000)
+        self.words = Cache(self._word, 300_000)
+        self.after = Cache(self._part, 50_000)
 
     def whole(self, text: str) -> bytes:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
@@ -99,6 +102,75 @@ class ByteTokens:
             return b"".join(map(self.runs.__getitem__, RUN.findall(text)))
         return self.runs[cut[0]] + b"".join(map(self.after.__getitem__, cut[1:])) if cut[0] else b"".join(map(self.after.__getitem__, cut[1:]))
 
+    def looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(offsets, codes, ids): text i is the ids at codes[offsets[i]:offsets[i + 1]] in a row.
+
+        Every distinct part of the texts is looked up once; a text's first part, or the whole text
+        where it cannot be cut, has an entry of its own."""
+        given = texts.to_pylist()
+        sound = [self.cuts and not any(s in t for s in self.special) and not DOUBLE.search(t) for t in given]
+        if not all(sound):
+            texts = pa.array([t if ok else "" for t, ok in zip(given, sound)], texts.type)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = np.asarray(cut.offsets).astype(np.int64)
+        flat = cut.values
+        first = flat.take(pa.array(offsets[:-1])).to_pylist()
+        coded = flat.dictionary_encode()
+        codes = np.array(coded.indices)
+        ids = self._distinct(coded.dictionary)
+        codes[offsets[:-1]] = len(ids) + np.arange(len(given))
+        return offsets, codes, ids + [(self.runs[f] if f else b"") if ok else self.encode(t) for t, f, ok in zip(given, first, sound)]
+
+    def _distinct(self, found: pa.Array) -> list[bytes]:
+        """Ids of distinct parts; their words, without the marks after them, are looked up once."""
+        stems = pc.utf8_rtrim(found, string.punctuation).dictionary_encode()
+        words = [self.words[w] if w.isalpha() else None for w in _strings(stems.dictionary)]
+        sizes = [len(w) for w in _strings(stems.dictionary)]
+        made = []
+        for part, at in zip(_strings(found), stems.indices.to_numpy().tolist()):
+            word = words[at]
+            if word is None:
+                made.append(self.after[part])
+            else:
+                marks = part[sizes[at] :]
+                made.append(word + self.tokens[marks] if marks else word)
+        return made
+
+    def sizes(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of every text."""
+        offsets, codes, ids = self.looked_up(texts)
+        return np.add.reduceat(_lengths(ids)[codes], offsets[:-1])
+
+    def encode_all(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids): the ids of every text followed by ``end``, one text after the other."""
+        offsets, codes, ids = self.looked_up(texts)
+        codes = np.insert(codes, offsets[1:], len(ids))
+        offsets += np.arange(len(offsets))
+        ids.append(end)
+        length = _lengths(ids)
+        each = length[codes]
+        shift = (np.cumsum(length) - length)[codes] - (np.cumsum(each) - each)
+        table = np.frombuffer(b"".join(ids), np.int32)
+        return np.add.reduceat(each, offsets[:-1]), table[np.arange(each.sum()) + np.repeat(shift, each)]
+
+
+def _strings(found: pa.Array) -> list[str]:
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lengths(ids: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def slices(texts: pa.Array, most: int = TOGETHER) -> list[pa.Array]:
+    """``texts`` in slices of about ``most`` bytes; NULL becomes the empty text."""
+    texts = pc.fill_null(texts, "")
+    if not len(texts):
+        return []
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
+
 
 _LOADED: dict[str, ByteTokens] = {}
 
@@ -112,9 +184,10 @@ def load(path: str) -> ByteTokens:
 
 def _counts(path: str):
     def run(batches):
-        encode = load(path).encode
+        model = load(path)
         for batch in batches:
-            n = [len(encode(t or "")) // 4 for t in batch.column(0).to_pylist()]
+            n = [model.sizes(texts) for texts in slices(batch.column(0))]
+            n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *batch.columns[1:]], names=["n", *batch.schema.names[1:]])
 
     return run
@@ -133,22 +206,23 @@ def _rows(path: str, end_id: int):
         from pyspark import TaskContext
 
         block, at, end = TaskContext.get().partitionId(), 0, pack([end_id])
-        encode = load(path).encode
+        model = load(path)
         for batch in batches:
-            ids = [encode(t or "") + end for t in batch.column(0).to_pylist()]
-            n = np.array([len(i) // 4 for i in ids], np.int64)
-            offsets = np.concatenate(([0], np.cumsum(n)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1),
-                    pa.array(np.full(len(n), block, np.int32)),
-                    pa.array(at + offsets[:-1]),
-                    pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32))),
-                ],
-                names=["doc_id", "block", "at", "n_tokens", "ids"],
-            )
-            at += int(offsets[-1])
+            done = 0
+            for texts in slices(batch.column(0)):
+                n, ids = model.encode_all(texts, end)
+                offsets = np.concatenate(([0], np.cumsum(n)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(1).slice(done, len(n)),
+                        pa.array(np.full(len(n), block, np.int32)),
+                        pa.array(at + offsets[:-1]),
+                        pa.array(n),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
+                    ],
+                    names=["doc_id", "block", "at", "n_tokens", "ids"],
+                )
+                at, done = at + int(offsets[-1]), done + len(n)
 
     return run
 
