@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: list[str] = []
+_local = threading.local()
 
 
 def local_session(cores: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -55,13 +58,20 @@ def scratch(spark: SparkSession, name: str = "scratch") -> str:
     path = f"{shared_dir(spark)}/scenemark-{uuid.uuid4().hex}-{name}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    _SCRATCH.append(path)
+    for made in getattr(_local, "made", []):
+        made.append(path)
     return path
 
 
-def scratch_paths() -> list[str]:
-    """Scratch paths handed out so far and not released, oldest first."""
-    return list(_SCRATCH)
+@contextmanager
+def scratch_of() -> Iterator[list[str]]:
+    """The list of the scratch paths that this thread makes inside the block."""
+    made: list[str] = []
+    _local.made = [*getattr(_local, "made", []), made]
+    try:
+        yield made
+    finally:
+        _local.made = _local.made[:-1]
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
@@ -69,7 +79,6 @@ def release(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _SCRATCH.remove(path)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
