@@ -4,7 +4,8 @@ A text is the vector of its hashed byte n-grams (orders 1 to 3, letters lower-ca
 space), sublinear term frequency times inverse document frequency, of length one.  Each
 language has several centroids, clustered on a bounded sample of its labelled texts; the
 nearest by cosine names the language, and a text farther away than its language's reach is
-rejected.  Document frequencies are counted over all training texts.
+rejected.  The reach depends on the text's length: single words are far from every centroid, so it
+is taken from beginnings of 1, 2, 4, ... words of the fitted texts, by classes of length.  Document frequencies are counted over all training texts.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ CENTROIDS = 4
 #: Labelled texts per language that the centroids are clustered on, at most.
 FIT_DOCS = 1000
 #: A language reaches down to this share of the cosine that all but one in a hundred of its
-#: fitted texts have.
+#: fitted texts of that length have.
 SLACK = 0.25
+#: Length classes: powers of two of the text's bytes; the last one has no upper end.
+LENGTHS = 12
+#: Words of the pieces of fitted texts that give the reach of short texts.
+PIECES = (1, 2, 4, 8, 16, 32)
 STEP = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.int64)
@@ -34,7 +39,17 @@ _KEEP[128:] = np.arange(128, 256)
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
+def length_class(text: str) -> int:
+    return min(len(text.encode()).bit_length(), LENGTHS) - 1
+
+
+def pieces(text: str, draw: int) -> list[str]:
+    """Runs of a few words of a text; where they lie follows from the number drawn."""
+    words = text.split()
+    return [" ".join(words[at : at + n]) for n in PIECES if n < len(words) for at in [draw % (len(words) - n + 1)]]
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -77,14 +92,17 @@ def _sample_vectors(idf: np.ndarray):
     def run(batches):
         for batch in batches:
             langs, texts, order = (batch.column(i).to_pylist() for i in range(3))
-            rows = [(g, h, *vector(t, idf)) for g, t, h in zip(langs, texts, order) if has_letter(t)]
+            given = [(g, h, t, True) for g, t, h in zip(langs, texts, order)]
+            given += [(g, h, t, False) for g, whole, h in zip(langs, texts, order) for t in pieces(whole, h)]
+            rows = [(g, h, *vector(t, idf), length_class(t), whole) for g, h, t, whole in given if has_letter(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
                         pa.array([r[2].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[3].astype(np.float32) for r in rows], pa.list_(pa.float32())),
+                        pa.array([r[4] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.bool_()),
                     ],
-                    names=["lang", "h", "at", "w"],
+                    names=["lang", "h", "at", "w", "length", "whole"],
                 )
 
     return run
@@ -95,7 +113,9 @@ def _cluster(k: int, most: int):
     before.  Rows: centroid, reach."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("h", kind="stable").head(most)
+        parts = rows[~rows["whole"]]
+        rows = rows[rows["whole"]].sort_values("h", kind="stable").head(most)
+        parts = parts[parts["h"].isin(rows["h"])]
         points = np.zeros((len(rows), BUCKETS), np.float32)
         for i, (at, w) in enumerate(zip(rows["at"], rows["w"])):
             points[i, at] = w
@@ -107,14 +127,18 @@ def _cluster(k: int, most: int):
         for _ in range(10):
             own = np.argmax(points @ centres.T, axis=1)
             centres = unit(np.stack([points[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))]))
-        near = (points @ centres.T).max(1)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.tobytes() for c in centres.astype(np.float32)], "reach": float(np.quantile(near, 0.01)) * SLACK})
+        near = np.array([*(points @ centres.T).max(1), *((np.asarray(w) @ centres.T[at]).max() for at, w in zip(parts["at"], parts["w"]))])
+        length = np.concatenate((rows["length"], parts["length"]))
+        reach = [float(np.quantile(near[length == k], 0.01)) if (length == k).any() else np.inf for k in range(LENGTHS)]
+        reach = np.minimum.accumulate(reach[::-1])[::-1]  # a longer text is never nearer by right
+        reach = np.where(np.isfinite(reach), reach, near.min()) * SLACK
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.tobytes() for c in centres.astype(np.float32)], "reach": [reach.tolist()] * len(centres)})
 
     return run
 
 
 class Model:
-    """Languages in order, their centroids (one per row) and reach, and the frequencies."""
+    """Languages in order, their centroids (one per row) and reach by length class, and the frequencies."""
 
     def __init__(self, idf: np.ndarray, langs: list[str], centres: np.ndarray, reach: np.ndarray):
         self.idf, self.langs, self.centres, self.reach = idf, langs, np.ascontiguousarray(centres.T), reach
@@ -126,7 +150,7 @@ class Model:
         where, weight = vector(text, self.idf)
         near = weight @ self.centres[where]
         best = int(np.argmax(near))
-        return self.langs[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] >= self.reach[best])
+        return self.langs[best], float(min(1.0, max(0.0, near[best]))), bool(near[best] >= self.reach[best][length_class(text)])
 
 
 def fit(labelled: DataFrame, centroids: int = CENTROIDS, fit_docs: int = FIT_DOCS, key: str = "doc_id") -> Model:
@@ -145,10 +169,10 @@ def fit(labelled: DataFrame, centroids: int = CENTROIDS, fit_docs: int = FIT_DOC
     h = F.xxhash64(F.lit("fit"), F.col(key), "text").bitwiseAND((1 << 62) - 1)
     table = F.create_map(*[F.lit(x) for lang, m in sorted(have.items()) for x in (lang, int(min(1.0, 1.2 * fit_docs / m) * 2.0**62))]) if have else None
     if table is None:
-        return Model(idf, [], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
+        return Model(idf, [], np.zeros((0, BUCKETS), np.float32), np.zeros((0, LENGTHS)))
     drawn = rows.select("lang", "text", h.alias("h")).filter(F.col("h") < F.element_at(table, F.col("lang")))
-    vectors = drawn.mapInArrow(_sample_vectors(idf), "lang string, h long, at array<int>, w array<float>")
-    found = vectors.groupBy("lang").applyInPandas(_cluster(centroids, fit_docs), "lang string, centre binary, reach double")
+    vectors = drawn.mapInArrow(_sample_vectors(idf), "lang string, h long, at array<int>, w array<float>, length int, whole boolean")
+    found = vectors.groupBy("lang").applyInPandas(_cluster(centroids, fit_docs), "lang string, centre binary, reach array<double>")
     rows = sorted(found.collect(), key=lambda r: (r.lang, bytes(r.centre)))
     centres = np.array([np.frombuffer(r.centre, np.float32) for r in rows]).reshape(len(rows), BUCKETS)
     return Model(idf, [r.lang for r in rows], centres, np.array([r.reach for r in rows]))

@@ -343,13 +343,13 @@ def _answer(sums: np.ndarray, discounts: list[float], samples: int, seed: int):
         for _ in range(samples):
             state.sweep(g, logs, rng)
             mean += state.predictive(g) / samples
-        score = np.log10(mean).astype(np.float32)
+        score = np.log10(mean)
         known = np.bincount(state.word, state.count, state.words).astype(np.int64)
         made = []
         for r in rows[rows["chunk"] >= 0].itertuples():
             at, each = np.cumsum(_unpack(r.a), dtype=np.int64), np.frombuffer(r.b, np.uint8)
             words = state.word[at[np.cumsum(each, dtype=np.int64) - 1]]
-            made.append((r.chunk, bucket, _pack(score[at], "<f4"), _pack(known[words], "<i8"), r.b))
+            made.append((r.chunk, bucket, _pack(score[at], "<f8"), _pack(known[words], "<i8"), r.b))
         return pd.DataFrame(made, columns=["chunk", "bucket", "score", "known", "each"])
 
     return run
@@ -358,7 +358,7 @@ def _answer(sums: np.ndarray, discounts: list[float], samples: int, seed: int):
 def _finish(n: float, v: float):
     def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row, answers = chunk.iloc[0], answers.sort_values("bucket")
-        score = np.concatenate([_unpack(s, "<f4") for s in answers["score"]]).astype(np.float64)
+        score = np.concatenate([_unpack(s, "<f8") for s in answers["score"]])
         known = np.concatenate([np.repeat(_unpack(k, "<i8"), np.frombuffer(e, np.uint8)) for k, e in zip(answers["known"], answers["each"])])
         base = np.log10((known + 0.1) / (n + 0.1 * (v + 1)))
         sizes = np.asarray(row["sizes"])

@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenemark.llm.segments import Cache, pack
+from scenemark.llm.segments import Cache, pack, slices
 
+#: Bytes of text whose ids and bounds are held at once.
+TOGETHER = 4 << 20
 MARK = "▁".encode()
 BROKEN = "�".encode()
 
@@ -191,20 +193,25 @@ def _encode(path: str, bos: int, eos: int):
         model = load(path)
         begin, end = pack([bos]), pack([eos])
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            ids = [np.frombuffer(model.encode(t), "<u4") for t in texts]
-            bounds = [model.spans(t, i) for t, i in zip(texts, ids)]
-            whole = [begin + i.tobytes() + end for i in ids]
-            offsets = np.cumsum([0, *(len(b) // 4 for b in whole)])
-            stops = np.cumsum([0, *map(len, bounds)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(whole), "<u4").view(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(bounds).astype(np.int64))),
-                    *batch.columns[1:],
-                ],
-                names=["ids", "bounds", *batch.schema.names[1:]],
-            )
+            done = 0
+            for some in slices(batch.column(0), TOGETHER):
+                texts = some.to_pylist()
+                ids = [np.frombuffer(model.encode(t), "<u4") for t in texts]
+                bounds = [model.spans(t, i) for t, i in zip(texts, ids)]
+                whole = [begin + i.tobytes() + end for i in ids]
+                decoded = [hashlib.sha256(model.sp.decode(np.frombuffer(i, "<u4").tolist()).encode()).hexdigest() for i in whole]
+                offsets = np.cumsum([0, *(len(b) // 4 for b in whole)])
+                stops = np.cumsum([0, *map(len, bounds)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(whole), "<u4").view(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.concatenate(bounds).astype(np.int64))),
+                        pa.array(decoded, pa.string()),
+                        *(c.slice(done, len(texts)) for c in batch.columns[1:]),
+                    ],
+                    names=["ids", "bounds", "decoded_sha256", *batch.schema.names[1:]],
+                )
+                done += len(texts)
 
     return run
 
@@ -254,12 +261,12 @@ def _run(docs: DataFrame, key: str, make, path: str, fields: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """(ids, bounds, ``key``): ids with begin and end, and the byte bounds of the pieces between
-    them: piece i covers original bytes [bounds[i], bounds[i + 1]).
+    """(ids, bounds, decoded_sha256, ``key``): ids with begin and end, and the byte bounds of the pieces between
+    them: piece i covers original bytes [bounds[i], bounds[i + 1]); the digest is that of the text the ids decode to.
 
     NULL counts as empty and has begin and end only.  Rows are independent, so repeated rows
     and NULL keys pass through; other columns are not read."""
-    return _run(docs, key, _encode, path, "ids array<int>, bounds array<bigint>")
+    return _run(docs, key, _encode, path, "ids array<int>, bounds array<bigint>, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:

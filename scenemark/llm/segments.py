@@ -11,8 +11,14 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Cached segments per worker and generation; what goes out of use costs time only.
 CACHE = 100_000
+#: Bytes of text that are encoded together.
+TOGETHER = 16 << 20
 DOUBLE = re.compile(r"\s\s")
 
 
@@ -46,3 +52,13 @@ def parts(text: str) -> list[str] | None:
     if DOUBLE.search(text):
         return None
     return text.replace("\n", " \n").split(" ")
+
+
+def slices(texts: pa.Array, most: int = TOGETHER) -> list[pa.Array]:
+    """``texts`` in slices of about ``most`` bytes; NULL becomes the empty text."""
+    texts = pc.fill_null(texts, "")
+    if not len(texts):
+        return []
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(texts)]
+    return [texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]

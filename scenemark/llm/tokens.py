@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenemark.llm.segments import DOUBLE, Cache, pack, parts
+from scenemark.llm.segments import DOUBLE, Cache, pack, parts, slices
 from scenemark.session import work_partitions
 
 #: Fixed value: the split of the byte-level pre-tokenizer.
@@ -32,8 +32,6 @@ _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_CHARS = [chr(b) if b in _PLAIN else chr(256 + _OTHER.index(b)) for b in range(256)]
 ROW_GROUP = 64 << 20
 PAGE_ROWS = 1000
-#: Bytes of text whose distinct parts are looked up together.
-TOGETHER = 16 << 20
 
 
 class ByteTokens:
@@ -162,16 +160,6 @@ def _lengths(ids: list[bytes]) -> np.ndarray:
     return np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
 
-def slices(texts: pa.Array, most: int = TOGETHER) -> list[pa.Array]:
-    """``texts`` in slices of about ``most`` bytes; NULL becomes the empty text."""
-    texts = pc.fill_null(texts, "")
-    if not len(texts):
-        return []
-    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
-    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(texts)]
-    return [texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
 _LOADED: dict[str, ByteTokens] = {}
 
 
