@@ -1,16 +1,17 @@
 """Scores of a hierarchical Pitman-Yor language model.
 
-Tokens are words and one end per text.  A token's context is the classes of the two words before
-it (a class is a hash of a word's last two bytes): restaurants for both classes have the
-restaurant of the nearer class as parent, and those share one root over the whole vocabulary,
-whose base is uniform over the known words and one unknown.  Customers are training tokens; a
-dish's tables are customers of the parent.  Seating is sampled by blocked Gibbs steps: the number
-of tables of each dish in each restaurant is drawn given all others, from the exact conditional
-up to ``EXACT`` customers and by drawing the further customers in order beyond it.  A token's
-probability is the mean of the predictive probabilities of several samples.
+Tokens are words and one end per text.  A token's context is the whole word before it, hashed to
+as many restaurants as the root of the text's bytes, so they grow with the input as a vocabulary
+does.  Restaurants of words of one class (a hash of the last two bytes) share a parent, and the
+parents share one root over the whole vocabulary, whose base is uniform over the known words and
+one unknown.  Customers are training tokens; a dish's tables are customers of the parent.  Seating
+is sampled by blocked Gibbs steps: the number of tables of each dish in each restaurant is drawn
+given all others, from the exact conditional up to ``EXACT`` customers and by drawing the further
+customers in order beyond it.  A token's probability is the mean of the predictive probabilities
+of several samples.
 
 A word and all its restaurants lie in one bucket, so a sweep moves nothing; between rounds only
-the totals of the restaurants (a few dozen numbers) are brought up to date.  Texts are read once:
+the totals of the restaurants (two numbers each) are brought up to date.  Texts are read once:
 a chunk of documents becomes its distinct (word, context) pairs, sorted, with training counts,
 and the pairs of each document.  Pairs travel to their buckets and come back as scores, as packed
 columns of numbers.
@@ -18,6 +19,7 @@ columns of numbers.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -27,11 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenemark.session import scratch, stored, work_partitions
+from scenemark.session import scratch, stored
 
-#: Classes of the word before, and of the one before that.
-NEAR, FAR = 8, 2
-LEAVES = NEAR * FAR
+#: Classes of the word before.
+NEAR = 8
+#: Bytes of text per bucket of words.
+BUCKET_BYTES = 16 << 20
 CHUNK_TOKENS = 2_000_000
 #: Customers of a dish up to which the number of its tables is drawn exactly.
 EXACT = 64
@@ -83,51 +86,54 @@ def word_ids(text: bytes) -> np.ndarray:
     return np.array([*map(_IDS.__getitem__, words), END], np.uint64)
 
 
-def contexts(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Leaf restaurant of every token; ``first`` marks positions where texts begin."""
-    kind = (ids & np.uint64(15)).astype(np.int64)
-    one, two = np.concatenate(([0], kind[:-1])), np.concatenate(([0, 0], kind[:-2]))[: len(kind)]
-    one[first] = 0
-    two[first] = 0
-    two[np.minimum(first + 1, len(kind) - 1)] = 0
-    return one % NEAR * FAR + two // NEAR % FAR
+def restaurants(size: int) -> int:
+    """Number of leaf restaurants for so many bytes of text: the power of two from their root up."""
+    return max(2 * NEAR, 1 << math.isqrt(size).bit_length())
+
+
+def contexts(ids: np.ndarray, first: np.ndarray, leaves: int) -> np.ndarray:
+    """Leaf restaurant of every token, from the word before; those of a class lie together.
+    ``first`` marks positions where texts begin."""
+    before = np.concatenate((ids[:1], ids[:-1]))
+    before[first] = 0
+    hashed = (before >> np.uint64(4) & np.uint64(0xFFFFFFF)).astype(np.int64)
+    return (before & np.uint64(15)).astype(np.int64) % NEAR * (leaves // NEAR) + hashed % (leaves // NEAR)
 
 
 def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return ((ids >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _chunk(texts: list[np.ndarray], train: np.ndarray, buckets: int) -> dict:
+def _chunk(texts: list[np.ndarray], train: np.ndarray, buckets: int, leaves: int) -> dict:
     """Pairs of a chunk cut by bucket, and the pairs of its documents (in order within each)."""
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate(([0], np.cumsum(sizes)))
     ids = np.concatenate(texts)
     words, word = np.unique(ids, return_inverse=True)
-    pairs, pair = np.unique(word * LEAVES + contexts(ids, starts[:-1]), return_inverse=True)
+    pairs, pair = np.unique(word * leaves + contexts(ids, starts[:-1], leaves), return_inverse=True)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     order = np.sort(doc * len(pairs) + pair)
     within = order - doc * len(pairs)
     move = _steps(within)
     move[starts[:-1]] = within[starts[:-1]]  # every document starts anew
     count = np.bincount(pair[train[doc]], minlength=len(pairs))
-    at, leaf = pairs // LEAVES, pairs % LEAVES
-    each = np.bincount(at, minlength=len(words))
+    at = pairs // leaves
     home = _bucket(words, buckets)
     slices = []
     for b in np.unique(home):
         lo, hi = np.searchsorted(home, [b, b + 1])
         p, q = np.searchsorted(at, [lo, hi])
-        slices.append({"bucket": int(b), "word": _pack(_steps(words[lo:hi]), "<u8"), "each": each[lo:hi].astype(np.uint8).tobytes(), "leaf": leaf[p:q].astype(np.uint8).tobytes(), "count": _pack(count[p:q])})
+        slices.append({"bucket": int(b), "word": _pack(_steps(words[lo:hi]), "<u8"), "pair": _pack(_steps(pairs[p:q] - lo * leaves)), "count": _pack(count[p:q])})
     return {"sizes": sizes.astype(np.int64), "pairs": _pack(move), "slices": slices}
 
 
-def _chunks(buckets: int):
-    slice_type = pa.struct([("bucket", pa.int32()), ("word", pa.binary()), ("each", pa.binary()), ("leaf", pa.binary()), ("count", pa.binary())])
+def _chunks(buckets: int, leaves: int):
+    slice_type = pa.struct([("bucket", pa.int32()), ("word", pa.binary()), ("pair", pa.binary()), ("count", pa.binary())])
 
     def row(number, held, texts):
         keys = pa.concat_arrays([h[0] for h in held])
         train = np.concatenate([h[1] for h in held])
-        made = _chunk(texts, train, buckets)
+        made = _chunk(texts, train, buckets, leaves)
         whole = pa.array([0, len(keys)], pa.int32())
         return pa.RecordBatch.from_arrays(
             [
@@ -162,26 +168,35 @@ def _chunks(buckets: int):
 # --- buckets ----------------------------------------------------------------------------------
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+def _merge(leaves: int):
     """Pairs of a bucket over all chunks, and for every chunk where its pairs are among them."""
-    parts = []
-    for r in rows.itertuples():
-        words, each = np.cumsum(_unpack(r.word, "<u8"), dtype=np.uint64), np.frombuffer(r.each, np.uint8)
-        parts.append((np.repeat(words, each), np.frombuffer(r.leaf, np.uint8), _unpack(r.count)))
-    words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    pairs, pair = np.unique(word * LEAVES + np.concatenate([p[1] for p in parts]).astype(np.int64), return_inverse=True)
-    count = np.bincount(pair, np.concatenate([p[2] for p in parts]), len(pairs)).astype(np.int64)
-    each, leaf = np.bincount(pairs // LEAVES, minlength=len(words)).astype(np.uint8), (pairs % LEAVES).astype(np.uint8)
-    ends = np.cumsum([len(p[0]) for p in parts])
-    places = [_pack(_steps(pair[e - len(p[0]) : e])) for p, e in zip(parts, ends)]
-    bucket = int(rows["bucket"].iloc[0])
-    state = Seating(each, leaf, count)
-    made = [(bucket, -1, each.tobytes(), leaf.tobytes(), _pack(count, "<i8"), state.totals())]
-    made += [(bucket, int(c), p, e, None, None) for c, p, e in zip(rows["chunk"], places, rows["each"])]
-    return pd.DataFrame(made, columns=["bucket", "chunk", "a", "b", "c", "stats"])
-
-
-MERGED = "bucket int, chunk long, a binary, b binary, c binary, stats array<double>"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r in rows.itertuples():
+            pairs = np.cumsum(_unpack(r.pair), dtype=np.int64)
+            words = np.cumsum(_unpack(r.word, "<u8"), dtype=np.uint64)
+            parts.append((words[pairs // leaves], pairs % leaves, _unpack(r.count)))
+        words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        pairs, pair = np.unique(word * leaves + np.concatenate([p[1] for p in parts]), return_inverse=True)
+        count = np.bincount(pair, np.concatenate([p[2] for p in parts]), len(pairs)).astype(np.int64)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        places = [_pack(_steps(pair[e - len(p[0]) : e])) for p, e in zip(parts, ends)]
+        bucket = int(rows["bucket"].iloc[0])
+        made = [(bucket, -1, _pack(_steps(pairs)), _pack(count, "<i8"), None, *_sparse(Seating(pairs, count, leaves).totals()))]
+        made += [(bucket, int(c), p, None, None, None, None) for c, p in zip(rows["chunk"], places)]
+        return pd.DataFrame(made, columns=["bucket", "chunk", "a", "b", "c", "at", "x"])
+
+    return run
+
+
+MERGED = "bucket int, chunk long, a binary, b binary, c binary, at binary, x binary"
+
+
+def _sparse(totals: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and values of what is not zero."""
+    at = np.flatnonzero(totals)
+    return _pack(_steps(at)), _pack(totals[at], "<i8")
 
 
 class Globals:
@@ -190,10 +205,9 @@ class Globals:
 
     def __init__(self, sums: np.ndarray, discounts: list[float] | None = None):
         self.n, self.v = sums[0], sums[1]
-        rest = sums[8:]
-        self.customers = [rest[0:1], rest[1 : 1 + NEAR], rest[1 + NEAR : 1 + NEAR + LEAVES]]
-        rest = rest[1 + NEAR + LEAVES :]
-        self.tables = [rest[0:1], rest[1 : 1 + NEAR], rest[1 + NEAR : 1 + NEAR + LEAVES]]
+        customers, tables = np.split(sums[8:], 2)
+        self.customers = np.split(customers, [1, 1 + NEAR])
+        self.tables = np.split(tables, [1, 1 + NEAR])
         ones, twos = sums[2:5], sums[5:8]
         self.discounts = discounts or [float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95)) for a, b in zip(ones, twos)]
         self.base = 1.0 / (self.v + 1)
@@ -239,14 +253,16 @@ def draw_tables(c, p, other, theta: float, d: float, log: np.ndarray, rng) -> np
 
 
 class Seating:
-    """Customers and tables of a bucket's words in the root, the near and the leaf restaurants."""
-
-    def __init__(self, each: np.ndarray, leaf: np.ndarray, count: np.ndarray, tables: list[np.ndarray] | None = None):
-        self.word = np.repeat(np.arange(len(each)), each)
-        self.leaf, self.count = leaf.astype(np.int64), count
-        mids, self.mid = np.unique(self.word * NEAR + self.leaf // FAR, return_inverse=True)
+    """Customers and tables of a bucket's words in the root, the near and the leaf restaurants.
+    ``pairs`` are word * leaves + leaf, ascending, with words from 0 and none left out."""
+
+    def __init__(self, pairs: np.ndarray, count: np.ndarray, leaves: int, tables: list[np.ndarray] | None = None):
+        self.word, self.leaf, self.count, self.leaves = pairs // leaves, pairs % leaves, count, leaves
+        mids = pairs // (leaves // NEAR)  # word * NEAR + class
+        self.mid = np.cumsum(np.diff(mids, prepend=mids[:1]) > 0)
+        mids = np.unique(mids)
         self.mid_word, self.near = mids // NEAR, mids % NEAR
-        self.words = len(each)
+        self.words = int(self.word[-1]) + 1
         self.t2 = (count > 0).astype(np.int64) if tables is None else tables[2]
         self._seat_parents()
         self.t1 = (self.c1 > 0).astype(np.int64) if tables is None else tables[1]
@@ -257,15 +273,15 @@ class Seating:
         self.c1 = np.bincount(self.mid, self.t2, len(self.near)).astype(np.int64)
         self.c0 = np.bincount(self.mid_word, getattr(self, "t1", self.c1 > 0), self.words).astype(np.int64)
 
-    def totals(self) -> list[float]:
+    def totals(self) -> np.ndarray:
         """Sums for ``Globals``."""
         by = lambda at, x, n: np.bincount(at, x, n)
         level = [self.c0, self.c1, self.count]
         head = [self.count.sum(), (np.bincount(self.word, self.count, self.words) > 0).sum()]
         head += [(x == 1).sum() for x in level] + [(x == 2).sum() for x in level]
-        customers = [self.c0.sum(), *by(self.near, self.c1, NEAR), *by(self.leaf, self.count, LEAVES)]
-        tables = [self.t0.sum(), *by(self.near, self.t1, NEAR), *by(self.leaf, self.t2, LEAVES)]
-        return [float(x) for x in (*head, *customers, *tables)]
+        customers = [self.c0.sum(), *by(self.near, self.c1, NEAR), *by(self.leaf, self.count, self.leaves)]
+        tables = [self.t0.sum(), *by(self.near, self.t1, NEAR), *by(self.leaf, self.t2, self.leaves)]
+        return np.array([*head, *customers, *tables], np.float64)
 
     @staticmethod
     def _blend(c, t, customers, tables, d, parent):
@@ -289,7 +305,7 @@ class Seating:
         c, near = self.c1[m] - own, self.near[m]
         p = self._blend(c, np.minimum(self.t1[m], c), g.customers[1][near] - own, g.tables[1][near], d1, root[self.mid_word[m]])
         self.t2[live] = draw_tables(self.count[live], p, g.tables[2][self.leaf[live]] - own, STRENGTH, d2, logs[2], rng)
-        g.tables[2] = g.tables[2] + np.bincount(self.leaf, self.t2 - old, LEAVES)
+        g.tables[2] = g.tables[2] + np.bincount(self.leaf, self.t2 - old, self.leaves)
         before = self.c1
         self.c1 = np.bincount(self.mid, self.t2, len(self.near)).astype(np.int64)
         g.customers[1] = g.customers[1] + np.bincount(self.near, self.c1 - before, NEAR)
@@ -310,32 +326,32 @@ class Seating:
         g.tables[0] = g.tables[0] + (self.t0.sum() - before)
 
 
-def _state(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row.a, np.uint8), np.frombuffer(row.b, np.uint8), _unpack(row.c, "<i8")
+def _state(row, leaves: int) -> tuple[np.ndarray, np.ndarray, int]:
+    return np.cumsum(_unpack(row.a), dtype=np.int64), _unpack(row.b, "<i8"), leaves
 
 
-def _burn(sums: np.ndarray, sweeps: int, seed: int):
+def _burn(sums: np.ndarray, leaves: int, sweeps: int, seed: int):
     def run(frames):
         for rows in frames:
             made = []
             for r in rows.itertuples():
-                g, state = Globals(sums), Seating(*_state(r))
+                g, state = Globals(sums), Seating(*_state(r, leaves))
                 logs = [stirling(EXACT, d) for d in g.discounts]
                 rng = np.random.default_rng([seed, 1, r.bucket])
                 for _ in range(sweeps):
                     state.sweep(g, logs, rng)
-                made.append((r.bucket, -2, _pack(state.t0, "<i8"), _pack(state.t1, "<i8"), _pack(state.t2, "<i8"), state.totals()))
-            yield pd.DataFrame(made, columns=["bucket", "chunk", "a", "b", "c", "stats"])
+                made.append((r.bucket, -2, _pack(state.t0, "<i8"), _pack(state.t1, "<i8"), _pack(state.t2, "<i8"), *_sparse(state.totals())))
+            yield pd.DataFrame(made, columns=["bucket", "chunk", "a", "b", "c", "at", "x"])
 
     return run
 
 
-def _answer(sums: np.ndarray, discounts: list[float], samples: int, seed: int):
+def _answer(sums: np.ndarray, discounts: list[float], leaves: int, samples: int, seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(rows["bucket"].iloc[0])
         first = lambda kind: next(rows[rows["chunk"] == kind].itertuples())
         t = first(-2)
-        state = Seating(*_state(first(-1)), [_unpack(x, "<i8") for x in (t.a, t.b, t.c)])
+        state = Seating(*_state(first(-1), leaves), [_unpack(x, "<i8") for x in (t.a, t.b, t.c)])
         g = Globals(sums, discounts)
         logs = [stirling(EXACT, d) for d in g.discounts]
         rng = np.random.default_rng([seed, 2, bucket])
@@ -347,9 +363,9 @@ def _answer(sums: np.ndarray, discounts: list[float], samples: int, seed: int):
         known = np.bincount(state.word, state.count, state.words).astype(np.int64)
         made = []
         for r in rows[rows["chunk"] >= 0].itertuples():
-            at, each = np.cumsum(_unpack(r.a), dtype=np.int64), np.frombuffer(r.b, np.uint8)
-            words = state.word[at[np.cumsum(each, dtype=np.int64) - 1]]
-            made.append((r.chunk, bucket, _pack(score[at], "<f8"), _pack(known[words], "<i8"), r.b))
+            at = np.cumsum(_unpack(r.a), dtype=np.int64)
+            words, each = np.unique(state.word[at], return_counts=True)
+            made.append((r.chunk, bucket, _pack(score[at], "<f8"), _pack(known[words], "<i8"), _pack(each)))
         return pd.DataFrame(made, columns=["chunk", "bucket", "score", "known", "each"])
 
     return run
@@ -359,7 +375,7 @@ def _finish(n: float, v: float):
     def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row, answers = chunk.iloc[0], answers.sort_values("bucket")
         score = np.concatenate([_unpack(s, "<f8") for s in answers["score"]])
-        known = np.concatenate([np.repeat(_unpack(k, "<i8"), np.frombuffer(e, np.uint8)) for k, e in zip(answers["known"], answers["each"])])
+        known = np.concatenate([np.repeat(_unpack(k, "<i8"), _unpack(e)) for k, e in zip(answers["known"], answers["each"])])
         base = np.log10((known + 0.1) / (n + 0.1 * (v + 1)))
         sizes = np.asarray(row["sizes"])
         starts = np.cumsum(sizes) - sizes
@@ -376,11 +392,23 @@ def _finish(n: float, v: float):
     return run
 
 
-def _summed(rows: DataFrame) -> np.ndarray:
-    sums = rows.select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(8 + 2 * (1 + NEAR + LEAVES))
-    for r in sums:
-        out[r["at"]] = r.x
+def _added(size: int):
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[np.cumsum(_unpack(at), dtype=np.int64)] += _unpack(x, "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["at", "x"])
+
+    return run
+
+
+def _summed(rows: DataFrame, leaves: int) -> np.ndarray:
+    """Totals over all buckets; tasks add theirs up first, two numbers a restaurant reach the driver."""
+    out = np.zeros(8 + 2 * (1 + NEAR + leaves))
+    sums = rows.select("at", "x").mapInArrow(_added(len(out)), "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    out[sums["at"].to_numpy()] = sums["x"].to_numpy()
     return out
 
 
@@ -389,30 +417,33 @@ def trained_on(key: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(10)) != 0
 
 
-def score(docs: DataFrame, key: str = "doc_id", train: Column | None = None, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", train: Column | None = None, buckets: int | None = None, leaves: int | None = None) -> DataFrame:
     """(``key``, held_out, n_tokens, n_known, train_tokens, base_score, score) per document.
 
     ``score`` is the model's log10 probability of the text's tokens, ``base_score`` that of
-    smoothed single words.  NULL counts as empty: one token, the end.  Repeated rows are
+    smoothed single words.  ``leaves`` (a multiple of ``NEAR``) and ``buckets`` follow from the
+    bytes of all texts unless given.  NULL counts as empty: one token, the end.  Repeated rows are
     documents of their own; without training rows all words are unknown; other columns are not
     read; an empty table gives no rows."""
-    buckets = buckets or work_partitions(docs)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    buckets = buckets or max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES)
+    leaves = leaves or restaurants(size)
     kind = dict(docs.dtypes)[key]
     given = docs.select("text", F.col(key).alias("k"), (trained_on(key) if train is None else train).alias("train"))
-    slices = "slices array<struct<bucket:int,word:binary,each:binary,leaf:binary,count:binary>>"
+    slices = "slices array<struct<bucket:int,word:binary,pair:binary,count:binary>>"
     fields = f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<bigint>, pairs binary, {slices}"
-    chunks = stored(given.mapInArrow(_chunks(buckets), fields), "chunks")
+    chunks = stored(given.mapInArrow(_chunks(buckets, leaves), fields), "chunks")
     parts = chunks.select("chunk", F.explode("slices").alias("s")).select("chunk", "s.*")
     path = scratch(docs.sparkSession, "merged")
-    merged = parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_merge, MERGED)
+    merged = parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_merge(leaves), MERGED)
     merged.withColumn("kind", (F.col("chunk") < 0).cast("int")).write.partitionBy("kind").parquet(path)
     read = lambda n: docs.sparkSession.read.schema(f"{MERGED}, kind int").parquet(path).filter(F.col("kind") == n).drop("kind")
-    start = _summed(read(1))
-    burnt = stored(read(1).mapInPandas(_burn(start, BURN, SEED), MERGED), "burnt")
-    now = _summed(burnt)
+    start = _summed(read(1), leaves)
+    burnt = stored(read(1).mapInPandas(_burn(start, leaves, BURN, SEED), MERGED), "burnt")
+    now = _summed(burnt, leaves)
     g = Globals(start)
-    together = read(1).unionByName(read(0)).unionByName(burnt).drop("stats")
-    answer = _answer(now, g.discounts, SAMPLES, SEED)
+    together = read(1).unionByName(read(0)).unionByName(burnt).drop("at", "x")
+    answer = _answer(now, g.discounts, leaves, SAMPLES, SEED)
     answers = together.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, score binary, known binary, each binary")
     out = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     whole = chunks.select("chunk", "keys", "held", "sizes", "pairs").groupBy("chunk").cogroup(answers.groupBy("chunk"))

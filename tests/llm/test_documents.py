@@ -380,11 +380,10 @@ def test_lm(docs):
 
 def test_lm_predictive_is_a_distribution():
     r = np.random.default_rng(3)
-    words = 50
-    each = np.full(words, lm.LEAVES, np.uint8)
-    leaf = np.tile(np.arange(lm.LEAVES), words).astype(np.uint8)
-    count = np.where(r.random(words * lm.LEAVES) < 0.4, 0, r.zipf(1.6, words * lm.LEAVES) % 5000).astype(np.int64)
-    state = lm.Seating(each, leaf, count)
+    words, leaves = 50, 32
+    far = leaves // lm.NEAR
+    count = np.where(r.random(words * leaves) < 0.4, 0, r.zipf(1.6, words * leaves) % 5000).astype(np.int64)
+    state = lm.Seating(np.arange(words * leaves), count, leaves)
     g = lm.Globals(np.array(state.totals()))
     logs = [lm.stirling(lm.EXACT, d) for d in g.discounts]
     for _ in range(3):
@@ -396,12 +395,73 @@ def test_lm_predictive_is_a_distribution():
         p = state.predictive(g)
         known = np.bincount(state.word, count) > 0
         root = lm.Seating._blend(0, 0, g.customers[0][0], g.tables[0][0], g.discounts[0], g.base)
-        for u in range(lm.LEAVES):
-            mid = lm.Seating._blend(0, 0, g.customers[1][u // lm.FAR], g.tables[1][u // lm.FAR], g.discounts[1], root)
+        for u in range(leaves):
+            mid = lm.Seating._blend(0, 0, g.customers[1][u // far], g.tables[1][u // far], g.discounts[1], root)
             unknown = lm.Seating._blend(0, 0, g.customers[2][u], g.tables[2][u], g.discounts[2], mid)
             assert abs(p[(state.leaf == u) & known[state.word]].sum() + unknown - 1) < 1e-9
 
 
+def test_lm_predictive_by_recursion():
+    """The columns of a seating against restaurants as dictionaries, over sparse pairs."""
+    r = np.random.default_rng(4)
+    words, leaves = 40, 64
+    far = leaves // lm.NEAR
+    pairs = np.sort(np.unique(np.concatenate((np.arange(words) * leaves, r.integers(0, words * leaves, 300)))))
+    state = lm.Seating(pairs, r.integers(0, 6, len(pairs)), leaves)
+    g = lm.Globals(state.totals())
+    state.sweep(g, [lm.stirling(lm.EXACT, d) for d in g.discounts], r)
+    seats = collections.defaultdict(dict)  # restaurant -> word -> (customers, tables)
+    for pair, c, t in zip(pairs.tolist(), state.count.tolist(), state.t2.tolist()):
+        seats[2, pair % leaves][pair // leaves] = (c, t)
+    for level, parent in ((2, lambda u: (1, u // far)), (1, lambda u: (0, 0))):
+        tables = collections.defaultdict(int)
+        for (at, u), dishes in list(seats.items()):
+            for w, (_, t) in dishes.items() if at == level else ():
+                tables[parent(u), w] += t
+        own = {1: {(int(k), int(w)): int(t) for k, w, t in zip(state.near, state.mid_word, state.t1)}, 0: {(0, w): int(t) for w, t in enumerate(state.t0)}}[level - 1]
+        for ((at, u), w), c in tables.items():
+            seats[at, u][w] = (c, own[u, w])
+
+    def probability(level, u, w):
+        if level < 0:
+            return 1 / (g.v + 1)
+        dishes, d = seats[level, u], g.discounts[level]
+        c, t = dishes.get(w, (0, 0))
+        all_c, all_t = sum(x for x, _ in dishes.values()), sum(x for _, x in dishes.values())
+        up = probability(level - 1, u // far if level == 2 else 0, w)
+        return (c - d * t + (lm.STRENGTH + d * all_t) * up) / (lm.STRENGTH + all_c)
+
+    assert np.allclose(state.predictive(g), [probability(2, x % leaves, x // leaves) for x in pairs.tolist()], rtol=1e-12)
+
+
+def test_lm_contexts_are_words():
+    words = [f"w{i}x" for i in range(40)]  # one class by their last bytes would not tell these apart
+    texts = [lm.word_ids(f"{w} same".encode()) for w in words]
+    ids = np.concatenate(texts)
+    first = np.arange(0, len(ids), 3)
+    leaf = lm.contexts(ids, first, 1 << 16)
+    assert len(set(leaf[1::3].tolist())) == 40 and len(set(leaf[2::3].tolist())) == 1 and set(leaf[first].tolist()) == {0}
+    assert lm.restaurants(0) == 16 and lm.restaurants(10**8) == 1 << 14 and lm.restaurants(10**12) == 1 << 20
+
+
+def test_lm_twice_seen_texts_and_longer_chains(spark, monkeypatch):
+    """Texts that occur twice are likelier than others of the same words, and twice as many
+    sweeps leave the held-out score where it is."""
+    r = random.Random(5)
+    vocabulary = [f"{chr(97 + i % 26)}{i}{chr(97 + i % 7)}" for i in range(400)]
+    texts = [" ".join(r.choices(vocabulary, k=60)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, texts[i % 380]) for i in range(400)], "doc_id bigint, text string")
+    got = {x.doc_id: x for x in lm.score(docs).collect()}
+    seen = lambda i: not got[i].held_out
+    twice = [got[i].score for i in range(20) if seen(i) and seen(i + 380)]
+    once = [got[i].score for i in range(20, 380) if seen(i)]
+    assert min(twice) > max(once)
+    monkeypatch.setattr(lm, "BURN", 4)
+    monkeypatch.setattr(lm, "SAMPLES", 6)
+    longer = sum(x.score for x in lm.score(docs).collect() if x.held_out)
+    assert abs(longer / sum(x.score for x in got.values() if x.held_out) - 1) < 0.005
+
+
 def test_lm_table_draws_follow_the_conditional():
     theta, d, other, p, c = 1.0, 0.6, 4.0, 0.2, 5
     log = lm.stirling(lm.EXACT, d)
