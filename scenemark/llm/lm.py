@@ -29,12 +29,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenemark.session import scratch, stored
+from scenemark.session import stored
 
 #: Classes of the word before.
 NEAR = 8
 #: Bytes of text per bucket of words.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 CHUNK_TOKENS = 2_000_000
 #: Customers of a dish up to which the number of its tables is drawn exactly.
 EXACT = 64
@@ -42,7 +42,7 @@ BURN, SAMPLES = 2, 3
 STRENGTH = 1.0
 SEED = 7
 END = xxhash.xxh64_intdigest(b"end of text") & ~15  # holds spaces, so no word has these bytes
-WORDS = 400_000
+WORDS = 200_000
 
 
 # --- packing --------------------------------------------------------------------------------
@@ -169,28 +169,31 @@ def _chunks(buckets: int, leaves: int):
 
 
 def _merge(leaves: int):
-    """Pairs of a bucket over all chunks, and for every chunk where its pairs are among them."""
+    """One row per bucket: its pairs over all chunks, their counts and totals, and for every
+    chunk where its pairs are among them."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for r in rows.itertuples():
             pairs = np.cumsum(_unpack(r.pair), dtype=np.int64)
             words = np.cumsum(_unpack(r.word, "<u8"), dtype=np.uint64)
-            parts.append((words[pairs // leaves], pairs % leaves, _unpack(r.count)))
-        words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        pairs, pair = np.unique(word * leaves + np.concatenate([p[1] for p in parts]), return_inverse=True)
-        count = np.bincount(pair, np.concatenate([p[2] for p in parts]), len(pairs)).astype(np.int64)
+            parts.append((words[pairs // leaves], (pairs % leaves).astype(np.uint32), _unpack(r.count)))
+        bucket, chunks = int(rows["bucket"].iloc[0]), rows["chunk"].tolist()
         ends = np.cumsum([len(p[0]) for p in parts])
-        places = [_pack(_steps(pair[e - len(p[0]) : e])) for p, e in zip(parts, ends)]
-        bucket = int(rows["bucket"].iloc[0])
-        made = [(bucket, -1, _pack(_steps(pairs)), _pack(count, "<i8"), None, *_sparse(Seating(pairs, count, leaves).totals()))]
-        made += [(bucket, int(c), p, None, None, None, None) for c, p in zip(rows["chunk"], places)]
-        return pd.DataFrame(made, columns=["bucket", "chunk", "a", "b", "c", "at", "x"])
+        leaf, count = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        del parts, words
+        pairs, pair = np.unique(word * leaves + leaf, return_inverse=True)
+        count = np.bincount(pair, count, len(pairs)).astype(np.int64)
+        places = [_pack(_steps(found)) for found in np.split(pair, ends[:-1])]
+        del word, leaf, pair
+        made = (bucket, _pack(_steps(pairs)), _pack(count, "<i8"), *_sparse(Seating(pairs, count, leaves).totals()), chunks, places)
+        return pd.DataFrame([made], columns=["bucket", "pairs", "count", "at", "x", "chunks", "places"])
 
     return run
 
 
-MERGED = "bucket int, chunk long, a binary, b binary, c binary, at binary, x binary"
+MERGED = "bucket int, pairs binary, count binary, at binary, x binary, chunks array<bigint>, places array<binary>"
 
 
 def _sparse(totals: np.ndarray) -> tuple[bytes, bytes]:
@@ -326,47 +329,54 @@ class Seating:
         g.tables[0] = g.tables[0] + (self.t0.sum() - before)
 
 
-def _state(row, leaves: int) -> tuple[np.ndarray, np.ndarray, int]:
-    return np.cumsum(_unpack(row.a), dtype=np.int64), _unpack(row.b, "<i8"), leaves
+def _burnt(batch: pa.RecordBatch, k: int, sums: np.ndarray, leaves: int, seed: int):
+    """Seating of a batch's bucket after the first sweeps, always the same, and its discounts."""
+    bucket, pairs, count = (batch.column(c)[k].as_py() for c in ("bucket", "pairs", "count"))
+    state, g = Seating(np.cumsum(_unpack(pairs), dtype=np.int64), _unpack(count, "<i8"), leaves), Globals(sums)
+    logs, rng = [stirling(EXACT, d) for d in g.discounts], np.random.default_rng([seed, 1, bucket])
+    for _ in range(BURN):
+        state.sweep(g, logs, rng)
+    return bucket, state, g.discounts, logs
 
 
-def _burn(sums: np.ndarray, leaves: int, sweeps: int, seed: int):
-    def run(frames):
-        for rows in frames:
-            made = []
-            for r in rows.itertuples():
-                g, state = Globals(sums), Seating(*_state(r, leaves))
-                logs = [stirling(EXACT, d) for d in g.discounts]
-                rng = np.random.default_rng([seed, 1, r.bucket])
-                for _ in range(sweeps):
-                    state.sweep(g, logs, rng)
-                made.append((r.bucket, -2, _pack(state.t0, "<i8"), _pack(state.t1, "<i8"), _pack(state.t2, "<i8"), *_sparse(state.totals())))
-            yield pd.DataFrame(made, columns=["bucket", "chunk", "a", "b", "c", "at", "x"])
+def _burn(sums: np.ndarray, leaves: int, seed: int):
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                _, state, _, _ = _burnt(batch, k, sums, leaves, seed)
+                at, x = _sparse(state.totals())
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([x])], names=["at", "x"])
 
     return run
 
 
-def _answer(sums: np.ndarray, discounts: list[float], leaves: int, samples: int, seed: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(rows["bucket"].iloc[0])
-        first = lambda kind: next(rows[rows["chunk"] == kind].itertuples())
-        t = first(-2)
-        state = Seating(*_state(first(-1), leaves), [_unpack(x, "<i8") for x in (t.a, t.b, t.c)])
-        g = Globals(sums, discounts)
-        logs = [stirling(EXACT, d) for d in g.discounts]
-        rng = np.random.default_rng([seed, 2, bucket])
+ANSWERS = "chunk long, bucket int, score binary, known binary, each binary"
+
+
+def _answer(start: np.ndarray, now: np.ndarray, leaves: int, samples: int, seed: int):
+    """Scores for every chunk.  The first sweeps are repeated, which is cheaper than moving the
+    tables that they left; ``now`` has the totals after them."""
+
+    def bucket_scores(batch: pa.RecordBatch, k: int):
+        bucket, state, discounts, logs = _burnt(batch, k, start, leaves, seed)
+        g, rng = Globals(now, discounts), np.random.default_rng([seed, 2, bucket])
         mean = np.zeros(len(state.count))
         for _ in range(samples):
             state.sweep(g, logs, rng)
             mean += state.predictive(g) / samples
-        score = np.log10(mean)
         known = np.bincount(state.word, state.count, state.words).astype(np.int64)
-        made = []
-        for r in rows[rows["chunk"] >= 0].itertuples():
-            at = np.cumsum(_unpack(r.a), dtype=np.int64)
-            words, each = np.unique(state.word[at], return_counts=True)
-            made.append((r.chunk, bucket, _pack(score[at], "<f8"), _pack(known[words], "<i8"), _pack(each)))
-        return pd.DataFrame(made, columns=["chunk", "bucket", "score", "known", "each"])
+        return bucket, np.log10(mean), known, state.word
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                bucket, score, known, word = bucket_scores(batch, k)
+                for chunk, place in zip(batch.column("chunks")[k].as_py(), batch.column("places")[k]):
+                    at = np.cumsum(_unpack(place.as_py()), dtype=np.int64)
+                    words, each = np.unique(word[at], return_counts=True)
+                    row = [chunk], [bucket], [_pack(score[at], "<f8")], [_pack(known[words], "<i8")], [_pack(each)]
+                    kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["chunk", "bucket", "score", "known", "each"])
 
     return run
 
@@ -434,17 +444,11 @@ def score(docs: DataFrame, key: str = "doc_id", train: Column | None = None, buc
     fields = f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<bigint>, pairs binary, {slices}"
     chunks = stored(given.mapInArrow(_chunks(buckets, leaves), fields), "chunks")
     parts = chunks.select("chunk", F.explode("slices").alias("s")).select("chunk", "s.*")
-    path = scratch(docs.sparkSession, "merged")
-    merged = parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_merge(leaves), MERGED)
-    merged.withColumn("kind", (F.col("chunk") < 0).cast("int")).write.partitionBy("kind").parquet(path)
-    read = lambda n: docs.sparkSession.read.schema(f"{MERGED}, kind int").parquet(path).filter(F.col("kind") == n).drop("kind")
-    start = _summed(read(1), leaves)
-    burnt = stored(read(1).mapInPandas(_burn(start, leaves, BURN, SEED), MERGED), "burnt")
-    now = _summed(burnt, leaves)
+    merged = stored(parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_merge(leaves), MERGED), "merged")
+    start = _summed(merged, leaves)
+    now = _summed(merged.select("bucket", "pairs", "count").mapInArrow(_burn(start, leaves, SEED), "at binary, x binary"), leaves)
     g = Globals(start)
-    together = read(1).unionByName(read(0)).unionByName(burnt).drop("at", "x")
-    answer = _answer(now, g.discounts, leaves, SAMPLES, SEED)
-    answers = together.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, score binary, known binary, each binary")
+    answers = merged.drop("at", "x").mapInArrow(_answer(start, now, leaves, SAMPLES, SEED), ANSWERS)
     out = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     whole = chunks.select("chunk", "keys", "held", "sizes", "pairs").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return whole.applyInPandas(_finish(g.n, g.v), out).withColumnRenamed("k", key)
