@@ -35,7 +35,7 @@ from scenemark.session import stored
 NEAR = 8
 #: Bytes of text per bucket of words.
 BUCKET_BYTES = 6 << 20
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Customers of a dish up to which the number of its tables is drawn exactly.
 EXACT = 64
 BURN, SAMPLES = 2, 3
