@@ -6,7 +6,10 @@ Points are ``struct<x,y>``, boxes ``struct<min_x,max_y,max_x,min_y>`` with y upw
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,30 +199,77 @@ def spiral_radius(theta: Column, r0, growth, params) -> Column:
     return _c(r0) + (_c(growth) + F.get(p, 0) * F.sin(F.get(p, 1) * theta + F.get(p, 2))) * theta
 
 
+def _spiral_angles(max_theta: Column, r0, growth, params) -> list[Column]:
+    p = _c(params)
+    return [c.cast("double") for c in (_c(r0), _c(growth), F.get(p, 0), F.get(p, 1), F.get(p, 2), max_theta)]
+
+
+def _radii(theta: np.ndarray, r0, growth, wave, freq, phase) -> np.ndarray:
+    """``spiral_radius`` of every row (first axis) at its angles (second axis)."""
+    col = lambda v: v[:, None]
+    return col(r0) + (col(growth) + col(wave) * np.sin(col(freq) * theta + col(phase))) * theta
+
+
+def _spirals(values: tuple[pd.Series, ...], width: int, fill) -> pd.DataFrame:
+    """``fill(arrays)``, one row of ``width`` numbers per spiral, for the rows that hold one; the
+    samples of a few hundred spirals are in memory at once."""
+    v = np.stack([c.to_numpy("float64", na_value=np.nan) for c in values])
+    out = np.full((v.shape[1], width), np.nan)
+    have = np.flatnonzero(~np.isnan(v).any(0))
+    for k in range(0, len(have), 256):
+        some = have[k : k + 256]
+        out[some] = fill(*v[:, some])
+    return pd.DataFrame(out)
+
+
+def _spiral_reach(samples: int):
+    @F.pandas_udf("struct<min_x:double,max_y:double,max_x:double,min_y:double>")
+    def reach(r0: pd.Series, growth: pd.Series, wave: pd.Series, freq: pd.Series, phase: pd.Series, end: pd.Series) -> pd.DataFrame:
+        def fill(r0, growth, wave, freq, phase, end):
+            th = np.arange(samples) * (end / float(samples - 1))[:, None]
+            r = _radii(th, r0, growth, wave, freq, phase)
+            x, y = r * np.cos(th), r * np.sin(th)
+            return np.stack([x.min(1), y.max(1), x.max(1), y.min(1)], 1)
+
+        return _spirals((r0, growth, wave, freq, phase, end), 4, fill).set_axis(["min_x", "max_y", "max_x", "min_y"], axis=1)
+
+    return reach
+
+
 def spiral_box(center, r0, growth, params, max_theta, samples: int = 1000) -> Column:
-    """Box of ``samples`` points along the spiral, in one pass over the angles."""
-    c, step = _c(center), _c(max_theta) / float(samples - 1)
+    """Box of ``samples`` points along the spiral.  Their extremes around the origin are found for
+    a batch of spirals at a time; adding the centre keeps the order of the sums."""
+    c, known = _c(center), _spiral_angles(_c(max_theta), r0, growth, params)
+    whole = reduce(lambda a, b: a & b, [v.isNotNull() for v in known])
+    return let(
+        F.when(whole, _spiral_reach(samples)(*known)),
+        lambda e: box(c["x"] + e["min_x"], c["y"] + e["max_y"], c["x"] + e["max_x"], c["y"] + e["min_y"]),
+    )
 
-    def at(i):
-        # written out twice: two sines cost less than binding the radius of every sample
-        th = i * step
-        r = spiral_radius(th, r0, growth, params)
-        return pt(c["x"] + r * F.cos(th), c["y"] + r * F.sin(th))
 
-    return let(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), at), bbox)
+def _simpson(intervals: int):
+    @F.pandas_udf("double")
+    def total(r0: pd.Series, growth: pd.Series, wave: pd.Series, freq: pd.Series, phase: pd.Series, end: pd.Series) -> pd.Series:
+        def fill(r0, growth, wave, freq, phase, end):
+            start = np.maximum(0.0, end - TAU)
+            h = (end - start) / float(intervals)
+            i = np.arange(intervals + 1)
+            weight = np.where((i == 0) | (i == intervals), 1.0, np.where(i % 2 == 1, 4.0, 2.0))
+            th = start[:, None] + i * h[:, None]
+            terms = weight * 0.5 * np.square(_radii(th, r0, growth, wave, freq, phase))
+            # added one after the other, as a fold over the intervals does
+            return (np.cumsum(terms, 1)[:, -1] * h / 3.0)[:, None]
 
+        return _spirals((r0, growth, wave, freq, phase, end), 1, fill)[0]
 
-def spiral_area(r0, growth, params, max_theta, intervals: int = 200) -> Column:
-    """½∫r² over the last turn by Simpson's rule."""
-    end = _c(max_theta)
-    start = F.greatest(F.lit(0.0), end - TAU)
-    h = (end - start) / float(intervals)
+    return total
 
-    def term(i):
-        w = F.when((i == 0) | (i == intervals), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        return w * 0.5 * F.pow(spiral_radius(start + i * h, r0, growth, params), F.lit(2.0))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(intervals)), F.lit(0.0), lambda acc, i: acc + term(i)) * h / 3.0
+def spiral_area(r0, growth, params, max_theta, intervals: int = 200) -> Column:
+    """½∫r² over the last turn by Simpson's rule."""
+    known = _spiral_angles(_c(max_theta), r0, growth, params)
+    whole = reduce(lambda a, b: a & b, [v.isNotNull() for v in known])
+    return F.when(whole, _simpson(intervals)(*known))
 
 
 # --- boxes ---------------------------------------------------------------------------
@@ -408,6 +458,11 @@ def _star_ring(s: Column) -> Column:
     )
 
 
+def _spiral_end(s: Column) -> Column:
+    """Last angle of spirals only: no other shape is sampled."""
+    return F.when(s["type"] == "spiral", s["max_theta"])
+
+
 def shape_center(s: Column) -> Column:
     t = s["type"]
     poly = let(polygon_centroid(s["points"]), lambda c: pt(c["x"], c["y"]))
@@ -426,7 +481,7 @@ def shape_box(s: Column) -> Column:
         .when(t == "ellipse", ellipse_box(s["center"], s["major_axis"], s["minor_axis"], F.coalesce(s["rotation"], F.lit(0.0))))
         .when(t == "sector", sector_box(s["center"], s["radius"], s["start_angle"], s["end_angle"]))
         .when(t == "star", let(_star_ring(s), bbox))
-        .when(t == "spiral", spiral_box(s["center"], s["initial_radius"], s["growth_rate"], s["sin_params"], s["max_theta"]))
+        .when(t == "spiral", spiral_box(s["center"], s["initial_radius"], s["growth_rate"], s["sin_params"], _spiral_end(s)))
     )
 
 
@@ -438,7 +493,7 @@ def shape_area(s: Column) -> Column:
         .when(t == "ellipse", ellipse_area(s["major_axis"], s["minor_axis"]))
         .when(t == "sector", sector_area(s["radius"], s["start_angle"], s["end_angle"]))
         .when(t == "star", let(_star_ring(s), polygon_area))
-        .when(t == "spiral", spiral_area(s["initial_radius"], s["growth_rate"], s["sin_params"], s["max_theta"]))
+        .when(t == "spiral", spiral_area(s["initial_radius"], s["growth_rate"], s["sin_params"], _spiral_end(s)))
     )
 
 
