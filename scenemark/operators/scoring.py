@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenemark import dims
 from scenemark.functions import answers as A
-from scenemark.functions.ngrams import ngrams, tokens
+from scenemark.functions.ngrams import tokens
 from scenemark.functions.numeric import rnd
 from scenemark.functions.rnd import _c
 from scenemark.operators.sampling import hash_rank
@@ -412,24 +415,49 @@ def ensemble_requery(
     )
 
 
+def _shared_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch of (own text, its references, lengths) the sums that BLEU-4 takes: shared
+    and own n-grams of one to four tokens, and lengths.  One row's n-grams are held at a time."""
+
+    def grams(words: list[str], n: int) -> Counter:
+        return Counter(zip(*[words[k:] for k in range(n)]))
+
+    for batch in batches:
+        met, total = [0] * 4, [0] * 4
+        for texts in batch.column("texts").to_pylist():
+            own, *others = [t.split(" ") if t else [] for t in texts or [None]]
+            for n in range(1, 5):
+                have = grams(own, n)
+                if not have:
+                    break
+                total[n - 1] += len(own) - n + 1
+                most: dict = {}
+                for other in others:
+                    for g, c in grams(other, n).items():
+                        if g in have and c > most.get(g, 0):
+                            most[g] = c
+                met[n - 1] += sum(min(c, have[g]) for g, c in most.items())
+        sizes = [sum(x or 0 for x in batch.column(c).to_pylist()) for c in ("hl", "rl")]
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in [*met, *total, *sizes]], names=_BLEU_SUMS)
+
+
+_BLEU_SUMS = [*[f"m{n}" for n in range(1, 5)], *[f"t{n}" for n in range(1, 5)], "hl", "rl"]
+
+
 def bleu4(df: DataFrame) -> DataFrame:
     """EVA-34: corpus BLEU-4 with brevity penalty; references is an array of texts.
 
     Texts move once, by row number; the n-grams of a row are then counted where they are, and
     only sums leave the tasks."""
-    texts = F.concat(F.array(tokens(F.col("hypothesis"))), F.transform("references", tokens))
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), texts.alias("_t")).repartition(work_partitions(df), "_row")
-    grams = rows.select("_row", F.posexplode("_t").alias("src", "words")).select("_row", "src", F.explode(ngrams(F.col("words"))).alias("g"))
-    counts = grams.groupBy("_row", "g.n", "g.gram", "src").agg(F.count(F.lit(1)).alias("c"))
-    side = lambda own: F.coalesce(F.max(F.when(own, F.col("c"))), F.lit(0))
-    met = counts.groupBy("_row", "n", "gram").agg(side(F.col("src") == 0).alias("h"), side(F.col("src") > 0).alias("r"))
-    total = lambda n, x: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0))
-    sums = met.agg(*[total(n, F.least("h", "r")).alias(f"m{n}") for n in range(1, 5)], *[total(n, F.col("h")).alias(f"t{n}") for n in range(1, 5)])
+    moved = df.select(F.monotonically_increasing_id().alias("_row"), "hypothesis", "references").repartition(work_partitions(df), "_row")
+    rows = moved.select(F.concat(F.array(tokens(F.col("hypothesis"))), F.transform("references", tokens)).alias("_t"))
     sizes = F.transform("_t", lambda t: F.size(t))
     own = F.get(sizes, 0)
     near = F.array_min(F.transform(F.slice(sizes, F.lit(2), F.size(sizes)), lambda k: F.struct(F.abs(k - own).alias("gap"), k.alias("size"))))
-    lengths = rows.select(own.alias("hl"), near["size"].alias("rl")).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("hl", "rl")])
-    sums = sums.crossJoin(lengths)
+    # no token holds a blank
+    texts = rows.select(F.transform("_t", lambda t: F.array_join(t, " ")).alias("texts"), own.alias("hl"), near["size"].alias("rl"))
+    parts = texts.mapInArrow(_shared_grams, ", ".join(f"{c} long" for c in _BLEU_SUMS))
+    sums = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _BLEU_SUMS])
     logs = reduce(lambda a, b: a + b, [F.log(F.try_divide(F.col(f"m{k}"), F.col(f"t{k}"))) for k in range(1, 5)])
     dead = reduce(lambda a, b: a | b, [F.col(f"m{k}") == 0 for k in range(1, 5)])
     bp = F.when(F.col("hl") < F.col("rl"), F.exp(1 - F.try_divide(F.col("rl"), F.col("hl")))).otherwise(1.0)
