@@ -80,6 +80,31 @@ def test_shape_context_bound_and_scale():
     assert far[1] == pytest.approx(0, abs=1e-6) and (m.pivot(items[0], items) <= far + 1e-12).all()
 
 
+@pytest.mark.parametrize("metric,most", [(N.Hausdorff(), 0.1), (N.ShapeContext(), 0.5)])
+def test_block_bounds_leave_few_pairs_to_compare(monkeypatch, metric, most):
+    """Bounds never exceed distances, and only few of a block's objects are compared in full."""
+    rng = np.random.default_rng(4)
+    items = [metric.item(p.ravel()) for p in rng.normal(0.5, 0.125, (1500, 32, 2))]
+    metric.fit(items[:256])
+    block, queries = metric.block(items[:1400]), items[1400:1410]
+    bounds, exact, compared = metric.bounds(block), metric.exact, []
+    monkeypatch.setattr(metric, "exact", lambda item, some, bound: compared.append(len(some)) or exact(item, some, bound), raising=False)
+    for q in queries:
+        far = exact(q, block, np.inf)
+        assert (metric.least(q, bounds, np.inf) <= far + 1e-9).all()
+        third = np.sort(far)[2]
+        where, best = N._best(metric, 3, q, np.zeros(1), third, block, np.zeros((1400, 1)), bounds)
+        assert sorted(where.tolist()) == sorted(np.argsort(far)[:3].tolist()) and best.max() == pytest.approx(third)
+    assert sum(compared) < most * len(queries) * len(block)
+
+
+def test_many_assignments_at_once():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 8, 11):
+        costs = rng.random((6, n, n)).round(2)
+        assert N.assigned(costs) == pytest.approx([N.assign(c) for c in costs])
+
+
 def greedy(pairs):
     gone = set()
     for i, j, a, b in sorted(pairs):
