@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenemark.session import stored
+from scenemark.session import small_batches, stored
 
 #: Classes of the word before.
 NEAR = 8
 #: Bytes of text per bucket of words.
 BUCKET_BYTES = 6 << 20
 CHUNK_TOKENS = 1_000_000
+#: Texts that reach Python at once.
+TEXTS = 250
 #: Customers of a dish up to which the number of its tables is drawn exactly.
 EXACT = 64
 BURN, SAMPLES = 2, 3
@@ -110,13 +112,21 @@ def _chunk(texts: list[np.ndarray], train: np.ndarray, buckets: int, leaves: int
     starts = np.concatenate(([0], np.cumsum(sizes)))
     ids = np.concatenate(texts)
     words, word = np.unique(ids, return_inverse=True)
-    pairs, pair = np.unique(word * leaves + contexts(ids, starts[:-1], leaves), return_inverse=True)
+    word *= leaves
+    word += contexts(ids, starts[:-1], leaves)
+    del ids  # arrays as long as the chunk go as soon as they can
+    pairs, pair = np.unique(word, return_inverse=True)
+    del word
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.sort(doc * len(pairs) + pair)
-    within = order - doc * len(pairs)
+    count = np.bincount(pair[train[doc]], minlength=len(pairs))
+    doc *= len(pairs)
+    pair += doc
+    pair.sort()
+    within = pair
+    within -= doc
+    del doc
     move = _steps(within)
     move[starts[:-1]] = within[starts[:-1]]  # every document starts anew
-    count = np.bincount(pair[train[doc]], minlength=len(pairs))
     at = pairs // leaves
     home = _bucket(words, buckets)
     slices = []
@@ -442,11 +452,13 @@ def score(docs: DataFrame, key: str = "doc_id", train: Column | None = None, buc
     given = docs.select("text", F.col(key).alias("k"), (trained_on(key) if train is None else train).alias("train"))
     slices = "slices array<struct<bucket:int,word:binary,pair:binary,count:binary>>"
     fields = f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<bigint>, pairs binary, {slices}"
-    chunks = stored(given.mapInArrow(_chunks(buckets, leaves), fields), "chunks")
+    with small_batches(docs.sparkSession, TEXTS):
+        chunks = stored(given.mapInArrow(_chunks(buckets, leaves), fields), "chunks")
     parts = chunks.select("chunk", F.explode("slices").alias("s")).select("chunk", "s.*")
     merged = stored(parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_merge(leaves), MERGED), "merged")
     start = _summed(merged, leaves)
-    now = _summed(merged.select("bucket", "pairs", "count").mapInArrow(_burn(start, leaves, SEED), "at binary, x binary"), leaves)
+    with small_batches(docs.sparkSession, 1):  # a row is a whole bucket
+        now = _summed(merged.select("bucket", "pairs", "count").mapInArrow(_burn(start, leaves, SEED), "at binary, x binary"), leaves)
     g = Globals(start)
     answers = merged.drop("at", "x").mapInArrow(_answer(start, now, leaves, SAMPLES, SEED), ANSWERS)
     out = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -109,3 +109,29 @@ def test_runs_beside_each_other_keep_their_tables(spark, small):
     one = stages["exact dedup"](spark, docs, small)
     corpus_pipeline.run(spark, small).count()
     assert one.count() and mine.count() == docs.count()
+
+
+def test_op10_reads_texts_in_small_batches(spark, monkeypatch):
+    """No more than ``TEXTS`` texts are on their way to Python at once, and the session's own
+    setting is back afterwards."""
+    from scenemark.llm import lm
+
+    name, made = "spark.sql.execution.arrow.maxRecordsPerBatch", lm._chunks
+
+    def checked(*args):
+        run = made(*args)
+
+        def only(batches):
+            for batch in batches:
+                if batch.num_rows > 7:
+                    raise ValueError(f"{batch.num_rows} texts at once")
+                yield batch
+
+        return lambda batches: run(only(batches))
+
+    monkeypatch.setattr(lm, "_chunks", checked)
+    monkeypatch.setattr(lm, "TEXTS", 7, raising=False)
+    before = spark.conf.get(name, None)
+    docs = spark.createDataFrame([(i, "some words of a text " * (i % 5)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    rows = lm.score(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(60)) and spark.conf.get(name, None) == before
