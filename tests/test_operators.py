@@ -226,6 +226,32 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
+def test_stream_state_needs_no_python(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema, key = "model string, image_id long, response string", ("model", "image_id")
+    (tmp_path / "in").mkdir()
+
+    def drop(name, keys):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"model": m, "image_id": i, "response": name}) for m, i in keys))
+
+    def run(checkpoint):
+        q = stream_predictions(spark, src, out, str(tmp_path / checkpoint), schema, key, 1)
+        q.awaitTermination()
+        return {o.operatorName for p in q.recentProgress for o in p.stateOperators}
+
+    drop("a.json", [("m", 1), ("m", None), (None, 1), ("m", 1), ("null", 1)])
+    drop("b.json", [("m", 2), ("m", None)])
+    assert run("ck") == {"dedupe"}
+    drop("c.json", [(None, 1), ("m", None), (None, None), ("m", 2), ("m", 3)])  # and the checkpoint is lost
+    run("ck2")
+    drop("d.json", [("m", 3), ("m", 4), (None, None)])
+    run("ck2")
+    rows = read_sink(spark, out, schema).collect()
+    got = Counter((r["model"], r["image_id"]) for r in rows)
+    assert got == Counter([("m", 1), ("m", None), (None, 1), ("null", 1), ("m", 2), (None, None), ("m", 3), ("m", 4)])
+    assert {r["response"] for r in rows if r["image_id"] == 4} == {"d.json"}
+
+
 def test_read_any_rejects_other_suffixes(spark):
     with pytest.raises(ValueError):
         Rd.read_any(spark, "x.xml", "a int")
