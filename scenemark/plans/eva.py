@@ -8,8 +8,9 @@ from scenemark import dims
 from scenemark.functions import answers as A
 from scenemark.functions.numeric import rnd
 from scenemark.operators import scoring as S
-from scenemark.plans.fixtures import ctes, frame
+from scenemark.plans.fixtures import IMAGE, Spark, ctes, frame, measure_text, spelled
 from scenemark.plans.registry import query
+from scenemark.session import work_partitions
 
 W = r"[^\p{L}\p{M}\p{N}_]"  # a non-word character for RE2
 LAST_LETTER = rf"nullif(regexp_extract(response, '(?s)^(?:.*{W})?([ABCD])(?:{W}.*)?$', 1), '')"
@@ -186,10 +187,14 @@ def _phrases(k1: str, k2: str, duck: bool) -> str:
     return f"concat({nth(_DEV, k1)}, ' ', {nth(_HW, k2)}, ', ', {nth(_AX, f'({k1} + {k2}) % 8')})"
 
 
-def _phrase_select(duck: bool) -> str:
+def _phrase_pair(duck: bool) -> str:
     o = _phrases("l_partkey % 8", "(l_suppkey + l_linenumber) % 8", duck)
     r = _phrases("l_suppkey % 8", "(l_partkey + l_linenumber) % 8", duck)
-    return f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {o} AS o, {r} AS r FROM " + ("lineitem" if duck else "{lineitem}")
+    return f"{o} AS o, {r} AS r"
+
+
+def _phrase_select(duck: bool) -> str:
+    return f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_phrase_pair(duck)} FROM " + ("lineitem" if duck else "{lineitem}")
 
 
 def phrases(t):
@@ -274,10 +279,14 @@ _FEATS = ["length", "chomata", "axis_shape", "size"]
 
 
 def _features(t):
-    m, p = frame(t, "measure_text", heavy=True), phrases(t)
+    # the phrases follow from the key: both texts are written on the line item, where it is moved to
     key = _LK.split(", ")
+    lines = t.lineitem.select(*key, "l_quantity").dropna(subset=key)
+    moved = lines.repartition(work_partitions(lines), F.expr(spelled(IMAGE)))
+    text = spelled(measure_text(Spark)).replace("FROM {lineitem}", f", {_phrase_pair(False)} FROM {{lineitem}}")
+    m = t.spark.sql(text, lineitem=moved)
     # line items may repeat a key: one image per key
-    j = m.join(p, key).groupBy("image").agg(*[F.min(c).alias(c) for c in ("out_text", "ref_text", "o", "r", "l_suppkey")])
+    j = m.groupBy("image").agg(*[F.min(c).alias(c) for c in ("out_text", "ref_text", "o", "r", "l_suppkey")])
     long = lambda texts: j.select(
         "image",
         F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(c).alias("text")) for f, c in zip(_FEATS, texts)])).alias("x"),

@@ -59,6 +59,9 @@ def _list(d, xs) -> str:
 # unique per line; keeps line order inside an order
 SEQ = "(cast(l_linenumber as bigint) * 400000000000000000 + l_partkey * 10000000 + l_suppkey)"
 
+#: image of a line item
+IMAGE = f"concat(cast(l_orderkey as varchar(20)), '_', cast({SEQ} as varchar(20)))"
+
 
 def shapes(d) -> str:
     """One shape per line item, one scene per order; coordinates are whole hundredths."""
@@ -151,7 +154,7 @@ def measure_text(d) -> str:
     q, q1 = "cast(cast(l_quantity as int) as varchar(8))", "cast(cast(l_quantity as int) + 1 as varchar(8))"
     return f"""
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-           concat(cast(l_orderkey as varchar(20)), '_', cast({SEQ} as varchar(20))) AS image,
+           {IMAGE} AS image,
            CASE l_linenumber % 6
              WHEN 0 THEN concat('near ', {q}, ' in the first, increasing to near ', {q1}, ' mm')
              WHEN 1 THEN concat('1:', {q}, '.5')
@@ -185,10 +188,14 @@ _TABLES = {
 }
 
 
+def spelled(text: str) -> str:
+    """Texts as Spark names their type."""
+    return text.replace("varchar(20)", "string").replace("varchar(8)", "string").replace("varchar(4)", "string")
+
+
 def frame(t: Tables, name: str, heavy: bool = False):
     """The derived input as a Spark DataFrame."""
-    text = globals()[name](Spark)
-    return t.sql(text.replace("varchar(20)", "string").replace("varchar(8)", "string").replace("varchar(4)", "string"), *_TABLES[name], heavy=heavy)
+    return t.sql(spelled(globals()[name](Spark)), *_TABLES[name], heavy=heavy)
 
 
 def sql(name: str) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scenemark import schemas
+from scenemark import dims, schemas
 from scenemark.functions import geometry as G
 from scenemark.operators import questions as Q
 from scenemark.operators import scenes as Sc
@@ -115,3 +115,25 @@ def test_profiles_do_not_depend_on_crowds(spark, monkeypatch):
     # small scenes: one move by scene; before, one by scene and type and one by scene
     monkeypatch.setattr(Q, "CROWD", 4096)
     assert plan_of(Q.profiles(df)).count("hashpartitioning(image_id") <= 3
+
+
+def test_rule_texts_move_once_by_image(spark):
+    rng = random.Random(5)
+    keys = [(i, f) for i in ("a", "b", "c", None) for f in ("length", "chomata", "axis_shape", "size", None)]
+    some = lambda words, n: [(*rng.choice(keys), rng.choice(words)) for _ in range(n)]
+    texts = ["about 3 mm", "2 to 4 mm", "massive, high", "axis straight", "", None]
+    out, ref, ratings = some(texts, 40), some(texts, 25), some([1.0, 2.0, None], 30) + [("z", "length", 3.0)]
+    frames = [spark.createDataFrame(rows, f"image string, feature string, {v}") for rows, v in ((ratings, "rating double"), (out, "text string"), (ref, "text string"))]
+    rules = [f for f in ("length", "chomata", "axis_shape", "size") if f in dims.RULE_FEATURES]
+    pairs = [(i, f, a, b) for i, f, a in out for j, g, b in ref if i is not None and (i, f) == (j, g) and f in rules]
+    flat = spark.createDataFrame(pairs, "image string, feature string, o string, r string")
+    rule = [r.v for r in flat.select(S.rule_rating("feature", F.col("o"), F.col("r")).alias("v")).collect()]
+    want = Counter()
+    for i, f, v in ratings:
+        met = [(b, x) for (j, g, _a, b), x in zip(pairs, rule) if (i, f) == (j, g)]
+        want.update((i, f, v if v is None or b is None else x) for b, x in met or [(None, None)])
+    got = S.apply_rule_scores(*frames)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    # frames that lie by image are joined where they are
+    lie = [f.repartition(4, "image").groupBy("image", "feature").agg(F.max(f.columns[2]).alias(f.columns[2])) for f in frames]
+    assert plan_of(S.apply_rule_scores(*lie)).count("Exchange") == 3
