@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scenemark.llm.segments import DOUBLE, Cache, pack, parts, slices
+from scenemark.llm.segments import Cache, pack, parts, slices
 from scenemark.session import work_partitions
 
 #: Fixed value: the split of the byte-level pre-tokenizer.
@@ -30,10 +30,41 @@ RUN = regex.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHER = [b for b in range(256) if b not in _PLAIN]
 BYTE_CHARS = [chr(b) if b in _PLAIN else chr(256 + _OTHER.index(b)) for b in range(256)]
+#: Two characters in a row that Python calls white space, as ``DOUBLE`` has it.
+SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: Distinct words that a worker keeps with their ids.
+WORDS = 600_000
+#: Bytes of text that are looked up together.
+TOGETHER = 6 << 20
 ROW_GROUP = 64 << 20
 PAGE_ROWS = 1000
 
 
+class Lookup:
+    """Words -> ids for a batch of distinct words at once, kept as Arrow columns: a tenth of a
+    dictionary's memory, and only new words are Python's.  When over ``most`` are held, or over 64
+    bytes of columns for each of so many, the half that came in the most batches stays; what goes costs time only."""
+
+    def __init__(self, encode, most: int = WORDS):
+        self.encode, self.most = encode, most
+        self.words, self.ids, self.uses = pa.array([], pa.string()), _lists([]), np.zeros(0, np.int32)
+
+    def __call__(self, found: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """(at, ids): word i has the ids ids[at[i]], none where ``encode`` has none."""
+        found = found.cast(pa.string())
+        if len(self.words) > self.most or self.words.nbytes + self.ids.nbytes > 64 * self.most:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.words) // 2])
+            self.words, self.ids, self.uses = self.words.take(pa.array(keep)), self.ids.take(pa.array(keep)), self.uses[keep] // 2
+        held = pc.index_in(found, self.words)
+        new = found.filter(held.is_null())
+        at = held.fill_null(0).to_numpy().copy()
+        at[np.asarray(held.is_null())] = len(self.words) + np.arange(len(new))
+        self.ids = pa.concat_arrays([self.ids, _lists(list(map(self.encode, _strings(new))))])
+        self.words, self.uses = pa.concat_arrays([self.words, new]), np.concatenate((self.uses, np.zeros(len(new), np.int32)))
+        self.uses[at] += 1
+        return at, self.ids
+
+
 class ByteTokens:
     """A byte-level BPE tokenizer of the tokenizers library, with cached segments."""
 
@@ -57,7 +88,8 @@ class ByteTokens:
         self.model = self.library.model
         self.tokens = Cache(self._token, 100_000)
         self.runs = Cache(self._run, 50_000)
-        self.words = Cache(self._word, 300_000)
+        self.words = Cache(self._word, 50_000)
+        self.lookup = Lookup(lambda stem: self._word(stem) if stem.isalpha() else b"")
         self.after = Cache(self._part, 50_000)
 
     def whole(self, text: str) -> bytes:
@@ -100,64 +132,77 @@ class ByteTokens:
             return b"".join(map(self.runs.__getitem__, RUN.findall(text)))
         return self.runs[cut[0]] + b"".join(map(self.after.__getitem__, cut[1:])) if cut[0] else b"".join(map(self.after.__getitem__, cut[1:]))
 
-    def looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(offsets, codes, ids): text i is the ids at codes[offsets[i]:offsets[i + 1]] in a row.
+    def looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        """(offsets, codes, ids): text i is the lists of ids at codes[offsets[i]:offsets[i + 1]] in a row.
 
         Every distinct part of the texts is looked up once; a text's first part, or the whole text
         where it cannot be cut, has an entry of its own."""
-        given = texts.to_pylist()
-        sound = [self.cuts and not any(s in t for s in self.special) and not DOUBLE.search(t) for t in given]
-        if not all(sound):
-            texts = pa.array([t if ok else "" for t, ok in zip(given, sound)], texts.type)
-        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        sound = pc.invert(pc.match_substring_regex(texts, SPACES))
+        for special in self.special:
+            sound = pc.and_not(sound, pc.match_substring(texts, special))
+        if not self.cuts:
+            sound = pa.array(np.zeros(len(texts), bool))
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(sound, texts, ""), "\n", " \n"), " ")
         offsets = np.asarray(cut.offsets).astype(np.int64)
         flat = cut.values
-        first = flat.take(pa.array(offsets[:-1])).to_pylist()
+        first = [self.runs[f] if f else b"" for f in flat.take(pa.array(offsets[:-1])).to_pylist()]
+        for i in np.flatnonzero(~np.asarray(sound)).tolist():
+            first[i] = self.encode(texts[i].as_py())
         coded = flat.dictionary_encode()
         codes = np.array(coded.indices)
         ids = self._distinct(coded.dictionary)
-        codes[offsets[:-1]] = len(ids) + np.arange(len(given))
-        return offsets, codes, ids + [(self.runs[f] if f else b"") if ok else self.encode(t) for t, f, ok in zip(given, first, sound)]
+        codes[offsets[:-1]] = len(ids) + np.arange(len(texts))
+        return offsets, codes, pa.concat_arrays([ids, _lists(first)])
 
-    def _distinct(self, found: pa.Array) -> list[bytes]:
-        """Ids of distinct parts; their words, without the marks after them, are looked up once."""
+    def _distinct(self, found: pa.Array) -> pa.ListArray:
+        """Ids of distinct parts: of their words, each looked up once, and of the marks after them."""
         stems = pc.utf8_rtrim(found, string.punctuation).dictionary_encode()
-        words = [self.words[w] if w.isalpha() else None for w in _strings(stems.dictionary)]
-        sizes = [len(w) for w in _strings(stems.dictionary)]
-        made = []
-        for part, at in zip(_strings(found), stems.indices.to_numpy().tolist()):
-            word = words[at]
-            if word is None:
-                made.append(self.after[part])
-            else:
-                marks = part[sizes[at] :]
-                made.append(word + self.tokens[marks] if marks else word)
-        return made
+        at, held = self.lookup(stems.dictionary)
+        at = at[stems.indices.to_numpy()]
+        size = np.asarray(pc.binary_length(found)) - np.asarray(pc.binary_length(stems.dictionary))[stems.indices.to_numpy()]
+        other = np.diff(held.offsets)[at] == 0
+        marked = np.flatnonzero((size > 0) & ~other)
+        made, codes = [b""], {}
+        after = np.zeros(len(found), np.int32)
+        for i, part, n in zip(marked.tolist(), _strings(found.take(pa.array(marked))), size[marked].tolist()):
+            marks = part[-n:]
+            if marks not in codes:
+                codes[marks] = len(made)
+                made.append(self.tokens[marks])
+            after[i] = codes[marks]
+        after[other] = len(made) + np.arange(other.sum())
+        made += map(self.after.__getitem__, _strings(found.filter(pa.array(other))))
+        pairs = np.stack([at, after + len(held)], axis=1).ravel()
+        taken = pa.concat_arrays([held, _lists(made)]).take(pa.array(pairs))
+        return pa.ListArray.from_arrays(taken.offsets.take(pa.array(np.arange(0, len(pairs) + 1, 2))), taken.values)
 
     def sizes(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of every text."""
         offsets, codes, ids = self.looked_up(texts)
-        return np.add.reduceat(_lengths(ids)[codes], offsets[:-1])
+        return np.add.reduceat(np.diff(ids.offsets).astype(np.int64)[codes], offsets[:-1])
 
     def encode_all(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids): the ids of every text followed by ``end``, one text after the other."""
         offsets, codes, ids = self.looked_up(texts)
         codes = np.insert(codes, offsets[1:], len(ids))
         offsets += np.arange(len(offsets))
-        ids.append(end)
-        length = _lengths(ids)
-        each = length[codes]
-        shift = (np.cumsum(length) - length)[codes] - (np.cumsum(each) - each)
-        table = np.frombuffer(b"".join(ids), np.int32)
-        return np.add.reduceat(each, offsets[:-1]), table[np.arange(each.sum()) + np.repeat(shift, each)]
+        taken = pa.concat_arrays([ids, _lists([end])]).take(pa.array(codes))
+        return np.diff(np.asarray(taken.offsets)[offsets].astype(np.int64)), np.asarray(taken.values)
 
 
 def _strings(found: pa.Array) -> list[str]:
     return found.to_numpy(zero_copy_only=False).tolist()
 
 
-def _lengths(ids: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """Packed ids as an Arrow list of ids each."""
+    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def give_back() -> None:
+    """Arrow's free memory goes back to the system: a worker lives on beside the next stages."""
+    pa.default_memory_pool().release_unused()
 
 
 _LOADED: dict[str, ByteTokens] = {}
@@ -174,8 +219,9 @@ def _counts(path: str):
     def run(batches):
         model = load(path)
         for batch in batches:
-            n = [model.sizes(texts) for texts in slices(batch.column(0))]
+            n = [model.sizes(texts) for texts in slices(batch.column(0), TOGETHER)]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *batch.columns[1:]], names=["n", *batch.schema.names[1:]])
 
     return run
@@ -197,7 +243,7 @@ def _rows(path: str, end_id: int):
         model = load(path)
         for batch in batches:
             done = 0
-            for texts in slices(batch.column(0)):
+            for texts in slices(batch.column(0), TOGETHER):
                 n, ids = model.encode_all(texts, end)
                 offsets = np.concatenate(([0], np.cumsum(n)))
                 yield pa.RecordBatch.from_arrays(
@@ -211,6 +257,7 @@ def _rows(path: str, end_id: int):
                     names=["doc_id", "block", "at", "n_tokens", "ids"],
                 )
                 at, done = at + int(offsets[-1]), done + len(n)
+            give_back()
 
     return run
 
@@ -260,6 +307,7 @@ def _crc(batches):
         values, at = np.asarray(lists.values), np.asarray(lists.offsets)
         sums = [zlib.crc32(values[a:b].astype("<i4", copy=False).tobytes()) for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), *batch.columns[1:]], names=["crc", *batch.schema.names[1:]])
+        give_back()
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,9 +6,11 @@ import time
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 
 import corpus_pipeline
 from scenemark.llm import language, pieces, secrets, tokens
+from scenemark.llm.segments import DOUBLE
 from scenemark.session import scratch_of, stored
 
 ODD = ["", None, "a", "  ", "a ", "\n", "x\n\ny", "a \nb", "é à", " lead", "tab\there", "<|endoftext|> x", "a\x1c b", "日本 語。", "a  b", "don't stop.", "x y", "…", "end\n", "a.b.,", "²½ Ⅷ"]
@@ -29,6 +31,32 @@ def test_batches_of_texts_equal_the_library():
     assert tokens.slices(pa.array([], pa.string())) == []
 
 
+def test_words_in_columns_equal_the_library():
+    """Words are given to the model once while they are held; dropping them, at any size, changes no id."""
+    path, r = public_tokenizers.path("byte_bpe_50k.json"), random.Random(5)
+    words = ["".join(r.choices("abcdeéñß日語", k=r.randint(1, 9))) for _ in range(400)] + ["", "x1", "\nab", "don't", "a" * 500]
+    texts = [" ".join(r.choice(words) + r.choice(["", "", ",", ".'", "…", "))"]) for _ in range(r.randint(0, 60))) for _ in range(300)] + ODD
+    library = tokens.ByteTokens(path).library
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (0, 1, 30, 600_000):
+        model, asked = tokens.ByteTokens(path), []
+        model.lookup = tokens.Lookup(lambda w, m=model, asked=asked: asked.append(w) or (m._word(w) if w.isalpha() else b""), most)
+        for again in range(2):
+            for kind in (pa.string(), pa.large_string()):
+                made = [model.encode_all(s, tokens.pack([0])) for s in tokens.slices(pa.array(texts, kind), 2000)]
+                assert [i for _, ids in made for i in ids.tolist()] == [i for ids in want for i in [*ids, 0]]
+                assert [n for sizes, _ in made for n in sizes.tolist()] == [len(ids) + 1 for ids in want]
+                assert [n for s in tokens.slices(pa.array(texts, kind), 2000) for n in model.sizes(s).tolist()] == [len(ids) for ids in want]
+        assert len(model.lookup.words) == len(model.lookup.ids) == len(model.lookup.uses)
+        assert most < 600_000 or len(asked) == len(set(asked)) == len(model.lookup.words)
+
+
+def test_white_space_in_runs_is_found_as_python_finds_it():
+    chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000] + ["\ufeff", "\U0001f600"]
+    found = pc.match_substring_regex(pa.array([f"a{c}{c}b" for c in chars]), tokens.SPACES).to_pylist()
+    assert found == [c.isspace() for c in chars] == [bool(DOUBLE.search(f"a{c}{c}b")) for c in chars]
+
+
 def test_letters_are_letters():
     for text in ("²", "½", "①", "Ⅷ", "_", "12", "", None, "² ½"):
         assert not language.has_letter(text)
