@@ -41,7 +41,7 @@ PAGE_ROWS = 1000
 
 
 class Lookup:
-    """Words -> ids for a batch of distinct words at once, kept as Arrow columns: a tenth of a
+    """Words -> ids for a batch of distinct words at once, kept as Arrow columns: less than a
     dictionary's memory, and only new words are Python's.  When over ``most`` are held, or over 64
     bytes of columns for each of so many, the half that came in the most batches stays; what goes costs time only."""
 
