@@ -14,7 +14,9 @@ A word and all its restaurants lie in one bucket, so a sweep moves nothing; betw
 the totals of the restaurants (two numbers each) are brought up to date.  Texts are read once:
 a chunk of documents becomes its distinct (word, context) pairs, sorted, with training counts,
 and the pairs of each document.  Pairs travel to their buckets and come back as scores, as packed
-columns of numbers.
+columns of numbers.  A frequent word's pairs come from every chunk: where a bucket would get more
+than ``ENTRIES``, its chunks are merged in parts, the parts' distinct pairs are united for the
+sweeps, and scores are looked up part by part.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ BUCKET_BYTES = 6 << 20
 CHUNK_TOKENS = 1_000_000
 #: Texts that reach Python at once.
 TEXTS = 250
+#: Pairs of chunks that are merged at once, on average at most.
+ENTRIES = 1_000_000
+#: Parts of a bucket whose scores are looked up by one task.
+TOGETHER = 4
 #: Customers of a dish up to which the number of its tables is drawn exactly.
 EXACT = 64
 BURN, SAMPLES = 2, 3
@@ -134,7 +140,8 @@ def _chunk(texts: list[np.ndarray], train: np.ndarray, buckets: int, leaves: int
         lo, hi = np.searchsorted(home, [b, b + 1])
         p, q = np.searchsorted(at, [lo, hi])
         slices.append({"bucket": int(b), "word": _pack(_steps(words[lo:hi]), "<u8"), "pair": _pack(_steps(pairs[p:q] - lo * leaves)), "count": _pack(count[p:q])})
-    return {"sizes": sizes.astype(np.int64), "pairs": _pack(move), "slices": slices}
+    homes, entries = np.unique(home[at], return_counts=True)
+    return {"sizes": sizes.astype(np.int64), "pairs": _pack(move), "slices": slices, "homes": homes, "entries": entries}
 
 
 def _chunks(buckets: int, leaves: int):
@@ -149,8 +156,9 @@ def _chunks(buckets: int, leaves: int):
             [
                 pa.array([number], pa.int64()), pa.ListArray.from_arrays(whole, keys), pa.ListArray.from_arrays(whole, pa.array(~train)),
                 pa.ListArray.from_arrays(whole, pa.array(made["sizes"])), pa.array([made["pairs"]]), pa.array([made["slices"]], pa.list_(slice_type)),
+                *[pa.array([made[k].tolist()], pa.list_(pa.int32())) for k in ("homes", "entries")],
             ],
-            names=["chunk", "keys", "held", "sizes", "pairs", "slices"],
+            names=["chunk", "keys", "held", "sizes", "pairs", "slices", "homes", "entries"],
         )
 
     def run(batches):
@@ -179,8 +187,8 @@ def _chunks(buckets: int, leaves: int):
 
 
 def _merge(leaves: int):
-    """One row per bucket: its pairs over all chunks, their counts and totals, and for every
-    chunk where its pairs are among them."""
+    """One row per bucket, or part of one: its pairs over all its chunks, their counts and totals,
+    and for every chunk where its pairs are among them.  A part has its words, and no totals."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -188,22 +196,56 @@ def _merge(leaves: int):
             pairs = np.cumsum(_unpack(r.pair), dtype=np.int64)
             words = np.cumsum(_unpack(r.word, "<u8"), dtype=np.uint64)
             parts.append((words[pairs // leaves], (pairs % leaves).astype(np.uint32), _unpack(r.count)))
-        bucket, chunks = int(rows["bucket"].iloc[0]), rows["chunk"].tolist()
+        bucket, part, of = (int(rows[k].iloc[0]) for k in ("bucket", "part", "of"))
+        chunks = rows["chunk"].tolist()
         ends = np.cumsum([len(p[0]) for p in parts])
         leaf, count = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
         words, word = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        del parts, words
+        del parts
         pairs, pair = np.unique(word * leaves + leaf, return_inverse=True)
         count = np.bincount(pair, count, len(pairs)).astype(np.int64)
         places = [_pack(_steps(found)) for found in np.split(pair, ends[:-1])]
         del word, leaf, pair
-        made = (bucket, _pack(_steps(pairs)), _pack(count, "<i8"), *_sparse(Seating(pairs, count, leaves).totals()), chunks, places)
-        return pd.DataFrame([made], columns=["bucket", "pairs", "count", "at", "x", "chunks", "places"])
+        known = _pack(_steps(words), "<u8") if of > 1 else None
+        totals = (None, None) if of > 1 else _sparse(Seating(pairs, count, leaves).totals())
+        made = (bucket, part, of, known, _pack(_steps(pairs)), _pack(count, "<i8"), *totals, chunks, places)
+        return pd.DataFrame([made], columns=["bucket", "part", "of", "words", "pairs", "count", "at", "x", "chunks", "places"])
 
     return run
 
 
-MERGED = "bucket int, pairs binary, count binary, at binary, x binary, chunks array<bigint>, places array<binary>"
+MERGED = "bucket int, part int, of int, words binary, pairs binary, count binary, at binary, x binary, chunks array<bigint>, places array<binary>"
+UNITED = "bucket int, of int, words binary, pairs binary, count binary, at binary, x binary"
+
+
+def _unite(leaves: int):
+    """Parts, sorted by bucket, to one row per bucket; one part at a time is added."""
+
+    def row(bucket, of, words, pairs, count):
+        at, x = _sparse(Seating(pairs, count, leaves).totals())
+        values = [bucket], [of], [_pack(_steps(words), "<u8")], [_pack(_steps(pairs))], [_pack(count, "<i8")], [at], [x]
+        kinds = pa.int32(), pa.int32(), *[pa.binary()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=["bucket", "of", "words", "pairs", "count", "at", "x"])
+
+    def run(batches):
+        own, of, words, pairs, count = None, 0, None, None, None
+        for batch in batches:
+            for k in range(len(batch)):
+                bucket, parts, *packed = (batch.column(c)[k].as_py() for c in ("bucket", "of", "words", "pairs", "count"))
+                more, new, add = (np.cumsum(_unpack(packed[0], "<u8"), dtype=np.uint64), np.cumsum(_unpack(packed[1]), dtype=np.int64), _unpack(packed[2], "<i8"))
+                if bucket != own:
+                    if own is not None:
+                        yield row(own, of, words, pairs, count)
+                    own, of, words, pairs, count = bucket, parts, more, new, add
+                    continue
+                both = np.union1d(words, more)
+                pairs = np.concatenate([np.searchsorted(both, w)[p // leaves] * leaves + p % leaves for w, p in ((words, pairs), (more, new))])
+                pairs, at = np.unique(pairs, return_inverse=True)
+                words, count = both, np.bincount(at, np.concatenate([count, add]), len(pairs)).astype(np.int64)
+        if own is not None:
+            yield row(own, of, words, pairs, count)
+
+    return run
 
 
 def _sparse(totals: np.ndarray) -> tuple[bytes, bytes]:
@@ -363,9 +405,10 @@ def _burn(sums: np.ndarray, leaves: int, seed: int):
 ANSWERS = "chunk long, bucket int, score binary, known binary, each binary"
 
 
-def _answer(start: np.ndarray, now: np.ndarray, leaves: int, samples: int, seed: int):
-    """Scores for every chunk.  The first sweeps are repeated, which is cheaper than moving the
-    tables that they left; ``now`` has the totals after them."""
+def _scores(start: np.ndarray, now: np.ndarray, leaves: int, samples: int, seed: int):
+    """Scores of the pairs of a batch's bucket, and counts and places of their words.  The first
+    sweeps are repeated, which is cheaper than moving the tables that they left; ``now`` has the
+    totals after them."""
 
     def bucket_scores(batch: pa.RecordBatch, k: int):
         bucket, state, discounts, logs = _burnt(batch, k, start, leaves, seed)
@@ -377,16 +420,62 @@ def _answer(start: np.ndarray, now: np.ndarray, leaves: int, samples: int, seed:
         known = np.bincount(state.word, state.count, state.words).astype(np.int64)
         return bucket, np.log10(mean), known, state.word
 
+    return bucket_scores
+
+
+def _rows(batch: pa.RecordBatch, k: int, bucket: int, score: np.ndarray, known: np.ndarray, word: np.ndarray):
+    """What a bucket's scores are to each of its chunks."""
+    for chunk, place in zip(batch.column("chunks")[k].as_py(), batch.column("places")[k]):
+        at = np.cumsum(_unpack(place.as_py()), dtype=np.int64)
+        words, each = np.unique(word[at], return_counts=True)
+        row = [chunk], [bucket], [_pack(score[at], "<f8")], [_pack(known[words], "<i8")], [_pack(each)]
+        kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["chunk", "bucket", "score", "known", "each"])
+
+
+def _answer(bucket_scores):
+    """Scores for every chunk of whole buckets."""
+
     def run(batches):
         for batch in batches:
             for k in range(len(batch)):
-                bucket, score, known, word = bucket_scores(batch, k)
-                for chunk, place in zip(batch.column("chunks")[k].as_py(), batch.column("places")[k]):
-                    at = np.cumsum(_unpack(place.as_py()), dtype=np.int64)
-                    words, each = np.unique(word[at], return_counts=True)
-                    row = [chunk], [bucket], [_pack(score[at], "<f8")], [_pack(known[words], "<i8")], [_pack(each)]
-                    kinds = pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["chunk", "bucket", "score", "known", "each"])
+                yield from _rows(batch, k, *bucket_scores(batch, k))
+
+    return run
+
+
+HELD = "bucket int, of int, words binary, pairs binary, score binary, known binary"
+
+
+def _held(bucket_scores):
+    """Scores of buckets that came in parts, for ``_looked_up``."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                _, score, known, _ = bucket_scores(batch, k)
+                same = [batch.column(c).slice(k, 1) for c in ("bucket", "of", "words", "pairs")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([_pack(score, "<f8")]), pa.array([_pack(known, "<i8")])], names=["bucket", "of", "words", "pairs", "score", "known"])
+
+    return run
+
+
+def _looked_up(leaves: int):
+    """Scores for every chunk of a bucket's parts; the row of side 0 has the bucket's scores, and
+    its parts follow."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                bucket = batch.column("bucket")[k].as_py()
+                words, pairs = np.cumsum(_unpack(batch.column("words")[k].as_py(), "<u8"), dtype=np.uint64), np.cumsum(_unpack(batch.column("pairs")[k].as_py()), dtype=np.int64)
+                if batch.column("side")[k].as_py() == 0:
+                    every, all_pairs = words, pairs
+                    score, known = _unpack(batch.column("score")[k].as_py(), "<f8"), _unpack(batch.column("known")[k].as_py(), "<i8")
+                    continue
+                own = np.searchsorted(every, words)
+                at = np.searchsorted(all_pairs, own[pairs // leaves] * leaves + pairs % leaves)
+                yield from _rows(batch, k, bucket, score[at], known[own], pairs // leaves)
 
     return run
 
@@ -427,7 +516,10 @@ def _added(size: int):
 def _summed(rows: DataFrame, leaves: int) -> np.ndarray:
     """Totals over all buckets; tasks add theirs up first, two numbers a restaurant reach the driver."""
     out = np.zeros(8 + 2 * (1 + NEAR + leaves))
-    sums = rows.select("at", "x").mapInArrow(_added(len(out)), "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()
+    sums = rows.select("at", "x").mapInArrow(_added(len(out)), "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x"))
+    with small_batches(rows.sparkSession, 1):  # a row is a whole bucket
+        sums = stored(sums, "sums")
+    sums = sums.toArrow()
     out[sums["at"].to_numpy()] = sums["x"].to_numpy()
     return out
 
@@ -437,30 +529,69 @@ def trained_on(key: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(10)) != 0
 
 
-def score(docs: DataFrame, key: str = "doc_id", train: Column | None = None, buckets: int | None = None, leaves: int | None = None) -> DataFrame:
+def _parted(parts: DataFrame, chunks: DataFrame, entries: int) -> tuple[DataFrame, int]:
+    """Slices with the part of their bucket that their chunk is in, and how many more rows than
+    buckets there will be.  Reaches the driver: a row per bucket that is cut."""
+    homes = chunks.select(F.explode(F.arrays_zip("homes", "entries")).alias("h"))
+    n = homes.groupBy(F.col("h.homes").alias("bucket")).agg(F.sum("h.entries").alias("n")).filter(F.col("n") > entries)
+    cut = [(r.bucket, -(-r.n // entries)) for r in n.collect()]
+    if not cut:
+        return parts.select("*", F.lit(0).alias("part"), F.lit(1).alias("of")), 0
+    sizes = F.broadcast(parts.sparkSession.createDataFrame(cut, "bucket int, of int"))
+    known = parts.join(sizes, "bucket", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+    return known.withColumn("part", F.pmod(F.xxhash64("chunk"), F.col("of")).cast("int")), sum(of - 1 for _, of in cut)
+
+
+def merged_rows(chunks: DataFrame, buckets: int, leaves: int, entries: int) -> tuple[DataFrame, bool]:
+    """The stored rows of ``_merge``, and whether any bucket came in parts."""
+    parts, more = _parted(chunks.select("chunk", F.explode("slices").alias("s")).select("chunk", "s.*"), chunks, entries)
+    grouped = parts.repartition(buckets + more, "bucket", "part").groupBy("bucket", "part")
+    return stored(grouped.applyInPandas(_merge(leaves), MERGED), "merged", heavy=True), more > 0
+
+
+def _chunked(docs: DataFrame, key: str, train: Column | None, buckets: int, leaves: int) -> DataFrame:
+    """The stored rows of ``_chunks``."""
+    kind = dict(docs.dtypes)[key]
+    given = docs.select("text", F.col(key).alias("k"), (trained_on(key) if train is None else train).alias("train"))
+    slices = "slices array<struct<bucket:int,word:binary,pair:binary,count:binary>>, homes array<int>, entries array<int>"
+    fields = f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<bigint>, pairs binary, {slices}"
+    with small_batches(docs.sparkSession, TEXTS):
+        return stored(given.mapInArrow(_chunks(buckets, leaves), fields), "chunks", heavy=True)
+
+
+def score(
+    docs: DataFrame, key: str = "doc_id", train: Column | None = None, buckets: int | None = None, leaves: int | None = None, entries: int = ENTRIES
+) -> DataFrame:
     """(``key``, held_out, n_tokens, n_known, train_tokens, base_score, score) per document.
 
     ``score`` is the model's log10 probability of the text's tokens, ``base_score`` that of
     smoothed single words.  ``leaves`` (a multiple of ``NEAR``) and ``buckets`` follow from the
-    bytes of all texts unless given.  NULL counts as empty: one token, the end.  Repeated rows are
-    documents of their own; without training rows all words are unknown; other columns are not
-    read; an empty table gives no rows."""
+    bytes of all texts unless given; ``entries`` bounds memory and changes no result.  NULL counts
+    as empty: one token, the end.  Repeated rows are documents of their own; without training rows
+    all words are unknown; other columns are not read; an empty table gives no rows."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = buckets or max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES)
     leaves = leaves or restaurants(size)
     kind = dict(docs.dtypes)[key]
-    given = docs.select("text", F.col(key).alias("k"), (trained_on(key) if train is None else train).alias("train"))
-    slices = "slices array<struct<bucket:int,word:binary,pair:binary,count:binary>>"
-    fields = f"chunk long, keys array<{kind}>, held array<boolean>, sizes array<bigint>, pairs binary, {slices}"
-    with small_batches(docs.sparkSession, TEXTS):
-        chunks = stored(given.mapInArrow(_chunks(buckets, leaves), fields), "chunks")
-    parts = chunks.select("chunk", F.explode("slices").alias("s")).select("chunk", "s.*")
-    merged = stored(parts.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_merge(leaves), MERGED), "merged")
-    start = _summed(merged, leaves)
-    with small_batches(docs.sparkSession, 1):  # a row is a whole bucket
-        now = _summed(merged.select("bucket", "pairs", "count").mapInArrow(_burn(start, leaves, SEED), "at binary, x binary"), leaves)
-    g = Globals(start)
-    answers = merged.drop("at", "x").mapInArrow(_answer(start, now, leaves, SAMPLES, SEED), ANSWERS)
+    chunks = _chunked(docs, key, train, buckets, leaves)
+    merged, cut = merged_rows(chunks, buckets, leaves, entries)
+    whole = states = merged.filter("of = 1")
+    if cut:
+        in_parts = merged.filter("of > 1").select("bucket", "part", "of", "words", "pairs", "count").repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
+        with small_batches(docs.sparkSession, 1):
+            united = stored(in_parts.drop("part").mapInArrow(_unite(leaves), UNITED), "united", heavy=True)
+        states = whole.select("bucket", "pairs", "count", "at", "x").unionByName(united.drop("of", "words"))
+    start = _summed(states, leaves)
+    now = _summed(states.select("bucket", "pairs", "count").mapInArrow(_burn(start, leaves, SEED), "at binary, x binary"), leaves)
+    g, scores = Globals(start), _scores(start, now, leaves, SAMPLES, SEED)
+    answers = whole.select("bucket", "pairs", "count", "chunks", "places").mapInArrow(_answer(scores), ANSWERS)
+    if cut:
+        held = united.drop("at", "x").mapInArrow(_held(scores), HELD)
+        each = F.explode(F.sequence(F.lit(0), F.floor((F.col("of") - 1) / TOGETHER).cast("int"))).alias("group")
+        held = held.select("bucket", each, F.lit(0).alias("side"), F.lit(0).alias("part"), "words", "pairs", "score", "known")
+        asked = merged.filter("of > 1").select("bucket", F.floor(F.col("part") / TOGETHER).cast("int").alias("group"), F.lit(1).alias("side"), "part", "words", "pairs", "chunks", "places")
+        rows = held.unionByName(asked, allowMissingColumns=True).repartition(buckets, "bucket", "group").sortWithinPartitions("bucket", "group", "side", "part")
+        answers = answers.unionByName(rows.mapInArrow(_looked_up(leaves), ANSWERS))
     out = f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    whole = chunks.select("chunk", "keys", "held", "sizes", "pairs").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return whole.applyInPandas(_finish(g.n, g.v), out).withColumnRenamed("k", key)
+    halves = chunks.select("chunk", "keys", "held", "sizes", "pairs").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return halves.applyInPandas(_finish(g.n, g.v), out).withColumnRenamed("k", key)

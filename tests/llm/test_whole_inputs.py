@@ -163,3 +163,21 @@ def test_op10_reads_texts_in_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "some words of a text " * (i % 5)) for i in range(60)], "doc_id long, text string").coalesce(1)
     rows = lm.score(docs).collect()
     assert sorted(r.doc_id for r in rows) == list(range(60)) and spark.conf.get(name, None) == before
+
+
+def test_op10_frequent_words_are_merged_in_parts(spark):
+    """A frequent word's pairs come from every chunk: no merged row holds those of all chunks, and
+    the scores are the same as of whole buckets."""
+    import random
+
+    from scenemark.llm import lm
+
+    r = random.Random(5)
+    texts = [" ".join(w for _ in range(40) for w in ("the", f"w{r.randint(0, 300)}")) for _ in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, None), (7, texts[7])], "doc_id long, text string").repartition(12)
+    chunks = lm._chunked(docs, "doc_id", None, 3, 1 << 10)
+    of_rows = lambda n: [sum(len(x) // 4 for x in row.places) for row in lm.merged_rows(chunks, 3, 1 << 10, n)[0].collect()]
+    whole, parts = of_rows(lm.ENTRIES), of_rows(400)
+    assert sum(whole) == sum(parts) and len(whole) == 3 and max(parts) < max(whole) / 2
+    found = [sorted(map(repr, lm.score(docs, buckets=3, leaves=1 << 10, entries=n).collect())) for n in (lm.ENTRIES, 400)]
+    assert len(found[0]) == 122 and found[0] == found[1]
