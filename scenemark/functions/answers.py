@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -290,7 +292,11 @@ def vqa_normalise(col) -> Column:
         )
     )
     src = F.trim(F.translate(t, "\n\t", "  "))
-    numbers, contracted = literal_map(dims.NUMBER_WORDS), literal_map(dims.CONTRACTIONS)
+
+    def swap(words, table):
+        # a hash look-up tells whether the map, which is searched entry by entry, has the word
+        named = literal_map(table)
+        return F.transform(words, lambda w: F.when(w.isin(*table), F.try_element_at(named, w)).otherwise(w))
 
     def strip_marks(v):
         text, comma = v["t"], v["c"]
@@ -300,10 +306,15 @@ def vqa_normalise(col) -> Column:
             out = F.replace(out, F.lit(p), F.when(glued, "").otherwise(" "))
         return F.regexp_replace(out, r"\.(?!\d)", "")
 
+    # most answers have no marks, and no white space but blanks
+    marked = "[" + re.escape("".join(dims.PUNCTUATION) + ".") + "]"
+    plain = lambda v: F.when(v["t"].rlike(marked), strip_marks(v)).otherwise(v["t"])
+    split = lambda x: F.when(x.rlike(r"(?U)[\s&&[^ ]]"), words_of(x)).otherwise(F.filter(F.split(x, " "), lambda w: w != ""))
+
     args = let(src, lambda s: F.struct(s.alias("t"), s.rlike(r"(?<=\d),+(?=\d)").alias("c")))
-    words = F.transform(words_of(let(args, strip_marks)), lambda w: F.coalesce(F.try_element_at(numbers, w), w))
+    words = swap(let(let(args, plain), split), dims.NUMBER_WORDS)
     kept = F.filter(words, lambda w: ~w.isin(*dims.ARTICLES))
-    return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(contracted, w), w)), " ")
+    return F.array_join(swap(kept, dims.CONTRACTIONS), " ")
 
 
 def soft_accuracy(pred, gts) -> Column:

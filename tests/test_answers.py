@@ -140,3 +140,13 @@ def test_median_free_rounding(spark):
     assert one(spark, rnd(F.lit(2.675), 2)) == 2.68
     assert one(spark, fixed(F.lit(3.0625), 3)) == "3.062"
     assert not math.isnan(one(spark, rnd(F.lit(0.0), 2)))
+
+
+def test_vqa_normalise_odd_texts(spark):
+    """Texts without marks or odd white space take a shorter way to the same words."""
+    texts = {
+        "two cats": "2 cats", " The  two\tcats ": "2 cats", "dog house": "dog house", "a dog\x0bhere": "dog here", "one.two 3.5.": "onetwo 3.5", "dog-house": "dog house",
+        "dog -house": "dog house", "dont, cant?": "don't can't", "\\n[x]": "n x", "": "", "the": "", "none": "0", "cat's": "cat 's",
+    }
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id int, t string").select("t", A.vqa_normalise("t").alias("n")).collect()
+    assert {r.t: r.n for r in rows} == {**texts, None: None}
